@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import pii, quality, secrets, sharding
+from glossmark.llm import html_text, pii, quality, secrets, sharding, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -36,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op8_secrets, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op4_pii, op8_secrets, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import html_text, pii, quality, secrets, sharding, url_filter
+from glossmark.llm import decontaminate, html_text, pii, quality, secrets, sharding, tokens, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
@@ -26,6 +26,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_blocks(tokens.write_blocks(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -44,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op4_pii, op8_secrets, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op4_pii, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import materialize
+
 #: A subtree is template if it stands on so many pages of its host that have different main texts.
 MIN_PAGES = 3
 #: Parts that the rows of a host are dealt to, so that one host never meets in one task.
@@ -165,13 +166,13 @@ def candidates(root: Node) -> list[int]:
     Outside the main root: every element with text. Inside: only elements that are mostly links, as an article's own paragraphs
     can recur on a host (quotations, licence lines, copies) and stay text.
     """
-    out, inside, has_main = [], 0, any(n.main for n, first in walk(root) if first)
+    out, inside = [], 0
     for node, first in walk(root):
         if not first:
             inside -= node.main
             continue
         if node.n_text and not node.main and node.name not in ("html", "body", "head"):
-            if not inside and (has_main or node.name in BLOCKS):
+            if not inside and node.name in BLOCKS:
                 out.append(node.key)
             elif inside and node.name in BLOCKS and 2 * node.n_link > node.n_text:
                 out.append(node.key)
@@ -184,18 +185,27 @@ def main_key(root: Node) -> int:
     return next((n.key for n, first in walk(root) if first and n.main), root.key)
 
 
-def main_text(root: Node, template: frozenset[int]) -> str:
-    """Blocks of the main root (else of the page) without template and parts beside the article, one a line."""
+def pieces(root: Node) -> list[tuple[str, list[int]]]:
+    """Blocks of the main root (else of the page) without parts beside the article, in page order.
+
+    Each comes with the keys of the candidate subtrees around it: it goes if any of them is template. Neighbours with the same
+    keys are joined.
+    """
     start = next((n for n, first in walk(root) if first and n.main), root)
-    may_go = frozenset(candidates(root)) & template
-    blocks: list[str] = []
+    may_go = frozenset(candidates(root))
+    out: list[tuple[list[str], list[int]]] = []
     parts: list[str] = []
+    around: list[int] = []
 
     def end_block() -> None:
         line = _SPACES.sub(" ", "".join(parts)).strip()
-        if line:
-            blocks.append(line)
         parts.clear()
+        if not line:
+            return
+        if out and out[-1][1] == around:
+            out[-1][0].append(line)
+        else:
+            out.append(([line], list(around)))
 
     stack: list[tuple[Node | str, bool]] = [(start, True)]
     while stack:
@@ -203,10 +213,13 @@ def main_text(root: Node, template: frozenset[int]) -> str:
         if isinstance(item, str):
             parts.append(item)
             continue
+        guarded = item is not start and item.key in may_go and item.name in BLOCKS
         if not first:
             end_block()
+            if guarded:
+                around.pop()
             continue
-        if item is not start and (item.aside or item.key in may_go):
+        if item is not start and item.aside:
             if item.name in BLOCKS:
                 end_block()
             continue
@@ -214,10 +227,17 @@ def main_text(root: Node, template: frozenset[int]) -> str:
             parts.append(" ")
         if item.name in BLOCKS:
             end_block()
+            if guarded:
+                around.append(item.key)
             stack.append((item, False))
         stack.extend((c, True) for c in reversed(item.children))
     end_block()
-    return "\n".join(blocks)
+    return [("\n".join(lines), keys) for lines, keys in out]
+
+
+def main_text(root: Node, template: frozenset[int]) -> str:
+    """The text that is left when the template's subtrees are gone."""
+    return "\n".join(t for t, keys in pieces(root) if not template.intersection(keys))
 
 
 def tree_of(page: str | None) -> Node:
@@ -229,38 +249,44 @@ def tree_of(page: str | None) -> Node:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
-    1. Every page gives (host, subtree key, key of its main part). 2. Subtrees under ``min_pages`` or more different main parts of
-    a host are its template. 3. Every page is parsed again and loses these subtrees, besides the elements that HTML or their
-    class set beside an article (menus, headers, footers, notices, adverts, forms, scripts, comments).
+    1. Every page is parsed once, into its text pieces, the keys of the subtrees around each, and the keys of all candidate
+    subtrees; this table goes to the shared folder. 2. Subtrees under ``min_pages`` or more different main parts of a host are its
+    template. 3. Pages with a piece inside a candidate subtree look their subtrees up in the template and lose these pieces.
+    Elements that HTML or their class set beside an article (menus, headers, footers, notices, adverts, forms, scripts, comments)
+    go anyway, as a host with few pages shows no recurrence.
     A null or empty page has the empty text. A null url counts as one host of its own. Repeated rows each get a row. Null ids are
     kept. An empty table gives an empty result. Only three columns are read, so no other column can clash.
-    A host with a third of all pages is spread over ``SALTS`` parts in counting and in the join with its template.
+    A host with a third of all pages is spread over ``SALTS`` parts in the join with its template; counts are summed on each task.
     """
     url = F.col(url_col).cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
-    body = F.col(html_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), body.alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    piece = pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))])
+    want = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("row", pa.binary()), ("main", pa.int64()), ("candidates", pa.list_(pa.int64())), ("pieces", pa.list_(piece))])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(r, k, m, key) for r, h, k in zip(*(c.to_pylist() for c in b.columns)) for t in [tree_of(h)] for m in [main_key(t)] for key in candidates(t)]
-            cols = list(zip(*found)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["row", "host", "main", "key"])
-
-    # Rows are told apart by all they hold: equal rows have equal results.
-    row = F.xxhash64("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256))
-    keyed = rows.withColumn("row", row)
-    seen = keyed.select("row", "html", "host").mapInArrow(keys, "row long, host string, main long, key long")
-    template = (
-        seen.select("host", "key", "main").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-        .select("host", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = seen.select("row", "host", "key", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-    gone = salted.join(template, ["host", "key", "salt"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("template"))
-
-    @F.pandas_udf("string")
-    def text_of(html_: pd.Series, template_: pd.Series) -> pd.Series:
-        return pd.Series([main_text(tree_of(h), frozenset(() if t is None else map(int, t))) for h, t in zip(html_, template_)], dtype=object)
-
-    joined = keyed.join(gone, "row", "left")
-    return joined.select("page_id", "url", text_of("html", "template").alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            out = []
+            for page, url_, host_, html_ in zip(*(c.to_pylist() for c in b.columns)):
+                root = tree_of(html_)
+                # Rows are told apart by all they hold: equal rows have equal results.
+                row = blake2b(repr((page, url_, html_)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                found = [{"text": t, "keys": k} for t, k in pieces(root)]
+                out.append({"page_id": page, "url": url_, "host": host_, "row": row, "main": main_key(root), "candidates": candidates(root), "pieces": found})
+            yield pa.RecordBatch.from_pylist(out, schema=want)
+
+    schema = "page_id long, url string, host string, row binary, main long, candidates array<long>, pieces array<struct<text: string, keys: array<long>>>"
+    parsed = materialize(rows.mapInArrow(parse_rows, schema), "pages")
+
+    seen = parsed.select("host", F.explode("candidates").alias("key"), "main").distinct()
+    template = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "key")
+    salted_template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = F.array_distinct(F.flatten("pieces.keys"))
+    guarded = parsed.filter(F.size(inside) > 0)
+    asked = guarded.select("row", "host", F.explode(inside).alias("key")).distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    gone = asked.join(salted_template, ["host", "key", "salt"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("gone"))
+    whole = parsed.filter(F.size(inside) == 0).select("page_id", "url", "pieces")
+    stays = lambda p: ~F.arrays_overlap(p["keys"], F.coalesce("gone", F.array().cast("array<long>")))
+    cut = guarded.join(gone, "row", "left").select("page_id", "url", F.filter("pieces", stays).alias("pieces"))
+    text = F.array_join("pieces.text", "\n")
+    return whole.unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -19,7 +19,7 @@ END_ID = 0
 #: Token ids after which a block is closed (it always holds whole documents).
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 800_000
 
 # White space that is not a single space or line break between words; such texts go to the tokenizer whole.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -44,6 +44,7 @@ class Encoder:
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
         self.line_break = self._library(["\n"])[0]
         self.break_id = int(np.frombuffer(self.line_break, "<u4")[0])
 
@@ -52,19 +53,27 @@ class Encoder:
 
     def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
         """Pieces go to the library as lines of texts: no piece holds a line break, so its id parts them again."""
-        new = [p for p in pieces if p]
         if "" in pieces:
-            memo[""] = self._library([before])[0]
+            memo[""] = self._library([before])[0] if before else b""
+        # Letters and the stops behind them are always apart, so such a piece is its word and its stops.
+        ending = {p: s for p in pieces if (s := p.rstrip(".,;:!?")) != p and s.isalpha()}
+        new = [p for p in (pieces - ending.keys()) | (set(ending.values()) - memo.keys()) if p]
         texts = ["\n".join([before + p for p in new[i : i + 2000]]) for i in range(0, len(new), 2000)]
         for i, code in enumerate(self._library(texts)):
             ids = np.frombuffer(code, "<u4")
             cut = [0, *(4 * np.flatnonzero(ids == self.break_id)).tolist(), len(code)]
             memo.update((p, code[a + 4 * (k > 0) : b]) for k, (p, a, b) in enumerate(zip(new[2000 * i : 2000 * i + 2000], cut, cut[1:])))
+        for p, s in ending.items():
+            stops = p[len(s) :]
+            if stops not in self.stops:
+                self.stops[stops] = self._library([stops])[0]
+            memo[p] = memo[s] + self.stops[stops]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > MEMO_PIECES:
             self.first.clear()
             self.rest.clear()
+            self.stops.clear()
         split = [None if has_odd_space(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         first, rest = self.first, self.rest
         self._learn(first, {line[0] for lines in split if lines for line in lines} - first.keys(), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import decontaminate, html_text, pii, quality, secrets, sharding, tokens, url_filter
+from glossmark.llm import decontaminate, html_text, jaccard, mixing, pii, quality, secrets, sharding, tokens, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
@@ -21,11 +21,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,7 +70,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op4_pii, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding)}
+    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

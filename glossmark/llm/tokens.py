@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +89,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def file_order(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with the name of its file and the place in it as ``__file`` and ``__row``; None if the rows come from no files."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+
+
+def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, keep_order: bool = False) -> DataFrame:
     """The table of blocks, written in the shared folder and read back: part, start_in_part, n_tokens, doc_ids, payload.
 
     Documents are dealt by ranges of their id and sorted, so parts, and blocks in a part, follow the ids. Null ids come first;
     equal ids follow their texts. A null text is an empty one: it has the end id alone. An empty table gives no blocks.
+    With ``keep_order`` the documents follow the names of their files and their places there, as a mixing stage wrote them.
     """
-    ranged = texts_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = file_order(docs) if keep_order else None
+    if placed is None:
+        ranged = texts_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    else:
+        rows = placed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
+        ranged = rows.repartitionByRange("__file", "__row").sortWithinPartitions("__file", "__row").select("doc_id", "text")
     schema = "part int, start_in_part long, n_tokens long, doc_ids array<long>, payload binary"
     want = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 

@@ -4,23 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmark.llm import quality
+from glossmark.llm import decontaminate, jaccard, mixing, quality, tokens
+from glossmark.llm.common import materialize, table
+from glossmark.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule of the default policy rejects go."""
     return quality.keep_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, n_words=5, percent=80)
 
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark go from the texts; documents of which nothing is left go."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the schedule."""
+    return mixing.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the compressed blocks; the blocks follow the mixed order."""
+    return tokens.read_blocks(tokens.write_blocks(docs, tokenizer_path(), keep_order=True))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", source_mixing),
+    ("token output", token_output),
+]
+
+# FM-indexes and tokenizers are beyond SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each written as Parquet in the shared folder and read again."""
-    from glossmark.llm.common import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -46,7 +46,7 @@ ALLOW_LIST = (
     re.compile(r"example|placeholder|changeme|your[-_]", re.IGNORECASE),
 )
 
-_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -23,11 +23,13 @@ from glossmark.llm.common import materialize, texts_of
 from glossmark.llm.components import components
 
 #: Each size band reaches to so many times its least size.
-BAND_RATIO = 1.4
+BAND_RATIO = 1.6
 #: Words that a worker remembers the hash of; beyond, it starts anew.
-MEMO_WORDS = 2_000_000
+MEMO_WORDS = 500_000
 #: Ids (8 bytes each) up to which the documents to verify are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Shared hashes (8 bytes each) up to which they are broadcast to filter the index rows before their shuffle; beyond, all are shuffled.
+BROADCAST_SIGS = 3_000_000
 
 # Odd 64-bit constants of a multiplicative hash (fixed values).
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -50,8 +52,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(_memo) > MEMO_WORDS:
         _memo.clear()
-    for w in set(words) - _memo.keys():
-        _memo[w] = xxhash.xxh3_64_intdigest(w)
+    _memo.update({w: xxhash.xxh3_64_intdigest(w) for w in words if w not in _memo})
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -96,7 +97,7 @@ class Segments:
 
     def promoted(self, n_segments: int) -> int:
         """So many segments, the first ones, can be searched with one deletion."""
-        return min(n_segments, 2 + n_segments // 24)
+        return min(n_segments, 1 + n_segments // 32)
 
     def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index rows of a set: hashes, and their roles."""
@@ -278,7 +279,10 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
     index = index_rows(texts, n_words, percent)
     shared = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or("role").alias("roles")).filter(f"lo <> hi and roles = {BOTH}").select("sig", "lo", "hi")
     shared = materialize(shared, "shared")
-    members = materialize(index.select("sig", "node").join(shared, "sig").distinct(), "members")
+    met = index.select("sig", "node")
+    if shared.count() <= BROADCAST_SIGS:
+        met = met.join(F.broadcast(shared.select("sig")), "sig", "left_semi")
+    members = materialize(met.distinct().join(shared, "sig"), "members")
     stars = members.select("node", F.explode(F.array("lo", "hi")).alias("to")).filter("node <> to")
     first = materialize(verified(stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), nodes, texts, n_words, percent), "links")
     roots = materialize(components(first), "roots")

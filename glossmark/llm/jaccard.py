@@ -30,6 +30,8 @@ MEMO_WORDS = 500_000
 BROADCAST_IDS = 2_000_000
 #: Shared hashes (8 bytes each) up to which they are broadcast to filter the index rows before their shuffle; beyond, all are shuffled.
 BROADCAST_SIGS = 3_000_000
+#: Nodes in a block of a bucket: two blocks are compared in one step of a task.
+BLOCK_NODES = 256
 
 # Odd 64-bit constants of a multiplicative hash (fixed values).
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,6 +166,28 @@ class Segments:
             q = q[: len(q) // 2] ^ q[len(q) // 2 :]
         return int(np.bitwise_count(p ^ q).sum()) <= self.most_apart(a, b)
 
+    def likely_of(self, main: int, out: list, every: list) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ``out`` with ``every`` (records of node, root, n_shingles, sketch) that may link two components."""
+        width = min(len(r["sketch"]) for r in out + every) // 8
+
+        def columns(rows: list) -> tuple:
+            bits = np.zeros((len(rows), width), np.uint64)
+            for i, r in enumerate(rows):
+                x = np.frombuffer(r["sketch"], np.uint64)
+                bits[i] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
+            return (*(np.array([r[k] for r in rows], np.int64) for k in ("node", "root", "n_shingles")), bits)
+
+        (a, ra, na, xa), (b, rb, nb, xb) = columns(out), columns(every)
+        # Two nodes outside the main component meet twice; the smaller one asks.
+        open_ = (ra[:, None] != rb[None, :]) & ((rb == main)[None, :] | (a[:, None] < b[None, :]))
+        open_ &= 100 * np.minimum(na[:, None], nb[None, :]) >= self.percent * np.maximum(na[:, None], nb[None, :])
+        i, j = np.nonzero(open_)
+        apart = np.zeros(len(i), np.int64)
+        for w in range(width):
+            apart += np.bitwise_count(xa[i, w] ^ xb[j, w])
+        yes = apart <= (100 - self.percent) * (na[i] + nb[j]) // (100 + self.percent)
+        return np.minimum(a[i[yes]], b[j[yes]]), np.maximum(a[i[yes]], b[j[yes]])
+
     def linked(self, x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = np.concatenate([p, q])
@@ -195,14 +219,19 @@ def _arrow(df: DataFrame, schema: str, fields: list, rows: object) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def document_sets(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, sketch."""
+def document_sets(texts: DataFrame, n_words: int, percent: int, with_index: bool) -> DataFrame:
+    """doc_id, n_shingles, node, sketch, and the index rows of the document if asked for (sigs, roles)."""
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64())), ("roles", pa.list_(pa.int8()))]
 
     def rows(ids: list, found: list) -> list:
         sets, seg = [shingle_set(t, n_words) for t in found], segments(percent)
-        return [ids, [len(s) for s in sets], [node_of(s) for s in sets], [seg.sketch(s) for s in sets]]
+        index = [seg.signatures(s) if with_index else None for s in sets]
+        return [
+            ids, [len(s) for s in sets], [node_of(s) for s in sets], [seg.sketch(s) for s in sets],
+            [x and x[0].view(np.int64) for x in index], [x and x[1] for x in index],
+        ]
 
-    return _arrow(texts, "doc_id long, n_shingles long, node long, sketch binary", [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())], rows)
+    return _arrow(texts, "doc_id long, n_shingles long, node long, sketch binary, sigs array<long>, roles array<byte>", fields, rows)
 
 
 def index_rows(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -239,10 +268,44 @@ def _with_ends(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFr
     return pairs.select("a", "b", *(f"{c}_{end}" for c in columns for end in "ab"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The linked ones of candidate pairs. Sizes and sketches rule out most others, then the whole sets are compared."""
-    likely = materialize(_kept(_with_ends(pairs, nodes, ["n_shingles", "sketch"]), percent, "may_link"), "likely")
-    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that sizes and sketches don't rule out."""
+    return _kept(_with_ends(pairs, nodes, ["n_shingles", "sketch"]), percent, "may_link")
+
+
+def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
+    """Rows of each bucket in about ``blocks`` lists of about ``BLOCK_NODES``."""
+    place = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    return rows.groupBy("sig", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch")).alias(name))
+
+
+def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet in a bucket and that sizes and sketches don't rule out.
+
+    ``open_``: sig, node, root, main (the bucket's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
+    main component meet blocks of all nodes; a task compares two blocks at once, so no row is made for a pair that is ruled out.
+    """
+    rows = open_.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    every = _blocks(rows, "all_blocks", "all")
+    outside = _blocks(rows.filter("root <> main"), "outside_blocks", "out")
+    sizes = open_.select("sig", "all_blocks").distinct()
+    asked = outside.join(sizes, "sig").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
+    met = asked.join(every.drop("main"), ["sig", "all_at"]).select("main", "out", "all")
+    want = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = segments(percent)
+        for batch in batches:
+            for main, out, every_ in zip(*(batch.column(i) for i in range(3))):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in seg.likely_of(main.as_py(), out.as_py(), every_.as_py())], schema=want)
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The linked ones of likely pairs, by their whole sets, which are made anew from the texts."""
+    pairs = materialize(pairs, "likely")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(ends, "node", "left_semi").select("doc_id", "node"), "wanted")
     ids = wanted.select("doc_id")
     if wanted.count() <= BROADCAST_IDS:
@@ -254,11 +317,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int,
         return [[node_of(s) for s in sets], [s.tobytes() for s in sets]]
 
     # Another row can have the id of a wanted one, so the node is taken from the text.
-    sets = materialize(_arrow(chosen, "node long, shingles binary", [("node", pa.int64()), ("shingles", pa.binary())], rows).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    return _kept(_with_ends(likely, sets, ["shingles"]), percent, "linked")
+    made = _arrow(chosen, "node long, shingles binary", [("node", pa.int64()), ("shingles", pa.binary())], rows)
+    sets = materialize(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return _kept(_with_ends(pairs, sets, ["shingles"]), percent, "linked")
 
 
-def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", store_index: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     Documents are linked whose sets of ``n_words``-word shingles have a Jaccard similarity of ``percent`` / 100 or more;
@@ -268,15 +332,17 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
 
     1. Equal sets become one node. 2. Index rows are counted by hash with sums on every task; rows met by one node only go.
     3. In every other bucket each node is checked against the bucket's least and greatest one; the links make components.
-    4. In buckets that still hold several components, the nodes outside the largest are checked against all of other components.
+    4. In buckets that still hold several components, the nodes outside the largest are checked against all of other components,
+    block by block.
     So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by 64-bit hashes of their shingles. ``store_index`` keeps the index rows with the documents (8 bytes each);
+    without it they are made again for their second reading, which takes more time and less disk.
     """
     texts = texts_of(docs, id_col, text_col)
-    rows = materialize(document_sets(texts, n_words, percent), "jaccard-rows")
+    rows = materialize(document_sets(texts, n_words, percent, store_index), "jaccard-rows")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sketch"))
     nodes = materialize(rows.filter("node is not null").groupBy("node").agg(one.alias("x")).select("node", "x.doc_id", "x.n_shingles", "x.sketch"), "nodes")
-    index = index_rows(texts, n_words, percent)
+    index = rows.select(F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("roles").alias("role"))), "node") if store_index else index_rows(texts, n_words, percent)
     shared = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or("role").alias("roles")).filter(f"lo <> hi and roles = {BOTH}").select("sig", "lo", "hi")
     shared = materialize(shared, "shared")
     met = index.select("sig", "node")
@@ -284,15 +350,16 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
         met = met.join(F.broadcast(shared.select("sig")), "sig", "left_semi")
     members = materialize(met.distinct().join(shared, "sig"), "members")
     stars = members.select("node", F.explode(F.array("lo", "hi")).alias("to")).filter("node <> to")
-    first = materialize(verified(stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), nodes, texts, n_words, percent), "links")
+    stars = stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    first = materialize(confirmed(likely(stars, nodes, percent), nodes, texts, n_words, percent), "links")
     roots = materialize(components(first), "roots")
     placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots")).filter("n_roots > 1").select("sig", "main")
+    largest = counts.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("n_roots"))
+    n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")
+    largest = largest.filter("n_roots > 1").select("sig", "main", n_blocks(F.col("n")).alias("all_blocks"), n_blocks(F.col("n") - F.col("n_main")).alias("outside_blocks"))
     open_ = materialize(placed.join(largest, "sig"), "open")
-    outside = open_.filter("root <> main").select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    rest = outside.join(open_, "sig").filter("root_a <> root and (root = main or a < node)")
-    more = verified(rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), nodes, texts, n_words, percent)
+    more = confirmed(likely_in_blocks(open_, nodes, percent), nodes, texts, n_words, percent)
     ends = components(first.unionByName(more))
     least = nodes.join(ends, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -307,7 +374,8 @@ def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: st
     Texts without words are in no group and stay, as rows with a null id do. Rows that repeat the id that stays are the same
     document and stay.
     """
-    classes = similar_documents(docs, n_words, percent, id_col, text_col)
+    # At 80 percent there are three times as many index rows as at 90.
+    classes = similar_documents(docs, n_words, percent, id_col, text_col, store_index=percent >= 90)
     keep = classes.filter("doc_id is not null and doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -332,8 +332,8 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
 
     1. Equal sets become one node. 2. Index rows are counted by hash with sums on every task; rows met by one node only go.
     3. In every other bucket each node is checked against the bucket's least and greatest one; the links make components.
-    4. In buckets that still hold several components, the nodes outside the largest are checked against all of other components,
-    block by block.
+    4. Where the others of a bucket still are in several components, those outside the largest are checked against all of other
+    components, block by block.
     So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
     Sets are compared by 64-bit hashes of their shingles. ``store_index`` keeps the index rows with the documents (8 bytes each);
     without it they are made again for their second reading, which takes more time and less disk.
@@ -353,7 +353,8 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
     stars = stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     first = materialize(confirmed(likely(stars, nodes, percent), nodes, texts, n_words, percent), "links")
     roots = materialize(components(first), "roots")
-    placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    others = members.filter("node <> lo and node <> hi").select("sig", "node")  # pairs with the least and the greatest are checked
+    placed = others.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("n_roots"))
     n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")

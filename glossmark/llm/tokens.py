@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -31,8 +32,22 @@ def has_odd_space(text: str) -> bool:
     return any(x in text for x in _ODD_PAIRS) or any(x in text for x in _ODD_CHARS)
 
 
+class Pieces:
+    """Ids of the pieces met so far: a number for each piece, and where its ids lie in one array."""
+
+    def __init__(self, before: str) -> None:
+        self.before = before
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)  # grow by whole batches
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
+    """Ids of texts as unsigned 32-bit numbers.
 
     The byte-level pre-tokenizer always cuts before a single space and on both sides of a single line break that stand between
     words, so these pieces are encoded apart, each distinct piece once a worker.
@@ -43,45 +58,70 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
-        self.line_break = self._library(["\n"])[0]
-        self.break_id = int(np.frombuffer(self.line_break, "<u4")[0])
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        """Pieces go to the library as lines of texts: no piece holds a line break, so its id parts them again."""
-        if "" in pieces:
-            memo[""] = self._library([before])[0] if before else b""
-        # Letters and the stops behind them are always apart, so such a piece is its word and its stops.
-        ending = {p: s for p in pieces if (s := p.rstrip(".,;:!?")) != p and s.isalpha()}
-        new = [p for p in (pieces - ending.keys()) | (set(ending.values()) - memo.keys()) if p]
-        texts = ["\n".join([before + p for p in new[i : i + 2000]]) for i in range(0, len(new), 2000)]
-        for i, code in enumerate(self._library(texts)):
-            ids = np.frombuffer(code, "<u4")
-            cut = [0, *(4 * np.flatnonzero(ids == self.break_id)).tolist(), len(code)]
-            memo.update((p, code[a + 4 * (k > 0) : b]) for k, (p, a, b) in enumerate(zip(new[2000 * i : 2000 * i + 2000], cut, cut[1:])))
-        for p, s in ending.items():
-            stops = p[len(s) :]
-            if stops not in self.stops:
-                self.stops[stops] = self._library([stops])[0]
-            memo[p] = memo[s] + self.stops[stops]
+        self.break_id = int(self._library(["\n"])[0][0])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.first, self.rest = Pieces(""), Pieces(" ")
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _numbers(self, known: Pieces, words: list[str]) -> np.ndarray:
+        """The numbers of words. New ones go to the library as lines of texts: no piece holds a line break, so its id parts them again."""
+        got = list(map(known.number.get, words))
+        gaps = [i for i, n in enumerate(got) if n is None]
+        if gaps:
+            new = [words[i] for i in gaps]
+            parts = [new[i : i + 2000] for i in range(0, len(new), 2000)]
+            # A line break between any two pieces, those of two parts as well.
+            found = self._library(["\n".join([known.before + w for w in part]) for part in parts])
+            ids = np.concatenate([x for ids in found for x in (ids, np.array([self.break_id], np.uint32))])
+            for i, n in zip(gaps, range(len(known.sizes), len(known.sizes) + len(gaps))):
+                got[i] = n
+            known.add(new, ids[ids != self.break_id], np.diff(np.flatnonzero(ids == self.break_id), prepend=-1) - 1)
+        return np.array(got, dtype=np.int64)
+
+    def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.first.number) + len(self.rest.number) > MEMO_PIECES:
+            self._forget()
+        odd = [has_odd_space(t) for t in texts]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for i, code in zip([i for i, x in enumerate(odd) if x], self._library([t for t, x in zip(texts, odd) if x])):
+            out[i] = code
+        plain = [i for i, x in enumerate(odd) if not x]
+        if not plain:
+            return out
+        # A line break becomes a word of its own; the word behind it, as the first of a text, has no space before it.
+        lists = pc.split_pattern(pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string()), " ")
+        begins = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy(), np.array(coded.dictionary.to_pylist(), dtype=object)
+        is_break = words == "\n"
+        leads = np.zeros(len(number), bool)
+        leads[begins[:-1]] = True
+        leads[1:] |= is_break[number[:-1]]
+        breaks = is_break[number]
+        size, source = np.ones(len(number), np.int64), np.zeros(len(number), np.int64)
+        for known, mask in ((self.first, leads & ~breaks), (self.rest, ~leads & ~breaks)):
+            which = np.flatnonzero(np.bincount(number[mask], minlength=len(words)))
+            place = np.zeros(len(words), np.int64)
+            place[which] = self._numbers(known, words[which].tolist())
+            at = place[number[mask]]
+            size[mask], source[mask] = known.sizes[at], known.starts[at]
+            if known is self.rest:
+                source[mask] += len(self.first.ids)
+        flat = np.concatenate([self.first.ids, self.rest.ids, np.array([self.break_id], np.uint32)])
+        source[breaks] = len(flat) - 1
+        ends = np.cumsum(size)
+        ids = flat[np.arange(ends[-1]) + np.repeat(source - (ends - size), size)]
+        cut = np.concatenate([[0], ends])[begins]
+        for i, a, b in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
+            out[i] = ids[a:b]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > MEMO_PIECES:
-            self.first.clear()
-            self.rest.clear()
-            self.stops.clear()
-        split = [None if has_odd_space(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        first, rest = self.first, self.rest
-        self._learn(first, {line[0] for lines in split if lines for line in lines} - first.keys(), "")
-        self._learn(rest, {p for lines in split if lines for line in lines for p in line[1:] if p not in rest}, " ")
-        whole = iter(self._library([t for t, lines in zip(texts, split) if lines is None]))
-        get = rest.__getitem__
-        return [next(whole) if lines is None else self.line_break.join(first[line[0]] + b"".join(map(get, line[1:])) for line in lines) for lines in split]
+        return [x.tobytes() for x in self.encode_ids(texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -125,12 +165,12 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_pylist([{"part": part, "start_in_part": start, "n_tokens": held, "doc_ids": ids, "payload": payload}], schema=want)
 
         for b in batches:
-            step = 500
+            step = 1500
             for a in range(0, b.num_rows, step):
                 rows = b.slice(a, step)
-                for doc, code in zip(rows.column(0).to_pylist(), tool.encode([t or "" for t in rows.column(1).to_pylist()])):
+                for doc, code in zip(rows.column(0).to_pylist(), tool.encode_ids([t or "" for t in rows.column(1).to_pylist()])):
                     ids.append(doc)
-                    pieces.append(np.append(np.frombuffer(code, "<u4"), end).astype(np.int32))
+                    pieces.append(np.append(code, np.uint32(end)).astype(np.int32))
                     held += len(pieces[-1])
                     if held >= block_tokens:
                         yield block()

@@ -21,7 +21,7 @@ END_ID = 0
 #: Token ids after which a block is closed (it always holds whole documents).
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 400_000
 
 # White space that is not a single space or line break between words; such texts go to the tokenizer whole.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -102,10 +102,10 @@ class Encoder:
         leads[begins[:-1]] = True
         leads[1:] |= is_break[number[:-1]]
         breaks = is_break[number]
-        size, source = np.ones(len(number), np.int64), np.zeros(len(number), np.int64)
+        size, source = np.ones(len(number), np.int32), np.zeros(len(number), np.int32)
         for known, mask in ((self.first, leads & ~breaks), (self.rest, ~leads & ~breaks)):
             which = np.flatnonzero(np.bincount(number[mask], minlength=len(words)))
-            place = np.zeros(len(words), np.int64)
+            place = np.zeros(len(words), np.int32)
             place[which] = self._numbers(known, words[which].tolist())
             at = place[number[mask]]
             size[mask], source[mask] = known.sizes[at], known.starts[at]
@@ -113,8 +113,8 @@ class Encoder:
                 source[mask] += len(self.first.ids)
         flat = np.concatenate([self.first.ids, self.rest.ids, np.array([self.break_id], np.uint32)])
         source[breaks] = len(flat) - 1
-        ends = np.cumsum(size)
-        ids = flat[np.arange(ends[-1]) + np.repeat(source - (ends - size), size)]
+        ends = np.cumsum(size, dtype=np.int32)
+        ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(source - (ends - size), size)]
         cut = np.concatenate([[0], ends])[begins]
         for i, a, b in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
             out[i] = ids[a:b]
@@ -165,7 +165,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_pylist([{"part": part, "start_in_part": start, "n_tokens": held, "doc_ids": ids, "payload": payload}], schema=want)
 
         for b in batches:
-            step = 1500
+            step = 600
             for a in range(0, b.num_rows, step):
                 rows = b.slice(a, step)
                 for doc, code in zip(rows.column(0).to_pylist(), tool.encode_ids([t or "" for t in rows.column(1).to_pylist()])):

@@ -30,6 +30,8 @@ MEMO_WORDS = 120_000
 BROADCAST_IDS = 2_000_000
 #: Shared hashes (8 bytes each) up to which they are broadcast to filter the index rows before their shuffle; beyond, all are shuffled.
 BROADCAST_SIGS = 3_000_000
+#: Bytes of all sketches up to which they are broadcast; beyond, pairs and members are shuffled to them.
+BROADCAST_SKETCHES = 48 << 20
 #: Nodes in a block of a bucket: two blocks are compared in one step of a task.
 BLOCK_NODES = 256
 
@@ -273,6 +275,13 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _kept(_with_ends(pairs, nodes, ["n_shingles", "sketch"]), percent, "may_link")
 
 
+def sketches(nodes: DataFrame) -> DataFrame:
+    """node, n_shingles, sketch of all nodes, to be broadcast if they are small."""
+    table = nodes.select("node", "n_shingles", "sketch")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("sketch") + 64), F.lit(0))).head()[0]
+    return F.broadcast(table) if size <= BROADCAST_SKETCHES else table
+
+
 def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
     """Rows of each bucket in about ``blocks`` lists of about ``BLOCK_NODES``."""
     place = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
@@ -285,7 +294,10 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     ``open_``: sig, node, root, main (the bucket's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
     main component meet blocks of all nodes; a task compares two blocks at once, so no row is made for a pair that is ruled out.
     """
-    rows = open_.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = open_.join(nodes, "node")
+    # Most buckets are one block, which meets itself.
+    alone = _blocks(rows.filter("all_blocks = 1"), "all_blocks", "all").select("main", F.filter("all", lambda x: x["root"] != F.col("main")).alias("out"), "all")
+    rows, open_ = rows.filter("all_blocks > 1"), open_.filter("all_blocks > 1")
     every = _blocks(rows, "all_blocks", "all")
     outside = _blocks(rows.filter("root <> main"), "outside_blocks", "out")
     sizes = open_.select("sig", "all_blocks").distinct()
@@ -299,7 +311,7 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFr
             for main, out, every_ in zip(*(batch.column(i) for i in range(3))):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in seg.likely_of(main.as_py(), out.as_py(), every_.as_py())], schema=want)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return alone.unionByName(met).mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -351,7 +363,8 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
     members = materialize(met.distinct().join(shared, "sig"), "members")
     stars = members.select("node", F.explode(F.array("lo", "hi")).alias("to")).filter("node <> to")
     stars = stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    first = materialize(confirmed(likely(stars, nodes, percent), nodes, texts, n_words, percent), "links")
+    compact = sketches(nodes)
+    first = materialize(confirmed(likely(stars, compact, percent), nodes, texts, n_words, percent), "links")
     roots = materialize(components(first), "roots")
     others = members.filter("node <> lo and node <> hi").select("sig", "node")  # pairs with the least and the greatest are checked
     placed = others.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
@@ -360,7 +373,7 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
     n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")
     largest = largest.filter("n_roots > 1").select("sig", "main", n_blocks(F.col("n")).alias("all_blocks"), n_blocks(F.col("n") - F.col("n_main")).alias("outside_blocks"))
     open_ = materialize(placed.join(largest, "sig"), "open")
-    more = confirmed(likely_in_blocks(open_, nodes, percent), nodes, texts, n_words, percent)
+    more = confirmed(likely_in_blocks(open_, compact, percent), nodes, texts, n_words, percent)
     ends = components(first.unionByName(more))
     least = nodes.join(ends, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))

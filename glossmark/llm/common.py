@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send so many rows to Python at once: long texts need less memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[[list], Iterator[pa.RecordBatch]] | Callable) -> DataFrame:
     """``mapInArrow`` for ``batch(columns as lists) -> dict of lists``; the output columns follow ``schema``."""
     fields = [x.strip().rsplit(" ", 1) for x in schema.split(",")]

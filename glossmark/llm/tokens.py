@@ -14,14 +14,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import materialize, texts_of
+from glossmark.llm.common import arrow_batches, materialize, texts_of
 from glossmark.llm.repair import Block, pack
 
 END_ID = 0
 #: Token ids after which a block is closed (it always holds whole documents).
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
+#: Texts that are encoded at once.
+BATCH_ROWS = 500
 
 # White space that is not a single space or line break between words; such texts go to the tokenizer whole.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -165,20 +167,18 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_pylist([{"part": part, "start_in_part": start, "n_tokens": held, "doc_ids": ids, "payload": payload}], schema=want)
 
         for b in batches:
-            step = 600
-            for a in range(0, b.num_rows, step):
-                rows = b.slice(a, step)
-                for doc, code in zip(rows.column(0).to_pylist(), tool.encode_ids([t or "" for t in rows.column(1).to_pylist()])):
-                    ids.append(doc)
-                    pieces.append(np.append(code, np.uint32(end)).astype(np.int32))
-                    held += len(pieces[-1])
-                    if held >= block_tokens:
-                        yield block()
-                        start, held, ids, pieces = start + held, 0, [], []
+            for doc, code in zip(b.column(0).to_pylist(), tool.encode_ids([t or "" for t in b.column(1).to_pylist()])):
+                ids.append(doc)
+                pieces.append(np.append(code, np.uint32(end)).astype(np.int32))
+                held += len(pieces[-1])
+                if held >= block_tokens:
+                    yield block()
+                    start, held, ids, pieces = start + held, 0, [], []
         if ids:
             yield block()
 
-    return materialize(ranged.mapInArrow(run, schema), "token-blocks")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return materialize(ranged.mapInArrow(run, schema), "token-blocks")
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:

@@ -61,9 +61,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.break_id = int(self._library(["\n"])[0][0])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.first, self.rest = Pieces(""), Pieces(" ")
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -86,7 +86,7 @@ class Encoder:
 
     def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first.number) + len(self.rest.number) > MEMO_PIECES:
-            self._forget()
+            self.forget()
         odd = [has_odd_space(t) for t in texts]
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for i, code in zip([i for i, x in enumerate(odd) if x], self._library([t for t, x in zip(texts, odd) if x])):
@@ -176,6 +176,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     start, held, ids, pieces = start + held, 0, [], []
         if ids:
             yield block()
+        tool.forget()  # a worker outlives the stage
 
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return materialize(ranged.mapInArrow(run, schema), "token-blocks")

@@ -25,7 +25,7 @@ from glossmark.llm.components import components
 #: Each size band reaches to so many times its least size.
 BAND_RATIO = 1.6
 #: Words that a worker remembers the hash of; beyond, it starts anew.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 60_000
 #: Ids (8 bytes each) up to which the documents to verify are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Shared hashes (8 bytes each) up to which they are broadcast to filter the index rows before their shuffle; beyond, all are shuffled.
@@ -214,9 +214,10 @@ def _arrow(df: DataFrame, schema: str, fields: list, rows: object) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 400):
-                out = rows(*(c.to_pylist() for c in b.slice(at, 400).columns))
+            for at in range(0, b.num_rows, 200):
+                out = rows(*(c.to_pylist() for c in b.slice(at, 200).columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, want)], schema=want)
+        pa.default_memory_pool().release_unused()  # a worker outlives the stage
 
     return df.mapInArrow(run, schema)
 

@@ -19,11 +19,11 @@ from glossmark.llm.repair import Block, pack
 
 END_ID = 0
 #: Token ids after which a block is closed (it always holds whole documents).
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 #: Pieces that a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
 #: Texts that are encoded at once.
-BATCH_ROWS = 500
+BATCH_ROWS = 400
 
 # White space that is not a single space or line break between words; such texts go to the tokenizer whole.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -177,6 +177,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         if ids:
             yield block()
         tool.forget()  # a worker outlives the stage
+        pa.default_memory_pool().release_unused()
 
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return materialize(ranged.mapInArrow(run, schema), "token-blocks")

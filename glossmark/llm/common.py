@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,13 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back_memory() -> None:
+    """At the end of a task: free memory goes back to the system, as the worker outlives the stage and others need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[[list], Iterator[pa.RecordBatch]] | Callable) -> DataFrame:
     """``mapInArrow`` for ``batch(columns as lists) -> dict of lists``; the output columns follow ``schema``."""
     fields = [x.strip().rsplit(" ", 1) for x in schema.split(",")]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import materialize, texts_of
+from glossmark.llm.common import give_back_memory, materialize, texts_of
 from glossmark.llm.components import components
 
 #: Each size band reaches to so many times its least size.
@@ -217,7 +217,8 @@ def _arrow(df: DataFrame, schema: str, fields: list, rows: object) -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 out = rows(*(c.to_pylist() for c in b.slice(at, 200).columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, want)], schema=want)
-        pa.default_memory_pool().release_unused()  # a worker outlives the stage
+        _memo.clear()
+        give_back_memory()
 
     return df.mapInArrow(run, schema)
 

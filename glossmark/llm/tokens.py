@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import arrow_batches, materialize, texts_of
+from glossmark.llm.common import arrow_batches, give_back_memory, materialize, texts_of
 from glossmark.llm.repair import Block, pack
 
 END_ID = 0
@@ -23,7 +23,7 @@ BLOCK_TOKENS = 600_000
 #: Pieces that a worker remembers; beyond, it starts anew.
 MEMO_PIECES = 150_000
 #: Texts that are encoded at once.
-BATCH_ROWS = 400
+BATCH_ROWS = 250
 
 # White space that is not a single space or line break between words; such texts go to the tokenizer whole.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -176,8 +176,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     start, held, ids, pieces = start + held, 0, [], []
         if ids:
             yield block()
-        tool.forget()  # a worker outlives the stage
-        pa.default_memory_pool().release_unused()
+        tool.forget()
+        give_back_memory()
 
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         return materialize(ranged.mapInArrow(run, schema), "token-blocks")

@@ -16,6 +16,10 @@ from glossmark.llm.common import materialize
 
 #: A subtree is template if it stands on so many pages of its host that have different main texts.
 MIN_PAGES = 3
+#: A block inside the main roots must also stand in at least this share of its host's different main texts.
+MAIN_SHARE = 0.5
+#: Up to so many template keys are broadcast; more are joined by shuffling.
+MAX_BROADCAST_KEYS = 200_000
 #: Parts that the rows of a host are dealt to, so that one host never meets in one task.
 SALTS = 64
 
@@ -33,6 +37,7 @@ CLOSES_P = BLOCKS - frozenset(("body", "html", "caption", "legend", "option", "t
 # A start tag of the key ends an open element of the value.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("table ul ol dl select td th body html article main section div".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that mark parts beside the article.
 ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|contentinfo|cookie|cookies|disqus|footer|header|menu|modal|nav|navbar|"
@@ -47,16 +52,23 @@ _SPACES = re.compile(r"[\s\x00]+")
 
 @dataclass
 class Node:
-    """An element: its name, its children (nodes and texts), and whether its own marks set it beside the article."""
+    """An element: its name, its children (nodes and texts), and whether it stands beside the article. ``marked`` if only its class, id
+    or role says so (or its name is form): that holds unless an article is inside it."""
 
     name: str
     aside: bool = False
+    marked: bool = False
+    set_aside: bool = False
     children: list = field(default_factory=list)
     key: int = 0
     n_text: int = 0
     n_link: int = 0
     main: bool = False
 
+    @property
+    def beside(self) -> bool:
+        return self.aside or self.set_aside
+
 
 def parse(page: str) -> Node:
     """A tree of the page. Missing and stray end tags are mended as browsers do in the common cases; no input fails."""
@@ -101,11 +113,13 @@ def parse(page: str) -> Node:
                         break
                     if stack[depth].name in SCOPES - set(SIBLINGS[name]):
                         break
-            node = Node(name, name in NEVER_TEXT)
+            node = Node(name, name in NEVER_TEXT and name != "form", name == "form")
             for k, *v in _ATTR.findall(attrs) if attrs else ():
                 k, v = k.lower(), "".join(v)
-                if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k in ("class", "id", "role") and name not in ("html", "body", "article", "main") and ASIDE_WORDS.search(v):
+                if k == "hidden" or k == "aria-hidden" and v.lower() == "true":
                     node.aside = True
+                elif k in ("class", "id", "role") and name not in ("html", "body") and name not in HEADINGS and ASIDE_WORDS.search(v):
+                    node.marked = True
             stack[-1].children.append(node)
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
@@ -130,7 +144,7 @@ def walk(root: Node) -> Iterator[tuple[Node, bool]]:
 def annotate(root: Node) -> None:
     """Hashes of all subtrees (names and texts, white space levelled, attributes ignored), text lengths, and the main root.
 
-    The main root is the topmost ``article`` or ``main`` with the most text that is not inside a part beside the article.
+    The main roots are all topmost ``article`` and ``main`` elements that are not inside a part beside the article.
     """
     for node, first in walk(root):
         if first:
@@ -145,54 +159,134 @@ def annotate(root: Node) -> None:
                 h.update(b"\x01" + t.encode("utf-8", "surrogatepass"))
                 node.n_text += len(t)
         node.key = int.from_bytes(h.digest(), "little", signed=True)
-    tops, depth_aside, depth_main = [], 0, 0
+    settle_marks(root, marked_too=False)
+    if not set_roots(root) and settle_marks(root, marked_too=True):
+        set_roots(root)
+
+
+def settle_marks(root: Node, marked_too: bool) -> bool:
+    """Marks set an element aside unless it holds an article or main (one that isn't marked itself, or any with ``marked_too``).
+
+    In an article the marks hold in any case: what it nests are comments and teasers. True if there is an article or main at all.
+    """
+    holds, depth_article, some = [], 0, False
+    for node, first in walk(root):
+        if first:
+            holds.append(False)
+            depth_article += node.name == "article"
+            continue
+        depth_article -= node.name == "article"
+        inside, is_main = holds.pop(), node.name in ("article", "main")
+        some |= is_main
+        if node.marked and not is_main:
+            node.set_aside = not inside or bool(depth_article)
+        if holds and (inside or is_main and (marked_too or not node.marked)):
+            holds[-1] = True
+    return some
+
+
+def set_roots(root: Node) -> bool:
+    found, depth_aside, depth_main = False, 0, 0
     for node, first in walk(root):
         is_main = node.name in ("article", "main")
         if first:
-            if is_main and not depth_aside and not depth_main:
-                tops.append(node)
-            depth_aside += node.aside
+            if is_main and not depth_aside and not depth_main and not node.beside:
+                node.main = found = True
+            depth_aside += node.beside
             depth_main += is_main
         else:
-            depth_aside -= node.aside
+            depth_aside -= node.beside
             depth_main -= is_main
-    if tops:
-        max(tops, key=lambda x: x.n_text).main = True
+    return found
+
+
+def main_roots(root: Node) -> list[Node]:
+    return [n for n, first in walk(root) if first and n.main]
+
 
+def tagged(node: Node, inside: bool) -> int:
+    """The key that a candidate is counted by: odd inside the main roots, where the rule is stricter, except for lists of links."""
+    strict = inside and (node.main or 2 * node.n_link <= node.n_text)
+    return node.key | 1 if strict else node.key & ~1
 
-def candidates(root: Node) -> list[int]:
-    """Keys of the subtrees that template counting may delete.
 
-    Outside the main root: every element with text. Inside: only elements that are mostly links, as an article's own paragraphs
-    can recur on a host (quotations, licence lines, copies) and stay text.
+def may_go(node: Node, n_roots: int) -> bool:
+    """Whether counting may delete the element: every block with text, but not the only main root."""
+    return bool(node.n_text) and node.name in BLOCKS and node.name not in ("html", "body") and not (node.main and n_roots == 1)
+
+
+def candidates(root: Node) -> dict[int, int]:
+    """Tagged keys of the subtrees that template counting may delete, each with the main text that it is counted for.
+
+    Outside the main roots, and for lists of links inside, that is the whole main part. For other blocks inside it is the longest
+    text of the main part that is not in the block: articles that are copies of each other but for a few words count once, so that
+    their own paragraphs stay. A block beside which there is no other text is counted for itself, once.
     """
-    out, inside = [], 0
-    for node, first in walk(root):
-        if not first:
-            inside -= node.main
+    roots, whole = main_roots(root), main_key(root)
+    out: dict[int, int] = {}
+    strict: list[tuple[int, int, int]] = []  # key, first and last place
+    own: list[tuple[int, str, int]] = []  # length, text, place
+    blocks: list[tuple[int, list[str]]] = []
+    inside = aside = place = 0
+    if not roots:
+        return {tagged(n, False): whole for n, first in walk(root) if first and may_go(n, 0)}
+    stack: list[tuple[Node | str, bool]] = [(root, True)]
+    begins: list[int] = []
+    while stack:
+        item, first = stack.pop()
+        if isinstance(item, str):
+            if inside and not aside and blocks:
+                blocks[-1][1].append(item)
+            continue
+        block = item.name in BLOCKS
+        if first:
+            inside += item.main
+            aside += item.beside
+            if block and inside:
+                place += 1
+                blocks.append((place, []))
+            begins.append(place)
+            stack.append((item, False))
+            stack.extend((c, True) for c in reversed(item.children))
             continue
-        if node.n_text and not node.main and node.name not in ("html", "body", "head"):
-            if not inside and node.name in BLOCKS:
-                out.append(node.key)
-            elif inside and node.name in BLOCKS and 2 * node.n_link > node.n_text:
-                out.append(node.key)
-        inside += node.main
-    return list(dict.fromkeys(out))
+        begin = begins.pop()
+        if block and inside:
+            at, parts = blocks.pop()
+            if t := _SPACES.sub(" ", "".join(parts)).strip():
+                own.append((len(t), t, at))
+        if may_go(item, len(roots)):
+            key = tagged(item, bool(inside))
+            if key & 1:
+                strict.append((key, begin, place))
+            else:
+                out.setdefault(key, whole)
+        aside -= item.beside
+        inside -= item.main
+    own.sort(key=lambda x: (-x[0], x[1]))
+    hashes: dict[str, int] = {}
+    for key, a, b in strict:
+        other = next((t for _, t, at in own if not a <= at <= b), None)
+        if other is not None and other not in hashes:
+            hashes[other] = int.from_bytes(blake2b(other.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        out.setdefault(key, key if other is None else hashes[other])
+    return out
 
 
 def main_key(root: Node) -> int:
-    """The hash of the main root, or of the whole page if it has none: pages with the same are copies."""
-    return next((n.key for n, first in walk(root) if first and n.main), root.key)
+    """The hash of the main roots, or of the whole page if it has none: pages with the same are copies."""
+    roots = main_roots(root)
+    if len(roots) < 2:
+        return roots[0].key if roots else root.key
+    return int.from_bytes(blake2b(b"".join(n.key.to_bytes(8, "little", signed=True) for n in roots), digest_size=8).digest(), "little", signed=True)
 
 
 def pieces(root: Node) -> list[tuple[str, list[int]]]:
-    """Blocks of the main root (else of the page) without parts beside the article, in page order.
+    """Blocks of the main roots (else of the page) without parts beside the article, in page order.
 
-    Each comes with the keys of the candidate subtrees around it: it goes if any of them is template. Neighbours with the same
+    Each comes with the tagged keys of the candidate subtrees around it: it goes if any of them is template. Neighbours with the same
     keys are joined.
     """
-    start = next((n for n, first in walk(root) if first and n.main), root)
-    may_go = frozenset(candidates(root))
+    roots = main_roots(root)
     out: list[tuple[list[str], list[int]]] = []
     parts: list[str] = []
     around: list[int] = []
@@ -207,19 +301,20 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
         else:
             out.append(([line], list(around)))
 
-    stack: list[tuple[Node | str, bool]] = [(start, True)]
+    starts = roots or [root]
+    stack: list[tuple[Node | str, bool]] = [(start, True) for start in reversed(starts)]
     while stack:
         item, first = stack.pop()
         if isinstance(item, str):
             parts.append(item)
             continue
-        guarded = item is not start and item.key in may_go and item.name in BLOCKS
+        guarded = item is not root and may_go(item, len(roots))
         if not first:
             end_block()
             if guarded:
                 around.pop()
             continue
-        if item is not start and item.aside:
+        if item.beside and item is not root:
             if item.name in BLOCKS:
                 end_block()
             continue
@@ -228,7 +323,7 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
         if item.name in BLOCKS:
             end_block()
             if guarded:
-                around.append(item.key)
+                around.append(tagged(item, bool(roots)))
             stack.append((item, False))
         stack.extend((c, True) for c in reversed(item.children))
     end_block()
@@ -250,8 +345,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     1. Every page is parsed once, into its text pieces, the keys of the subtrees around each, and the keys of all candidate
-    subtrees; this table goes to the shared folder. 2. Subtrees under ``min_pages`` or more different main parts of a host are its
-    template. 3. Pages with a piece inside a candidate subtree look their subtrees up in the template and lose these pieces.
+    subtrees; this table goes to the shared folder. 2. Subtrees under ``min_pages`` or more different main texts of a host are its
+    template; a block inside the main roots must stand in ``MAIN_SHARE`` of them too, as articles share openings, quotations and
+    licence lines. 3. Pages lose the pieces that are inside a template subtree.
     Elements that HTML or their class set beside an article (menus, headers, footers, notices, adverts, forms, scripts, comments)
     go anyway, as a host with few pages shows no recurrence.
     A null or empty page has the empty text. A null url counts as one host of its own. Repeated rows each get a row. Null ids are
@@ -262,7 +358,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     piece = pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))])
-    want = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("row", pa.binary()), ("main", pa.int64()), ("candidates", pa.list_(pa.int64())), ("pieces", pa.list_(piece))])
+    seen_in = pa.struct([("key", pa.int64()), ("main", pa.int64())])
+    want = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("row", pa.binary()), ("main", pa.int64()), ("candidates", pa.list_(seen_in)), ("pieces", pa.list_(piece))])
 
     def parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,21 +369,28 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 # Rows are told apart by all they hold: equal rows have equal results.
                 row = blake2b(repr((page, url_, html_)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 found = [{"text": t, "keys": k} for t, k in pieces(root)]
-                out.append({"page_id": page, "url": url_, "host": host_, "row": row, "main": main_key(root), "candidates": candidates(root), "pieces": found})
+                out.append({"page_id": page, "url": url_, "host": host_, "row": row, "main": main_key(root), "candidates": [{"key": k, "main": m} for k, m in candidates(root).items()], "pieces": found})
             yield pa.RecordBatch.from_pylist(out, schema=want)
 
-    schema = "page_id long, url string, host string, row binary, main long, candidates array<long>, pieces array<struct<text: string, keys: array<long>>>"
+    schema = "page_id long, url string, host string, row binary, main long, candidates array<struct<key: long, main: long>>, pieces array<struct<text: string, keys: array<long>>>"
     parsed = materialize(rows.mapInArrow(parse_rows, schema), "pages")
 
-    seen = parsed.select("host", F.explode("candidates").alias("key"), "main").distinct()
-    template = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "key")
-    salted_template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = parsed.select("host", F.explode("candidates").alias("c")).select("host", "c.key", "c.main").distinct()
+    counted = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    mains = parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_main"))
+    enough = (F.col("key").bitwiseAND(1) == 0) | (F.col("n") >= F.col("n_main") * MAIN_SHARE)
+    template = materialize(counted.join(mains, "host").filter(enough).select("host", "key"), "template")
     inside = F.array_distinct(F.flatten("pieces.keys"))
-    guarded = parsed.filter(F.size(inside) > 0)
-    asked = guarded.select("row", "host", F.explode(inside).alias("key")).distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    gone = asked.join(salted_template, ["host", "key", "salt"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("gone"))
-    whole = parsed.filter(F.size(inside) == 0).select("page_id", "url", "pieces")
+    asked = parsed.filter(F.size(inside) > 0).select("row", "host", F.explode(inside).alias("key"))
+    if template.count() <= MAX_BROADCAST_KEYS:
+        hit = asked.join(F.broadcast(template), ["host", "key"], "left_semi")
+    else:
+        salted_template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = asked.distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        hit = salted.join(salted_template, ["host", "key", "salt"], "left_semi")
+    # As a table its size is known, so that a small one is broadcast and no page is shuffled.
+    gone = materialize(hit.groupBy("row").agg(F.collect_set("key").alias("gone")), "gone")
     stays = lambda p: ~F.arrays_overlap(p["keys"], F.coalesce("gone", F.array().cast("array<long>")))
-    cut = guarded.join(gone, "row", "left").select("page_id", "url", F.filter("pieces", stays).alias("pieces"))
+    cut = parsed.join(gone, "row", "left").select("page_id", "url", F.filter("pieces", stays).alias("pieces"))
     text = F.array_join("pieces.text", "\n")
-    return whole.unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return cut.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -410,6 +410,30 @@ def test_html(spark):
     assert html_text.extract_pages(pages).count() == len(rows) + 1 and html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_template_inside_the_article(spark):
+    story = lambda i: " ".join(f"word{i}x{j}" for j in range(9))
+    box = "<div>Get our letter each week</div>"
+    rows = [(i, f"https://box.org/{i}", f"<article><h1>Title {i}</h1>{box}<p>{story(i)}</p></article>") for i in range(6)]
+    # Copies of one article, and an opening that few articles share, are no template.
+    rows += [(10 + i, f"https://copy.org/{i}", f"<article><p>{story(0)}</p><p>{story(1)} and</p><p>No {i}</p></article>") for i in range(6)]
+    rows += [(20 + i, f"https://few.org/{i}", f"<article>{'<p>Same opening</p>' if i < 3 else ''}<p>{story(i)}</p></article>") for i in range(9)]
+    # Word list: wrappers of an article, headings; all top roots; marked comments still go.
+    rows += [
+        (30, "https://a.org/1", '<div class="search layout"><article><h2 class="header">Top</h2><p>Body</p></article></div>'),
+        (31, "https://b.org/1", "<article><p>First part</p></article><article><p>Second part, longer</p></article>"),
+        (32, "https://c.org/1", '<article><p>Body</p></article><section class="comments"><article class="comment">me too</article></section>'),
+        (33, "https://d.org/1", "<form action=x><article><p>Body</p></article></form>"),
+        (34, "https://e.org/1", '<div class="widget"><article class="widget post"><p>Body</p></article></div>'),
+        (35, "https://f.org/1", '<main><div class="social wall"><article><p>Body</p><div class="related"><article>Teaser</article></div></article></div></main>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {k: r.text for k, r in by_id(html_text.extract_pages(pages), "page_id").items()}
+    assert [out[i] for i in range(6)] == [f"Title {i}\n{story(i)}" for i in range(6)]
+    assert [out[10 + i] for i in range(6)] == [f"{story(0)}\n{story(1)} and\nNo {i}" for i in range(6)]
+    assert [out[20 + i] for i in range(9)] == ["Same opening\n" * (i < 3) + story(i) for i in range(9)]
+    assert [out[i] for i in range(30, 36)] == ["Top\nBody", "First part\nSecond part, longer", "Body", "Body", "Body", "Body"]
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", "", None

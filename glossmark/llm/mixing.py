@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling: earliest deadline first over blocks with release times and deadlines.
 
-DataFrame functions only. In a round every source gives a whole number of blocks, its parts. Block k of a source with c of the S
-blocks of a round is released at floor(k S / c) and due by ceil((k + 1) S / c). Each slot goes to the released block with the
-earliest deadline, so in every prefix of the round each source is less than one block off its share.
+DataFrame functions only. A round is PARTS blocks of virtual time. By the end of round z a source of weight w has given
+floor(w PARTS (z + 1) + phase) blocks, so what a round rounds off is carried to the next ones and no error grows with the input. In a
+round of S blocks, block k of a source with c of them is released at floor(k S / c) and due by ceil((k + 1) S / c). Each slot goes to
+the released block with the earliest deadline, so in every prefix of the round each source is less than one block off its share of it.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and blocks that a round has in all (each source has one at least).
+#: Rows of a block, and blocks that a round of all sources has on average.
 BLOCK_ROWS, PARTS = 16, 100
 #: Weights follow the number of rows to this power if none are given: small sources count for more than their share.
 TEMPERATURE = 0.5
-#: More sources than this are refused: a round's plan is one row, and its table is broadcast.
-MAX_SOURCES = 1000
+#: A plan of up to so many blocks is broadcast; a longer one is joined by shuffling.
+MAX_BROADCAST_BLOCKS = 100_000
+#: Blocks that are made from one array, and rounds that a task sums up in order.
+CHUNK, ROUNDS = 10_000, 4096
+#: Tasks that the rounds are scheduled in; given, as few bytes of rounds make much work.
+TASKS = 32
 #: Rows that one ranking bucket of a source should hold; a task ranks a bucket, never a source.
 BUCKET_ROWS = 50_000
 
@@ -27,8 +32,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("-"))
 
 
-def _parts(counts: DataFrame, weights: Mapping[str, float] | None) -> DataFrame:
-    """key, n, blocks, q: the blocks of each source, and how many a full round takes."""
+def _sources(counts: DataFrame, weights: Mapping[str, float] | None) -> DataFrame:
+    """key, blocks, pace, phase, z0: the blocks of each source, how many it gives a round, and its first round.
+
+    Sources of weight 0, or without one, share alike in rounds behind those of all others.
+    """
     if weights:
         if min(weights.values()) < 0:
             raise ValueError("a weight is negative")
@@ -36,9 +44,20 @@ def _parts(counts: DataFrame, weights: Mapping[str, float] | None) -> DataFrame:
         w = F.coalesce(F.try_element_at(given, F.col("key")), F.lit(0.0))
     else:
         w = F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))
-    whole = Window.partitionBy(F.lit(1))
-    share = F.when(F.sum("w").over(whole) > 0, F.col("w") / F.sum("w").over(whole)).otherwise(F.lit(0.0))
-    return counts.withColumn("w", w).withColumn("q", F.greatest(F.lit(1), F.floor(share * PARTS + 0.5)).cast("long"))
+    last = w <= 0
+    # One row a source. Phases are spread over the sources by weight, so that alike ones don't all give a block in the same round.
+    whole, tier = Window.partitionBy(F.lit(1)), Window.partitionBy("last")
+    s = counts.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"), last.alias("last"), F.when(last, 1.0).otherwise(w).alias("w"))
+    s = s.withColumn("pace", F.col("w") / F.sum("w").over(tier) * PARTS)
+    s = s.withColumn("phase", (F.row_number().over(tier.orderBy(F.desc("w"), "key")) - 0.5) / F.count(F.lit(1)).over(tier))
+    ends = F.when(~F.col("last"), _round_of(F.col("blocks") - 1) + 1)
+    z0 = F.when(F.col("last"), F.coalesce(F.max(ends).over(whole), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return s.select("key", "blocks", "pace", "phase", z0.alias("z0"))
+
+
+def _round_of(block: Column) -> Column:
+    """The first round z with floor(pace (z + 1) + phase) > block."""
+    return F.greatest(F.ceil((block + 1 - F.col("phase")) / F.col("pace")) - 1, F.lit(0)).cast("long")
 
 
 def earliest_deadline_first(c: Column, total: Column) -> Column:
@@ -61,28 +80,25 @@ def earliest_deadline_first(c: Column, total: Column) -> Column:
 
 
 def plan_of(counts: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """key, q, z0, k, slot, base, total, blocks_in_round: where block k of a source stands in the rounds from z0 on.
-
-    The rounds of a regime are alike; a new one begins where a source has its last full round behind it, or its last part of one.
-    """
-    parts = _parts(counts, weights).select("key", "q", F.floor((F.col("n") + (BLOCK_ROWS - 1)) / BLOCK_ROWS).cast("long").alias("blocks"))
-    one = parts.agg(F.array_sort(F.collect_list(F.struct("key", "q", "blocks"))).alias("s"))
-    full = lambda x: F.floor(x["blocks"] / x["q"]).cast("long")
-    rounds = lambda x: F.ceil(x["blocks"] / x["q"]).cast("long")
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.array(F.lit(0).cast("long"), full(x), rounds(x))))))
-    regimes = one.withColumn("edges", edges).select("s", "edges", F.posexplode("edges").alias("at", "z0")).filter(F.col("at") + 1 < F.size("edges"))
-    left = lambda x: F.greatest(F.least(x["q"], x["blocks"] - F.col("z0") * x["q"]), F.lit(0).cast("long"))
-    regimes = regimes.withColumn("c", F.transform("s", left)).withColumn("z1", F.element_at("edges", F.col("at") + 2))
-    regimes = regimes.withColumn("total", F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b))
-    # At most two regimes a source, so one window over them is small.
-    before = Window.partitionBy(F.lit(1)).orderBy("z0").rowsBetween(Window.unboundedPreceding, -1)
-    regimes = regimes.withColumn("base", F.coalesce(F.sum((F.col("z1") - F.col("z0")) * F.col("total")).over(before), F.lit(0)).cast("long"))
-    regimes = regimes.repartition("z0").withColumn("order", earliest_deadline_first(F.col("c"), F.col("total")))
-    slots = regimes.select("z0", "s", "c", "base", "total", F.posexplode("order").alias("slot", "i"))
-    mine = Window.partitionBy("z0", "i").orderBy("slot")
+    """key, block, round, released, due, slot: one row for each block of each source."""
+    chunks = _sources(counts, weights).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(CHUNK).cast("long"))))
+    upto = F.least(F.col("from") + (CHUNK - 1), F.col("blocks") - 1)
+    blocks = chunks.withColumn("block", F.explode(F.sequence(F.col("from"), upto))).select("key", "block", (F.col("z0") + _round_of(F.col("block"))).alias("round"))
+    jobs = blocks.groupBy("round", "key").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("first"))
+    rounds = jobs.groupBy("round").agg(F.array_sort(F.collect_list(F.struct("key", "c", "first"))).alias("s"), F.sum("c").alias("total"))
+    rounds = rounds.withColumn("part", F.floor(F.col("round") / ROUNDS).cast("long"))
+    parts = rounds.groupBy("part").agg(F.sum("total").alias("t"))
+    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rounds.select("round", "part", "total").join(starts, "part").select("round", (F.col("start") + F.coalesce(F.sum("total").over(inside), F.lit(0))).alias("base"))
+    order = earliest_deadline_first(F.col("s.c"), F.col("total"))
+    slots = rounds.join(bases, "round").repartition(TASKS, "round").select("round", "s", "base", "total", F.posexplode(order).alias("slot", "i"))
+    k = (F.row_number().over(Window.partitionBy("round", "i").orderBy("slot")) - 1).cast("long")
+    slots = slots.select("round", "base", "total", "slot", F.col("s")[F.col("i")].alias("x"), k.alias("k"))
     return slots.select(
-        F.col("s")[F.col("i")]["key"].alias("key"), "z0", (F.row_number().over(mine) - 1).cast("long").alias("k"), F.col("slot").cast("long").alias("slot"),
-        "base", "total", F.col("c")[F.col("i")].alias("blocks_in_round"),
+        "x.key", (F.col("x.first") + F.col("k")).alias("block"), "round", F.floor(F.col("k") * F.col("total") / F.col("x.c")).cast("long").alias("released"),
+        F.ceil((F.col("k") + 1) * F.col("total") / F.col("x.c")).cast("long").alias("due"), (F.col("base") + F.col("slot")).cast("long").alias("slot"),
     )
 
 
@@ -90,15 +106,13 @@ def with_positions(docs: DataFrame, weights: Mapping[str, float] | None = None,
     """``docs`` with a struct ``__mix``: block, round, released and due (slots of the round), slot (of all rounds, gapless from 0) and
     rank (row of the block).
 
-    Rows of a source are dealt to blocks in the order of a hash of their id. A null source is a source of its own. Sources without
-    a weight, or all if weights are given that fit none, get one block a round. Repeated rows and null ids are kept. An empty table
-    gives no rows. Sources differ in length: one that is used up leaves the round, and the others go on in their proportion.
+    Rows of a source are dealt to blocks in the order of a hash of their id. A null source is a source of its own. Sources of weight 0
+    or without a weight come behind all others and share alike. Repeated rows and null ids are kept. An empty table gives no rows.
+    Sources differ in length: one that is used up leaves the rounds, and the others go on in their proportion.
     """
     rows = docs.withColumn("__key", source_key(F.col(source_col)))
     counts = rows.groupBy(F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    n_sources, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).head()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    n_blocks, n_rows = counts.agg(F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
     n_buckets = max(16, -(-n_rows // BUCKET_ROWS))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_buckets)).cast("int"))
     sizes = rows.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -107,19 +121,9 @@ def with_positions(docs: DataFrame, weights: Mapping[str, float] | None = None,
     inside = Window.partitionBy("__key", "__bucket").orderBy(id_col)
     ranked = rows.withColumn("__rank", F.row_number().over(inside) - 1).join(offsets, ["__key", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__offset")).withColumn("__block", F.floor(F.col("__rank") / BLOCK_ROWS).cast("long"))
-    plan = plan_of(counts, weights)
-    per_source = _parts(counts, weights).select(F.col("key").alias("__key"), F.col("q").alias("__q"))
-    starts = plan.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_set("z0")).alias("__z0s"))
-    small = F.broadcast(per_source.join(starts, "__key"))  # one row a source, at most MAX_SOURCES
-    ranked = ranked.join(small, "__key").withColumn("__z", F.floor(F.col("__block") / F.col("__q")).cast("long"))
-    ranked = ranked.withColumn("z0", F.array_max(F.filter("__z0s", lambda z: z <= F.col("__z")))).withColumn("k", F.col("__block") % F.col("__q"))
-    # At most two regimes a source with PARTS + MAX_SOURCES slots each.
-    placed = ranked.join(F.broadcast(plan.withColumnRenamed("key", "__key")), ["__key", "z0", "k"])
-    mix = F.struct(
-        F.col("__block").alias("block"), F.col("__z").alias("round"), F.floor(F.col("k") * F.col("total") / F.col("blocks_in_round")).cast("long").alias("released"),
-        F.ceil((F.col("k") + 1) * F.col("total") / F.col("blocks_in_round")).cast("long").alias("due"),
-        (F.col("base") + (F.col("__z") - F.col("z0")) * F.col("total") + F.col("slot")).alias("slot"), (F.col("__rank") % BLOCK_ROWS).cast("long").alias("rank"),
-    )
+    plan = plan_of(counts, weights).select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.struct("block", "round", "released", "due", "slot").alias("__at"))
+    placed = ranked.join(F.broadcast(plan) if n_blocks <= MAX_BROADCAST_BLOCKS else plan, ["__key", "__block"])
+    mix = F.struct("__at.*", (F.col("__rank") % BLOCK_ROWS).cast("long").alias("rank"))
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
 
 

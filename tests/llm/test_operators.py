@@ -145,6 +145,30 @@ def test_mixing_deviates_less_than_a_block(spark):
         assert all(x == sorted(x) for x in at.values())
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, {"a": 0.999, "b": 0.001}, {"a": 0.5, "b": 0.2995, "c": 0.2, "d": 0.0005}, {f"s{i}": 1 for i in range(30)} | {"a": 30}])
+def test_mixing_follows_the_target_weights(spark, weights):
+    total, slots = sum(weights.values()), 6000
+    sizes = [(s, 16 * (int(w / total * slots) + 3)) for s, w in weights.items()] + [("zero", 40)]
+    docs = spark.createDataFrame(sizes, "source string, n long").select("source", F.explode(F.sequence(F.lit(1), "n")).alias("doc_id"))
+    out = mixing.schedule(docs, weights | {"zero": 0})
+    plan = out.filter("rank = 0").collect()
+    order = [r.source for r in sorted(plan, key=lambda r: r.slot)]
+    assert [r.slot for r in sorted(plan, key=lambda r: r.slot)] == list(range(sum(-(-n // 16) for _, n in sizes)))
+    assert out.select("source", "block", "rank").distinct().count() == sum(n for _, n in sizes)
+    done, worst = collections.Counter(), 0
+    for t, s in enumerate(order[: slots - 100], 1):
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - w / total * t) for x, w in weights.items()))
+    assert worst < 2
+    assert order[-3:] == ["zero"] * 3
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("source"))
+    out = mixing.schedule(docs).collect()
+    assert sorted(r.doc_id for r in out) == list(range(3000)) and {r.slot for r in out} == set(range(1500))
+
+
 def test_mixing_earliest_deadline(spark):
     c = [7, 3, 2, 1]
     got = spark.range(1).select(mixing.earliest_deadline_first(F.array(*(F.lit(x).cast("long") for x in c)), F.lit(13).cast("long")).alias("o")).head().o

@@ -71,9 +71,9 @@ def labelled_segments(text: Column) -> Column:
 
 
 def relabelled(parts: Column) -> Column:
-    """The stem, then each option under the letter of its place, one a line."""
+    """The stem, then each option under the letter of its place, one a line; options beyond the last letter stay as they are."""
     letter = lambda i: F.substring(F.lit(OPTION_LETTERS), i, F.lit(1))
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(letter(i.cast("int")), F.lit(". "), p))), "\n")
+    return F.array_join(F.transform(parts, lambda p, i: F.when((i == 0) | (i > len(OPTION_LETTERS)), p).otherwise(F.concat(letter(i.cast("int")), F.lit(". "), p))), "\n")
 
 
 def canonical_number(n: Column) -> Column:

@@ -79,6 +79,12 @@ def q_segment_relabel(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.relabelled(parts)).alias("h"))
 
 
+@query("""with l as (select doc_id, string_split(text, chr(10)) as p from documents)
+select doc_id, md5(array_to_string(list_transform(p, lambda x, i: case when i = 1 or i > 13 then x else substr('ABCDEFGHIJKL', cast(i - 1 as int), 1) || '. ' || x end), chr(10))) as h from l""")
+def q_segment_relabel_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.relabelled(F.split("text", "\n"))).alias("h"))
+
+
 @query(r"""select doc_id, len(regexp_extract_all(text, '\p{L}')) as letters, round(case when len(regexp_extract_all(text, '\p{L}')) > 0 then len(regexp_extract_all(text, '[a-zA-Z]')) / len(regexp_extract_all(text, '\p{L}')) else 0.0 end, 6) as frac from documents""")
 def q_script_fraction(spark, sf_dir):
     t = F.col("text")
@@ -98,6 +104,18 @@ def q_script_leak_src_exempt(spark, sf_dir):
     return rows.select("id", few.cast("int").alias("bn_letters_min"), *[c[n].alias(n) for n in ("assamese_n", "devanagari_n", "double_virama_n", "other_script_n", "other_script_chars")])
 
 
+@query(rf"""with {PAIRS}, l as (select item_id, len(list_filter(regexp_extract_all(hyp, '[\x{{980}}-\x{{9ff}}]'), lambda c: regexp_matches(c, '\p{{L}}'))) as bn_letters,
+len(regexp_extract_all(hyp, '[\x{{9f0}}\x{{9f1}}]')) as assamese_n, list_filter(regexp_extract_all(hyp, '[\x{{900}}-\x{{963}}\x{{966}}-\x{{97f}}]'), lambda c: not contains(src, c)) as d,
+len(regexp_extract_all(hyp, '\x{{9cd}}\x{{9cd}}')) as double_virama_n,
+list_filter(regexp_extract_all(hyp, '[\p{{L}}\p{{Nl}}\p{{No}}]'), lambda c: regexp_matches(c, '[^\x00-\x{{24f}}\x{{370}}-\x{{3ff}}\x{{900}}-\x{{9ff}}\x{{2000}}-\x{{206f}}]') and not contains(src, c)) as o,
+list_filter(regexp_extract_all(hyp, '[\x{{370}}-\x{{3ff}}]'), lambda c: not contains(src, c) and not contains('{checks.GREEK_SYMBOLS}', c)) as g from pairs)
+select item_id, bn_letters, assamese_n, len(d) as devanagari_n, double_virama_n, len(o) + len(g) as other_script_n, array_to_string(list_sort(list_distinct(list_concat(list_concat(o, g), d))), '') as other_script_chars from l""")
+def q_script_leak_pairs(spark, sf_dir):
+    c = checks.script_checks(F.col("hyp"), F.col("src"))
+    n = [c[x].cast("long").alias(x) for x in ("assamese_n", "devanagari_n", "double_virama_n", "other_script_n")]
+    return pairs(spark, sf_dir).select("item_id", F.regexp_count("hyp", F.lit(checks.BENGALI_LETTERS)).cast("long").alias("bn_letters"), *n, c["other_script_chars"].alias("other_script_chars"))
+
+
 _TOKENS = lambda c: f"regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*')"
 _UNITS = "[" + ", ".join(f"'{u}'" for u in checks.UNITS) + "]"
 
@@ -166,6 +184,19 @@ def q_chrf_consensus(spark, sf_dir):
     return scores.consensus(rows, chrf).select("item_id", "translator", r6("consensus_chrf").alias("consensus_chrf"))
 
 
+# Whole texts are too long for the gram joins of the SQL form: tests/test_whole_texts.py compares these two with brute force.
+@query()
+def q_chrf_pair_whole(spark, sf_dir):
+    return pairs(spark, sf_dir).select(F.col("item_id").alias("id"), r6(chrf(F.col("hyp"), F.col("src"))).alias("chrf"))
+
+
+@query()
+def q_chrf_consensus_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    rows = c.select(F.col("conv_id").alias("item_id"), F.col("turn").cast("string").alias("translator"), F.col("text").alias("hyp"))
+    return scores.consensus(rows, chrf).select("item_id", "translator", r6("consensus_chrf").alias("consensus_chrf"))
+
+
 _LOOSE = lambda c: rf"list_distinct(regexp_extract_all({c}, '(?m)^{_WS}*([A-L]){_WS}*[.:]{_WS}+', 1))"
 
 
@@ -187,6 +218,15 @@ def q_answer_key(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, a string, t string").select("id", checks.answer_key_problem(F.col("a"), F.col("t")).alias("problem"))
 
 
+@query(rf"""with {PAIRS}, l as (select item_id, substr('ABCDEFGHIJKL', cast(item_id % 12 + 1 as int), 1) as k, string_split(hyp, chr(10)) as p from pairs),
+o as (select item_id, k, array_to_string(list_transform(p, lambda x, i: case when i = 1 or i > 13 then x else substr('ABCDEFGHIJKL', cast(i - 1 as int), 1) || '. ' || x end), chr(10)) as t from l),
+f as (select item_id, k, t, list_filter(string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '\A{_WS}*' || k || '{_WS}*[.:]{_WS}+')) as there from o)
+select item_id, case when regexp_replace(t, '{_WS}+', '', 'g') <> '' and len(there) = 0 then 'answer_option_missing_' || k end as problem from f""")
+def q_answer_key_pairs(spark, sf_dir):
+    key = F.substring(F.lit(text.OPTION_LETTERS), (F.col("item_id") % 12 + 1).cast("int"), F.lit(1))
+    return pairs(spark, sf_dir).select("item_id", checks.answer_key_problem(key, text.relabelled(F.split("hyp", "\n"))).alias("problem"))
+
+
 @query()
 def q_sentence_chunks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -15,121 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import arrow_batches, give_back_memory, materialize, texts_of
+from glossmark.llm.encoder import encoder
 from glossmark.llm.repair import Block, pack
 
 END_ID = 0
 #: Token ids after which a block is closed (it always holds whole documents).
 BLOCK_TOKENS = 600_000
-#: Pieces that a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 150_000
-#: Texts that are encoded at once.
-BATCH_ROWS = 250
-
-# White space that is not a single space or line break between words; such texts go to the tokenizer whole.
-_ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
-_ODD_CHARS = tuple(map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
-
-
-def has_odd_space(text: str) -> bool:
-    return any(x in text for x in _ODD_PAIRS) or any(x in text for x in _ODD_CHARS)
-
-
-class Pieces:
-    """Ids of the pieces met so far: a number for each piece, and where its ids lie in one array."""
-
-    def __init__(self, before: str) -> None:
-        self.before = before
-        self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)  # grow by whole batches
-
-    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.number.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-
-
-class Encoder:
-    """Ids of texts as unsigned 32-bit numbers.
-
-    The byte-level pre-tokenizer always cuts before a single space and on both sides of a single line break that stand between
-    words, so these pieces are encoded apart, each distinct piece once a worker.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.break_id = int(self._library(["\n"])[0][0])
-        self.forget()
-
-    def forget(self) -> None:
-        self.first, self.rest = Pieces(""), Pieces(" ")
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _numbers(self, known: Pieces, words: list[str]) -> np.ndarray:
-        """The numbers of words. New ones go to the library as lines of texts: no piece holds a line break, so its id parts them again."""
-        got = list(map(known.number.get, words))
-        gaps = [i for i, n in enumerate(got) if n is None]
-        if gaps:
-            new = [words[i] for i in gaps]
-            parts = [new[i : i + 2000] for i in range(0, len(new), 2000)]
-            # A line break between any two pieces, those of two parts as well.
-            found = self._library(["\n".join([known.before + w for w in part]) for part in parts])
-            ids = np.concatenate([x for ids in found for x in (ids, np.array([self.break_id], np.uint32))])
-            for i, n in zip(gaps, range(len(known.sizes), len(known.sizes) + len(gaps))):
-                got[i] = n
-            known.add(new, ids[ids != self.break_id], np.diff(np.flatnonzero(ids == self.break_id), prepend=-1) - 1)
-        return np.array(got, dtype=np.int64)
-
-    def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first.number) + len(self.rest.number) > MEMO_PIECES:
-            self.forget()
-        odd = [has_odd_space(t) for t in texts]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for i, code in zip([i for i, x in enumerate(odd) if x], self._library([t for t, x in zip(texts, odd) if x])):
-            out[i] = code
-        plain = [i for i, x in enumerate(odd) if not x]
-        if not plain:
-            return out
-        # A line break becomes a word of its own; the word behind it, as the first of a text, has no space before it.
-        lists = pc.split_pattern(pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string()), " ")
-        begins = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        number, words = coded.indices.to_numpy(), np.array(coded.dictionary.to_pylist(), dtype=object)
-        is_break = words == "\n"
-        leads = np.zeros(len(number), bool)
-        leads[begins[:-1]] = True
-        leads[1:] |= is_break[number[:-1]]
-        breaks = is_break[number]
-        size, source = np.ones(len(number), np.int32), np.zeros(len(number), np.int32)
-        for known, mask in ((self.first, leads & ~breaks), (self.rest, ~leads & ~breaks)):
-            which = np.flatnonzero(np.bincount(number[mask], minlength=len(words)))
-            place = np.zeros(len(words), np.int32)
-            place[which] = self._numbers(known, words[which].tolist())
-            at = place[number[mask]]
-            size[mask], source[mask] = known.sizes[at], known.starts[at]
-            if known is self.rest:
-                source[mask] += len(self.first.ids)
-        flat = np.concatenate([self.first.ids, self.rest.ids, np.array([self.break_id], np.uint32)])
-        source[breaks] = len(flat) - 1
-        ends = np.cumsum(size, dtype=np.int32)
-        ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(source - (ends - size), size)]
-        cut = np.concatenate([[0], ends])[begins]
-        for i, a, b in zip(plain, cut[:-1].tolist(), cut[1:].tolist()):
-            out[i] = ids[a:b]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self.encode_ids(texts)]
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
+#: Texts that a worker receives at once, and bytes of text that are encoded at once (a longer text is encoded alone).
+BATCH_ROWS, SLICE_BYTES = 250, 1 << 20
 
 def file_order(docs: DataFrame) -> DataFrame | None:
     """``docs`` with the name of its file and the place in it as ``__file`` and ``__row``; None if the rows come from no files."""
@@ -139,6 +31,17 @@ def file_order(docs: DataFrame) -> DataFrame | None:
         return None
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``SLICE_BYTES`` of text (its second column)."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        limit = SLICE_BYTES + (size[at - 1] if at else 0)
+        stop = max(at + 1, int(np.searchsorted(size, limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, keep_order: bool = False) -> DataFrame:
     """The table of blocks, written in the shared folder and read back: part, start_in_part, n_tokens, doc_ids, payload.
 
@@ -158,6 +61,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = tool.n_ids  # the end of a document, told apart from the token with the end id
+        close = np.array([end], np.uint32)
         ids: list = []
         pieces: list[np.ndarray] = []
         held = 0
@@ -167,16 +71,16 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_pylist([{"part": part, "start_in_part": start, "n_tokens": held, "doc_ids": ids, "payload": payload}], schema=want)
 
         for b in batches:
-            for doc, code in zip(b.column(0).to_pylist(), tool.encode_ids([t or "" for t in b.column(1).to_pylist()])):
-                ids.append(doc)
-                pieces.append(np.append(code, np.uint32(end)).astype(np.int32))
-                held += len(pieces[-1])
-                if held >= block_tokens:
-                    yield block()
-                    start, held, ids, pieces = start + held, 0, [], []
+            for part_of in slices(b):
+                for doc, code in zip(part_of.column(0).to_pylist(), tool.encode_column(part_of.column(1))):
+                    ids.append(doc)
+                    pieces += [code, close]
+                    held += len(code) + 1
+                    if held >= block_tokens:
+                        yield block()
+                        start, held, ids, pieces = start + held, 0, [], []
         if ids:
             yield block()
-        tool.forget()
         give_back_memory()
 
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
@@ -191,7 +95,8 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rows = blocks.join(offsets, "part").select((F.col("offset") + F.col("start_in_part")).alias("start"), "doc_ids", "payload")
+    # One row for each task that wrote: broadcast, so that the payload is read where it lies.
+    rows = blocks.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("start_in_part")).alias("start"), "doc_ids", "payload")
     want = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossmark.llm import components, decontaminate, html_text, jaccard, mixing, pii, quality, queries, repair, secrets, sharding, tokens, url_filter
+from glossmark.llm import components, decontaminate, encoder, html_text, jaccard, mixing, pii, quality, queries, repair, secrets, sharding, tokens, url_filter
 
 ODD = [
     (1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "Two words"), (6, "the same words again and again the same words again and again"), (6, "the same words again and again the same words again and again"),
@@ -249,14 +250,40 @@ def test_tokens_odd_texts(spark):
 
     tool = Tokenizer.from_file(queries.tokenizer_path())
     texts = ["", "a", " a", "a ", "a  b", "a\nb", "a \nb", "\n", "a\n\nb", "Ünï cödé", "x\u00a0y", "don't stop.", "<|endoftext|> a", "1234 56", "tab\tx", "end.\n", "emoji 😀 x", "a.b,c !", "...", " ", "a\r\nb"]
-    assert [list(memoryview(x).cast("I")) if x else [] for x in tokens.Encoder(queries.tokenizer_path()).encode(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(x).cast("I")) if x else [] for x in encoder.Encoder(queries.tokenizer_path()).encode(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
     out = tokens.read_blocks(tokens.write_blocks(odd_docs(spark), queries.tokenizer_path(), block_tokens=50))
     assert out.count() == len(ODD)
     assert tokens.read_blocks(tokens.write_blocks(odd_docs(spark).limit(0), queries.tokenizer_path())).count() == 0
 
 
+def test_encoder_equals_the_library():
+    """Random strings of all kinds of pieces and white space, over a table so small that places are fought for."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    kinds = ["a", "B", "\u00e9", "'", "'s", "'re", "5", "42", ".", ",", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u4e2d", "\U0001f642", " the", "ing", "<|endoftext|>", "''s", " 's", "\u2019", "_", "e\u0301", "\r"]
+    kinds += ["\u0085", "\u00a0", "\u2003", "\u3000", "\ufeff", "\u00b2", "\x00", "\u0663", "x" * 30, "\u00e9" * 13, "~" * 12]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices(kinds, k=rnd.randint(0, 14))) for _ in range(4000)] + [" ".join(rnd.choices(["one", "two", "3,", "four's", "\u00e9t\u00e9"], k=40)) for _ in range(50)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = queries.tokenizer_path(name)
+        tool, mine, got = Tokenizer.from_file(path), encoder.Encoder(path, slot_bits=6), []
+        for i in range(0, len(texts), 300):
+            got += mine.encode_column(pa.array(texts[i : i + 300]))
+        assert [x.tolist() for x in got] == [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in mine.encode_column(pa.array([None, "", "a"]).slice(0, 2))] == [[], []]
+
+
+def test_repair_wide_vocabulary():
+    """A vocabulary beyond 16 bits gets rules too, and comes back whole."""
+    end = 200_000
+    seq = np.array(([70_000, 150_000, 3] * 40 + [end]) * 30)
+    data = repair.pack(seq, end)
+    block = repair.Block(data)
+    assert len(block.rules) and len(data) < 2 * len(seq) and block.all().tolist() == seq.tolist()
+
+
 def test_repair_random_access():
-    import numpy as np
 
     rng = np.random.default_rng(1)
     parts = [np.append(np.tile(rng.integers(0, 50, 7), 40), 99) for _ in range(30)]

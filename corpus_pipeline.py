@@ -9,30 +9,18 @@ from glossmark.llm.common import materialize, table
 from glossmark.llm.queries import tokenizer_path
 
 
-#: Documents that go to a Python worker at once: whole texts can be long, and workers share an executor's memory.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """A stage's plan runs when its caller writes it, so the setting stays for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule of the default policy rejects go."""
-    small_batches(spark)
     return quality.keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
-    small_batches(spark)
     return jaccard.one_of_each(docs, n_words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark go from the texts; documents of which nothing is left go."""
-    small_batches(spark)
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -7,7 +7,9 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder, in one folder for each value of ``by``, and reads it back.
 
     Cuts the lineage: later jobs, retries after lost executors included, read the table instead of running the plan again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +57,16 @@ def give_back_memory() -> None:
         trim(0)
 
 
+def text_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs with about ``size`` bytes of text; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), side="right")))
+        yield at, stop - at
+        at = stop
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[[list], Iterator[pa.RecordBatch]] | Callable) -> DataFrame:
     """``mapInArrow`` for ``batch(columns as lists) -> dict of lists``; the output columns follow ``schema``."""
     fields = [x.strip().rsplit(" ", 1) for x in schema.split(",")]

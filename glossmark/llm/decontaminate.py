@@ -7,15 +7,18 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import materialize, text_slices
 from glossmark.llm.fm_index import MAX_WORDS, FMIndex
 
 WINDOW = 10
-#: Benchmark text in one block; a block's phrases go to every task, so a larger benchmark is searched block by block.
+#: Benchmark text in one block, about: the driver and every task hold the phrases of one block at a time.
 BLOCK_BYTES = 8 << 20
+#: Bytes of training text in one shard, about.
+SHARD_BYTES = 4 << 20
 
 # A-Z become a-z, the other ASCII characters that are not letters or digits become spaces; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -118,23 +121,32 @@ class Phrases:
         return out
 
 
-def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The benchmark's phrases in blocks of about ``block_bytes`` of text, so that what a task receives is bounded."""
+def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
+    """The benchmark's phrases, one block of about ``block_bytes`` of text after the other; repeated rows count once.
+
+    A benchmark of several blocks is written once by blocks, so that each is read alone.
+    """
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     n = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Phrases([(r.item, r.text) for r in rows.filter(block == k).collect()], window) for k in range(n)]
+    if n == 1:
+        yield Phrases([(r.item, r.text) for r in rows.distinct().collect()], window)
+        return
+    rows = materialize(rows.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "phrases", "block")
+    for k in range(n):
+        yield Phrases([(r.item, r.text) for r in rows.filter(F.col("block") == k).collect()], window)
 
 
 def hit_columns(phrases: Phrases, text: Column) -> Column:
-    """A struct of ``HITS`` for a text column. An Arrow batch of documents is one or more shards, each with its own index."""
+    """A struct of ``HITS`` for a text column. Each run of ``SHARD_BYTES`` of a task's documents is a shard with its own index."""
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = ["n_words", "starts", "ends", "items"]
 
-    @F.pandas_udf(HITS)
-    def hits(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(phrases.hits([t if isinstance(t, str) else None for t in texts]), columns=["n_words", "starts", "ends", "items"])
+    def hits(texts: pa.Array) -> pa.Array:
+        found = [x for at, n in text_slices(texts, SHARD_BYTES) for x in phrases.hits(texts.slice(at, n).to_pylist())]
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*found) if found else [[]] * 4, kinds)], names)
 
-    return hits(text)
+    return F.arrow_udf(hits, HITS)(text)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits") -> DataFrame:
@@ -142,15 +154,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out
 
     A null, empty or wordless text has no words and no hits. A benchmark row without words gives no phrase; one with a null id
     hits words but adds no item. Repeated rows and null ids are kept. An empty table of either kind gives no hits.
+    A benchmark of several blocks takes a pass over the documents for each; what is found is written with them in between.
     Spans of different blocks can overlap; ``n_hit`` counts words once.
     """
-    blocks = phrase_blocks(benchmark)
-    names = [f"__{out}_{k}" for k in range(len(blocks))]
-    for name, b in zip(names, blocks):
-        docs = docs.withColumn(name, hit_columns(b, F.col(text_col).cast("string")))
-    both = lambda part: F.concat(*(F.col(f"{n}.{part}") for n in names))
-    joined = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), both("starts").alias("starts"), both("ends").alias("ends"), F.array_distinct(both("items")).alias("items"))
-    return docs.withColumn(out, joined).drop(*names)
+    text = F.col(f"`{text_col}`").cast("string")
+    for k, block in enumerate(phrase_blocks(benchmark)):
+        if not k:
+            docs = docs.withColumn(out, hit_columns(block, text))
+            continue
+        now, new = f"__{out}_before", f"__{out}_now"
+        both = lambda part: F.concat(F.col(f"{now}.{part}"), F.col(f"{new}.{part}"))  # noqa: E731,B023
+        docs = materialize(docs, "hits").withColumnRenamed(out, now).withColumn(new, hit_columns(block, text))
+        joined = F.struct(F.col(f"{now}.n_words").alias("n_words"), both("starts").alias("starts"), both("ends").alias("ends"), F.array_distinct(both("items")).alias("items"))
+        docs = docs.withColumn(out, joined).drop(now, new)
+    return docs
 
 
 def n_hit(starts: Column, ends: Column) -> Column:
@@ -184,14 +201,14 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     Documents without a hit stay as they are. Those of which nothing but hit words remains go.
     """
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if a is None or not len(a) else excise(t, list(map(int, a)), list(map(int, b))) for t, a, b in zip(texts, starts, ends)], dtype=object)
+    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([t if not a else excise(t, a, b) for t, a, b in zip(*(x.to_pylist() for x in (texts, starts, ends)))], pa.string())
 
+    cut = F.arrow_udf(cut, "string")
     found = find_hits(docs, benchmark, text_col, "__hits")
     hit = F.size("__hits.starts") > 0
     left = F.when(hit, F.col("__hits.n_words") > n_hit(F.col("__hits.starts"), F.col("__hits.ends"))).otherwise(True)
-    kept = found.filter(left).withColumn(text_col, cut(F.col(text_col), "__hits.starts", "__hits.ends"))
+    kept = found.filter(left).withColumn(text_col, cut(F.col(f"`{text_col}`").cast("string"), "__hits.starts", "__hits.ends"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(hit, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

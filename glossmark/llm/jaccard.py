@@ -3,11 +3,14 @@
 Two sets of at most U elements with a Jaccard similarity of p percent or more differ in at most H = (100 - p) / (100 + p) * 2 U
 elements. Hashing the universe into H + 1 segments, at least one segment of the two is equal (Arasu et al., 2006). A document
 whose cost is too high in a segment (an empty one equals the empty ones of all others) skips it and instead allows one differing
-element in another segment, whose one-deletion neighbourhood is indexed (Deng et al., 2015).
+element in the cheapest other segment, whose one-deletion neighbourhood is indexed (Deng et al., 2015).
+
+Index rows travel packed: one row of a task's output holds all hashes of a range, 16 bytes each with their documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -15,62 +18,29 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import give_back_memory, materialize, texts_of
+from glossmark.llm.common import arrow_batches, give_back_memory, materialize, texts_of
 from glossmark.llm.components import components
+from glossmark.llm.shingles import MIX, mix, shingle_sets
 
 #: Each size band reaches to so many times its least size.
 BAND_RATIO = 1.6
-#: Words that a worker remembers the hash of; beyond, it starts anew.
-MEMO_WORDS = 60_000
-#: Ids (8 bytes each) up to which the documents to verify are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Shared hashes (8 bytes each) up to which they are broadcast to filter the index rows before their shuffle; beyond, all are shuffled.
-BROADCAST_SIGS = 3_000_000
+#: Rows (of some 40 bytes) up to which a side of a join is broadcast; beyond, it is shuffled.
+BROADCAST_IDS = 1_000_000
 #: Bytes of all sketches up to which they are broadcast; beyond, pairs and members are shuffled to them.
 BROADCAST_SKETCHES = 48 << 20
 #: Nodes in a block of a bucket: two blocks are compared in one step of a task.
 BLOCK_NODES = 256
+#: Index rows that a task packs at once, and those that a task of the next step shall receive.
+PACK_ROWS, BUCKET_ROWS = 300_000, 1_500_000
+#: Documents with one hash in one pack from which on they are linked there, and only the least and the greatest go to the hash's range.
+HEAVY = 64
 
-# Odd 64-bit constants of a multiplicative hash (fixed values).
-_MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEP = 0x9E3779B97F4A7C15
-
-# Roles of an index row: it can be found, it looks for others, or both.
-FOUND, LOOKS, BOTH = 1, 2, 3
-
-_memo: dict[bytes, int] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX_A
-    x = (x ^ (x >> np.uint64(27))) * _MIX_B
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    _memo.update({w: xxhash.xxh3_64_intdigest(w) for w in words if w not in _memo})
-    return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, n_words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; a shorter text is one shingle, a text without words has none."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    width = min(n_words, len(words))
-    factors = [(_STEP * (2 * i + 3) + 2 * width) & (2**64 - 1) | 1 for i in range(width)]
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for i, f in enumerate(factors):
-        total += mix(words[i : len(words) - width + 1 + i] * np.uint64(f))
-    return np.unique(mix(total))
+# Roles of an index row: it can be found, it looks for others, or both. A heavy one stands for others that are linked to it.
+FOUND, LOOKS, BOTH, STANDS = 1, 2, 3, 4
+_ROLE = np.uint64(7)
 
 
 @dataclass(frozen=True)
@@ -99,9 +69,20 @@ class Segments:
         """The most elements in which linked sets of a band differ."""
         return (100 - self.percent) * 2 * (int(self.edges[band + 1]) - 1) // (100 + self.percent)
 
-    def promoted(self, n_segments: int) -> int:
-        """So many segments, the first ones, can be searched with one deletion."""
-        return min(n_segments, 1 + n_segments // 32)
+    @lru_cache(maxsize=256)  # noqa: B019  one object for each percent, kept for good
+    def promoted(self, band: int) -> int:
+        """So many segments, the first ones, can be searched with one deletion: as many as a small set of the band has empty ones, and some.
+
+        Each costs an index row for each of its elements; each empty segment beyond them is a bucket with all others that have it.
+        """
+        n = self.difference(band) + 1
+        empty = n * math.exp(-1.1 * float(self.edges[band]) / n)
+        return min(n, 1 + math.ceil(empty + 2.5 * math.sqrt(empty)))
+
+    @property
+    def rows_per_element(self) -> float:
+        """Index rows of a set for each of its elements, about: segments of its bands and deletions."""
+        return 5.5 * (100 - self.percent) / (100 + self.percent)
 
     def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index rows of a set: hashes, and their roles."""
@@ -117,31 +98,31 @@ class Segments:
     def _band_rows(self, shingles: np.ndarray, band: int, m: int) -> tuple[list, list]:
         place = ((shingles >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        place, parts = place[order], mix(shingles[order] + np.uint64((band + 1) * 2 * _STEP % 2**64))
+        place, parts = place[order], mix(shingles[order] + np.uint64((band + 1) * 0x3C6EF372FE94F82A % 2**64))
         sizes = np.bincount(place, minlength=m)
         used = np.flatnonzero(sizes)
         sums = np.zeros(m, np.uint64)
         sums[used] = np.add.reduceat(parts, (np.cumsum(sizes) - sizes)[used])
         salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 33))
         exact = lambda at, s: mix(s + salt[at])
-        deleted = lambda at, s: mix((s + salt[at]) ^ _MIX_B)
-        if len(used) == m:
-            return [exact(np.arange(m), sums)], [BOTH]
-        # Cost by size of the segment: an empty one would meet every other empty one, so it is skipped, and a full segment of the
-        # promoted ones allows one difference instead. What is left over keeps searching its empty segments.
+        deleted = lambda at, s: mix((s + salt[at]) ^ MIX)
+        # Cost by size of the segment: an empty one would meet every other empty one, so it is skipped, and the smallest full ones
+        # of the promoted segments allow one difference instead. What is left over keeps searching its empty segments. A set without
+        # empty ones differs from the others in every segment that they skip, so it needs none of this.
         empty = np.flatnonzero(sizes == 0)
-        listed = np.arange(self.promoted(m))
-        can = listed[sizes[listed] >= 2][: len(empty)]
-        skipped, kept = empty[: len(can)], empty[len(can) :]
-        keys = [exact(used, sums[used]), exact(kept, sums[kept]), exact(skipped, sums[skipped])]
-        roles = [BOTH, BOTH, FOUND]
-        whole = sums[place]
-        near = np.isin(place, listed) & (sizes[place] >= 2)  # a deletion that leaves nothing says nothing
-        keys.append(deleted(place[near], whole[near] - parts[near]))
-        roles.append(FOUND)
-        search = np.isin(place, can)
-        keys += [exact(place[search], whole[search] - parts[search]), deleted(can, sums[can])]
-        roles += [LOOKS, LOOKS]
+        keys, roles = [exact(used, sums[used])], [BOTH]
+        if len(empty):
+            listed = np.arange(self.promoted(band))
+            whole = sums[place]
+            near = (place < len(listed)) & (sizes[place] >= 2)  # a deletion that leaves nothing says nothing
+            keys.append(deleted(place[near], whole[near] - parts[near]))
+            roles.append(FOUND)
+            can = listed[sizes[listed] >= 2]
+            can = can[np.argsort(sizes[can], kind="stable")][: len(empty)]
+            skipped, kept = empty[: len(can)], empty[len(can) :]
+            search = np.isin(place, can)
+            keys += [exact(kept, sums[kept]), exact(skipped, sums[skipped]), exact(place[search], whole[search] - parts[search]), deleted(can, sums[can])]
+            roles += [BOTH, FOUND, LOOKS, LOOKS]
         return keys, roles
 
     def sketch(self, shingles: np.ndarray) -> bytes:
@@ -152,21 +133,37 @@ class Segments:
         odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    def most_apart(self, a: int, b: int) -> int:
-        """The most elements in which linked sets of these sizes differ."""
-        return (100 - self.percent) * (a + b) // (100 + self.percent)
+    def may_link(self, a: np.ndarray, b: np.ndarray, x: pa.Array, y: pa.Array) -> np.ndarray:
+        """False only for pairs that sizes (a, b) or sketches (binary columns x, y) rule out."""
+        out = 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+        (p, n), (q, k) = _bytes_of(x), _bytes_of(y)
+        most = (100 - self.percent) * (a + b) // (100 + self.percent)
+        widths = n.astype(np.int64) << 32 | k
+        for w in np.unique(widths[out]).tolist():
+            at = np.flatnonzero(out & (widths == w))
+            for some in np.array_split(at, 1 + len(at) * ((w >> 32) + (w & 0xFFFFFFFF)) // (8 << 20)):
+                left, right = (self._words(data, start[some], size) for data, start, size in ((x, p, w >> 32), (y, q, w & 0xFFFFFFFF)))
+                # A longer sketch folds onto a shorter one.
+                width = min(left.shape[1], right.shape[1])
+                left, right = (np.bitwise_xor.reduce(z.reshape(len(some), -1, width), axis=1) for z in (left, right))
+                out[some] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= most[some]
+        return out
+
+    @staticmethod
+    def _words(column: pa.Array, start: np.ndarray, size: int) -> np.ndarray:
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        return data[start[:, None] + np.arange(size)].view(np.uint64)
+
+    def linked_pairs(self, x: pa.Array, y: pa.Array) -> np.ndarray:
+        """Whether the sets (binary columns of sorted 64-bit hashes) are linked."""
+        return np.array([self.linked(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y)], bool)
 
-    def may_link(self, a: int, b: int, x: bytes, y: bytes) -> bool:
-        """False only for pairs that sizes or sketches rule out."""
-        if 100 * min(a, b) < self.percent * max(a, b):
-            return False
+    def linked(self, x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        # A longer sketch folds onto a shorter one.
-        while len(p) > len(q):
-            p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-        while len(q) > len(p):
-            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
-        return int(np.bitwise_count(p ^ q).sum()) <= self.most_apart(a, b)
+        both = np.concatenate([p, q])
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        return 100 * shared >= self.percent * (len(p) + len(q) - shared)
 
     def likely_of(self, main: int, out: list, every: list) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of ``out`` with ``every`` (records of node, root, n_shingles, sketch) that may link two components."""
@@ -190,12 +187,11 @@ class Segments:
         yes = apart <= (100 - self.percent) * (na[i] + nb[j]) // (100 + self.percent)
         return np.minimum(a[i[yes]], b[j[yes]]), np.maximum(a[i[yes]], b[j[yes]])
 
-    def linked(self, x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.concatenate([p, q])
-        both.sort()
-        shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= self.percent * (len(p) + len(q) - shared)
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts in the data buffer and sizes of the values of a binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    return offsets[:-1], np.diff(offsets)
 
 
 @lru_cache(maxsize=8)
@@ -203,66 +199,214 @@ def segments(percent: int) -> Segments:
     return Segments(percent)
 
 
-def node_of(shingles: np.ndarray) -> int | None:
-    """Equal sets are one node (64 bits of a digest); the empty set is none."""
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+def digests(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    """Two 64-bit halves of a digest of a set; the empty set has none."""
+    if not len(shingles):
+        return None, None
+    d = blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def node_of(shingles: np.ndarray, taken: frozenset = frozenset()) -> int | None:
+    """Equal sets are one node: the first half of their digest, or the second where different sets share the first."""
+    a, b = digests(shingles)
+    return b if a in taken else a
 
 
-def _arrow(df: DataFrame, schema: str, fields: list, rows: object) -> DataFrame:
-    """``mapInArrow`` of ``rows(columns as lists) -> lists of the output columns``."""
+def _arrow(df: DataFrame, fields: list, rows: object) -> DataFrame:
+    """``mapInArrow`` of ``rows(columns) -> output columns``."""
     want = pa.schema(fields)
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.int32(): "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                out = rows(*(c.to_pylist() for c in b.slice(at, 200).columns))
+                out = rows(*b.slice(at, 200).columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, want)], schema=want)
-        _memo.clear()
         give_back_memory()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ", ".join(f"{n} {names[k]}" for n, k in fields))
+
+
+def document_sets(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, node, check, sketch of every row of ``texts`` (doc_id, text, row_key)."""
+    fields = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())]
+
+    def rows(ids: pa.Array, found: pa.Array, keys: pa.Array) -> list:
+        sets, seg = shingle_sets(found, n_words), segments(percent)
+        halves = [digests(s) for s in sets]
+        return [ids, keys, [len(s) for s in sets], [a for a, _ in halves], [b for _, b in halves], [seg.sketch(s) for s in sets]]
+
+    return _arrow(texts, fields, rows)
+
+
+class _Packer:
+    """Gathers index rows of a task and packs them by ranges of their hashes."""
+
+    def __init__(self, n_buckets: int) -> None:
+        self.n_buckets, self.turn = n_buckets, 0
+        self.keys: list[np.ndarray] = []
+        self.nodes: list[int] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, roles: np.ndarray, node: int) -> bool:
+        self.keys.append(keys & ~_ROLE | roles.astype(np.uint64))
+        self.nodes.append(node)
+        self.held += len(keys)
+        return self.held >= PACK_ROWS
+
+    def packed(self) -> tuple[list, list, list]:
+        """Buckets, hashes, nodes. A hash alone with many nodes is a heavy one, in any bucket."""
+        sig = np.concatenate([*self.keys, np.zeros(0, np.uint64)])
+        node = np.repeat(np.array(self.nodes, np.int64), [len(k) for k in self.keys])
+        self.keys, self.nodes, self.held = [], [], 0
+        order = np.argsort(sig)
+        sig, node = sig[order], node[order]
+        bare = sig & ~_ROLE
+        begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        sizes = np.diff(begins, append=len(sig))
+        buckets, hashes, nodes = [], [], []
+        heavy = np.flatnonzero(sizes >= HEAVY)
+        if len(heavy):
+            stay = np.ones(len(sig), bool)
+            more: list[tuple[int, int]] = []
+            for a, n in zip(begins[heavy].tolist(), sizes[heavy].tolist()):
+                own = np.unique(node[a : a + n])
+                role = int(np.bitwise_or.reduce(sig[a : a + n] & _ROLE)) | STANDS
+                stay[a : a + n] = False
+                more += [(int(bare[a]) | role, int(own[0])), (int(bare[a]) | role, int(own[-1]))]
+                self.turn += 1
+                buckets.append((int(bare[a]) >> 7) % self.n_buckets + self.turn)
+                hashes.append(bare[a : a + 1].tobytes())
+                nodes.append(own.tobytes())
+            buckets = [b % self.n_buckets for b in buckets]
+            sig = np.concatenate([sig[stay], np.array([s for s, _ in more], np.uint64)])
+            node = np.concatenate([node[stay], np.array([x for _, x in more], np.int64)])
+            order = np.argsort(sig)
+            sig, node = sig[order], node[order]
+        # Buckets are ranges of the hashes.
+        place = ((sig >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64)
+        there, first = np.unique(place, return_index=True)
+        for b, x, y in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(sig)]):
+            buckets.append(b)
+            hashes.append(sig[x:y].tobytes())
+            nodes.append(node[x:y].tobytes())
+        return buckets, hashes, nodes
+
+
+def index_packs(texts: DataFrame, n_words: int, percent: int, n_buckets: int, taken: frozenset) -> DataFrame:
+    """bucket, sigs, nodes: the index rows of all texts, packed. A task leaves out a set that it has just had."""
+    want = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, packer, seen = segments(percent), _Packer(n_buckets), set()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(packer.packed(), want)], schema=want)
 
-def document_sets(texts: DataFrame, n_words: int, percent: int, with_index: bool) -> DataFrame:
-    """doc_id, n_shingles, node, sketch, and the index rows of the document if asked for (sigs, roles)."""
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64())), ("roles", pa.list_(pa.int8()))]
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                for s in shingle_sets(b.column(1).slice(at, 200), n_words):
+                    node = node_of(s, taken)
+                    if node is None or node in seen:
+                        continue
+                    if len(seen) >= 100_000:  # repeated rows are only more work for the next step
+                        seen.clear()
+                    seen.add(node)
+                    if packer.add(*seg.signatures(s), node):
+                        yield batch()
+        yield batch()
+        seen.clear()
+        give_back_memory()
 
-    def rows(ids: list, found: list) -> list:
-        sets, seg = [shingle_set(t, n_words) for t in found], segments(percent)
-        index = [seg.signatures(s) if with_index else None for s in sets]
-        return [
-            ids, [len(s) for s in sets], [node_of(s) for s in sets], [seg.sketch(s) for s in sets],
-            [x and x[0].view(np.int64) for x in index], [x and x[1] for x in index],
-        ]
+    return texts.mapInArrow(run, "bucket int, sigs binary, nodes binary")
 
-    return _arrow(texts, "doc_id long, n_shingles long, node long, sketch binary, sigs array<long>, roles array<byte>", fields, rows)
 
+def _bucket_links(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all index rows of some ranges: pairs of nodes to check (a, b), and what is left to look at later (group, node).
 
-def index_rows(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """sig, node, role: the index rows of every document."""
+    In every bucket each node is paired with the least and the greatest one. The other nodes of a bucket of four or more are left,
+    and all that stand for others. Buckets with the same nodes are one group.
+    """
+    none = np.zeros(0, np.int64)
+    bare = sig & ~_ROLE
+    order = np.argsort(bare)
+    bare = bare[order]
+    more = np.zeros(len(bare), bool)
+    more[1:] = bare[1:] == bare[:-1]
+    more[:-1] |= more[1:]
+    order, bare = order[more], bare[more]
+    if not len(order):
+        return none, none, none, none
+    node, role = node[order], (sig[order] & _ROLE).astype(np.int64)
+    order = np.lexsort((node, bare))
+    bare, node, role = bare[order], node[order], role[order]
+    begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+    roles = np.bitwise_or.reduceat(role, begins)
+    first = np.concatenate([[True], (bare[1:] != bare[:-1]) | (node[1:] != node[:-1])])
+    sizes = np.add.reduceat(first.astype(np.int64), begins)
+    good = (((roles & BOTH) == BOTH) & (sizes >= 2)) | ((roles & STANDS) > 0)
+    group = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(bare)))
+    keep = first & good[group]
+    node, group = node[keep], group[keep]
+    if not len(node):
+        return none, none, none, none
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(begins, append=len(group))
+    number = np.repeat(np.arange(len(begins)), sizes)
+    low, high = node[begins][number], node[begins + sizes - 1][number]
+    a, b = np.concatenate([low, node]), np.concatenate([node, high])
+    a, b = a[(x := a != b)], b[x]
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    # A group's name is its nodes, or its hash where others stand behind it.
+    stands = (roles[group[begins]] & STANDS) > 0
+    name = mix(np.add.reduceat(mix(node.view(np.uint64)), begins) + sizes.astype(np.uint64))
+    name[stands] = bare[keep][begins][stands]
+    chosen = np.zeros(len(begins), bool)
+    chosen[np.unique(name, return_index=True)[1]] = True
+    left = (chosen & (sizes >= 4) | stands)[number] & (stands[number] | (node != low) & (node != high))
+    return pairs[:, 0], pairs[:, 1], name[number[left]].view(np.int64), node[left]
+
+
+def met_nodes(packs: DataFrame, n_buckets: int) -> DataFrame:
+    """kind, x, y: pairs of nodes to check (kind 0), groups and their nodes to look at later (kind 1)."""
+    want = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
+
+    def rows(kind: int, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(x), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[part]), kind, np.int32)), pa.array(x[part]), pa.array(y[part])], schema=want)
 
-    def rows(ids: list, found: list) -> list:
-        seg, keys, roles, nodes = segments(percent), [], [], []
-        for t in found:
-            s = shingle_set(t, n_words)
-            k, r = seg.signatures(s)
-            keys.append(k)
-            roles.append(r)
-            nodes.append(np.full(len(k), node_of(s) or 0, np.int64))
-        return [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roles))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            for s, n in zip(b.column(1), b.column(2)):
+                sig, node = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+                if len(sig) == len(node):
+                    sigs.append(sig.copy())
+                    nodes.append(node.copy())
+                    continue
+                # Nodes of one heavy hash, sorted.
+                yield from rows(0, np.full(len(node) - 1, node[0]), node[1:])
+                yield from rows(0, node[1:-1], np.full(max(0, len(node) - 2), node[-1]))
+                yield from rows(1, np.full(len(node), sig.view(np.int64)[0]), node)
+        a, b, group, node = _bucket_links(np.concatenate(sigs), np.concatenate(nodes))
+        del sigs, nodes
+        yield from rows(0, a, b)
+        yield from rows(1, group, node)
+        give_back_memory()
 
-    return _arrow(texts, "sig long, node long, role byte", [("sig", pa.int64()), ("node", pa.int64()), ("role", pa.int8())], rows)
+    return packs.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "kind int, x long, y long")
 
 
 def _kept(df: DataFrame, percent: int, method: str) -> DataFrame:
     """Pairs (a, b) of a table (a, b, and what ``method`` of the segments takes) for which it is true."""
 
-    def rows(a: list, b: list, *given: list) -> list:
-        test = getattr(segments(percent), method)
-        yes = [i for i, x in enumerate(zip(*given)) if test(*x)]
-        return [[a[i] for i in yes], [b[i] for i in yes]]
+    def rows(a: pa.Array, b: pa.Array, *given: pa.Array) -> list:
+        yes = pa.array(getattr(segments(percent), method)(*(x.to_numpy() if x.type == pa.int64() else x for x in given)))
+        return [a.filter(yes), b.filter(yes)]
 
-    return _arrow(df, "a long, b long", [("a", pa.int64()), ("b", pa.int64())], rows)
+    return _arrow(df, [("a", pa.int64()), ("b", pa.int64())], rows)
 
 
 def _with_ends(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -284,27 +428,32 @@ def sketches(nodes: DataFrame) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_SKETCHES else table
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if they are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
-    """Rows of each bucket in about ``blocks`` lists of about ``BLOCK_NODES``."""
+    """Rows of each group in about ``blocks`` lists of about ``BLOCK_NODES``."""
     place = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    return rows.groupBy("sig", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch")).alias(name))
+    return rows.groupBy("group", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch")).alias(name))
 
 
 def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a bucket and that sizes and sketches don't rule out.
+    """Pairs of different components that meet in a group and that sizes and sketches don't rule out.
 
-    ``open_``: sig, node, root, main (the bucket's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
+    ``open_``: group, node, root, main (the group's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
     main component meet blocks of all nodes; a task compares two blocks at once, so no row is made for a pair that is ruled out.
     """
     rows = open_.join(nodes, "node")
-    # Most buckets are one block, which meets itself.
+    # Most groups are one block, which meets itself.
     alone = _blocks(rows.filter("all_blocks = 1"), "all_blocks", "all").select("main", F.filter("all", lambda x: x["root"] != F.col("main")).alias("out"), "all")
     rows, open_ = rows.filter("all_blocks > 1"), open_.filter("all_blocks > 1")
     every = _blocks(rows, "all_blocks", "all")
     outside = _blocks(rows.filter("root <> main"), "outside_blocks", "out")
-    sizes = open_.select("sig", "all_blocks").distinct()
-    asked = outside.join(sizes, "sig").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
-    met = asked.join(every.drop("main"), ["sig", "all_at"]).select("main", "out", "all")
+    sizes = open_.select("group", "all_blocks").distinct()
+    asked = outside.join(sizes, "group").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
+    met = asked.join(every.drop("main"), ["group", "all_at"]).select("main", "out", "all")
     want = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,68 +465,83 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     return alone.unionByName(met).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int, taken: frozenset) -> DataFrame:
     """The linked ones of likely pairs, by their whole sets, which are made anew from the texts."""
-    pairs = materialize(pairs, "likely")
+    spark = pairs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(ends, "node", "left_semi").select("doc_id", "node"), "wanted")
-    ids = wanted.select("doc_id")
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    wanted = materialize(nodes.join(ends, "node", "left_semi").select("row_key", "node"), "wanted")
+    chosen = texts.join(small(wanted.select("row_key")), "row_key", "left_semi").select("doc_id", "text")
+
+    def rows(_: pa.Array, found: pa.Array) -> list:
+        sets = shingle_sets(found, n_words)
+        return [[node_of(s, taken) for s in sets], [s.tobytes() for s in sets]]
 
-    def rows(_: list, found: list) -> list:
-        sets = [shingle_set(t, n_words) for t in found]
-        return [[node_of(s) for s in sets], [s.tobytes() for s in sets]]
+    made = _arrow(chosen, [("node", pa.int64()), ("shingles", pa.binary())], rows)
+    sets = materialize(made.join(small(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    with arrow_batches(spark, 200):
+        return materialize(_kept(_with_ends(pairs, sets, ["shingles"]), percent, "linked_pairs"), "links")
 
-    # Another row can have the id of a wanted one, so the node is taken from the text.
-    made = _arrow(chosen, "node long, shingles binary", [("node", pa.int64()), ("shingles", pa.binary())], rows)
-    sets = materialize(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    return _kept(_with_ends(pairs, sets, ["shingles"]), percent, "linked")
 
+def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n_shingles, node) and, for nodes that are linked with others, node and root.
 
-def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", store_index: bool = True) -> DataFrame:
+    1. Equal sets become one node. 2. Index rows are packed and dealt by ranges of their hashes; a hash that many sets of one pack
+    share is linked there, and only two of them go on. 3. In every bucket each node is checked against the least and greatest one;
+    the links make components. 4. Where the others of a bucket still are in several components, those outside the largest are
+    checked against all of other components, block by block.
+    So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
+    Sets are compared by 64-bit hashes of their shingles; sets with one 64-bit digest are told apart by 64 bits more.
+    """
+    spark = docs.sparkSession
+    texts = texts_of(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = materialize(document_sets(texts, n_words, percent), "jaccard-rows")
+    seg = segments(percent)
+
+    def nodes_of(rows: DataFrame) -> DataFrame:
+        x = F.min(F.struct("row_key", "n_shingles", "sketch")).alias("x")
+        grouped = rows.filter("node is not null").groupBy("node").agg(x, (F.min("check") != F.max("check")).alias("shared"))
+        return materialize(grouped.select("node", "shared", "x.*"), "nodes")
+
+    nodes = nodes_of(rows)
+    # Different sets with equal halves of a digest: about one in 10^19 pairs, so few at any size.
+    taken = frozenset(r.node for r in nodes.filter("shared").select("node").toLocalIterator())
+    if taken:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*taken), F.col("check")).otherwise(F.col("node")))
+        nodes = nodes_of(rows)
+    elements = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(elements * seg.rows_per_element / BUCKET_ROWS))
+    with arrow_batches(spark, 50):  # packs, and whole texts before them
+        met = materialize(met_nodes(index_packs(texts.select("doc_id", "text"), n_words, percent, n_buckets, taken), n_buckets), "met")
+    compact = sketches(nodes)
+    stars = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    with arrow_batches(spark, 1000):
+        stars = materialize(likely(stars, compact, percent), "likely")
+    first = confirmed(stars, nodes, texts, n_words, percent, taken)
+    roots = materialize(components(first), "roots")
+    members = met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct()
+    placed = materialize(members.join(small(roots), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")), "placed")
+    counts = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("n_roots"))
+    n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")
+    largest = largest.filter("n_roots > 1").select("group", "main", n_blocks(F.col("n")).alias("all_blocks"), n_blocks(F.col("n") - F.col("n_main")).alias("outside_blocks"))
+    open_ = materialize(placed.join(small(materialize(largest, "largest")), "group"), "open")
+    with arrow_batches(spark, 16):  # rows of two blocks
+        pairs = materialize(likely_in_blocks(open_, compact, percent), "likely")
+    more = confirmed(pairs, nodes, texts, n_words, percent, taken)
+    return rows.select("doc_id", "row_key", "n_shingles", "node"), materialize(components(first.unionByName(more)), "roots")
+
+
+def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     Documents are linked whose sets of ``n_words``-word shingles have a Jaccard similarity of ``percent`` / 100 or more;
     ``component_id`` is the smallest id reachable by links. Texts with fewer words are one shingle. A null, empty or wordless text
     has no shingles and is linked with nothing: its component is its own id. A null id counts as no id: a component takes the
     smallest id that is there, and is null if there is none. Repeated rows each get a row. An empty table gives no rows.
-
-    1. Equal sets become one node. 2. Index rows are counted by hash with sums on every task; rows met by one node only go.
-    3. In every other bucket each node is checked against the bucket's least and greatest one; the links make components.
-    4. Where the others of a bucket still are in several components, those outside the largest are checked against all of other
-    components, block by block.
-    So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
-    Sets are compared by 64-bit hashes of their shingles. ``store_index`` keeps the index rows with the documents (8 bytes each);
-    without it they are made again for their second reading, which takes more time and less disk.
     """
-    texts = texts_of(docs, id_col, text_col)
-    rows = materialize(document_sets(texts, n_words, percent, store_index), "jaccard-rows")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "sketch"))
-    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(one.alias("x")).select("node", "x.doc_id", "x.n_shingles", "x.sketch"), "nodes")
-    index = rows.select(F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("roles").alias("role"))), "node") if store_index else index_rows(texts, n_words, percent)
-    shared = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or("role").alias("roles")).filter(f"lo <> hi and roles = {BOTH}").select("sig", "lo", "hi")
-    shared = materialize(shared, "shared")
-    met = index.select("sig", "node")
-    if shared.count() <= BROADCAST_SIGS:
-        met = met.join(F.broadcast(shared.select("sig")), "sig", "left_semi")
-    members = materialize(met.distinct().join(shared, "sig"), "members")
-    stars = members.select("node", F.explode(F.array("lo", "hi")).alias("to")).filter("node <> to")
-    stars = stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    compact = sketches(nodes)
-    first = materialize(confirmed(likely(stars, compact, percent), nodes, texts, n_words, percent), "links")
-    roots = materialize(components(first), "roots")
-    others = members.filter("node <> lo and node <> hi").select("sig", "node")  # pairs with the least and the greatest are checked
-    placed = others.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    counts = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("n_roots"))
-    n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")
-    largest = largest.filter("n_roots > 1").select("sig", "main", n_blocks(F.col("n")).alias("all_blocks"), n_blocks(F.col("n") - F.col("n_main")).alias("outside_blocks"))
-    open_ = materialize(placed.join(largest, "sig"), "open")
-    more = confirmed(likely_in_blocks(open_, compact, percent), nodes, texts, n_words, percent)
-    ends = components(first.unionByName(more))
-    least = nodes.join(ends, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    rows, roots = classes_of(docs, n_words, percent, id_col, text_col)
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    least = nodes.join(small(roots), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = least.join(ids, "root").select("node", "component_id")
     out = rows.join(by_node, "node", "left")
@@ -387,11 +551,18 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
 def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; own columns kept.
 
-    Texts without words are in no group and stay, as rows with a null id do. Rows that repeat the id that stays are the same
-    document and stay.
+    A group's rows are its rows, whatever their ids: of rows with one id and different texts one stays, a null id comes behind all
+    others, and a row that repeats the one that stays, id and text, is the same document and stays. Texts without words are in no
+    group and stay.
     """
-    # At 80 percent there are three times as many index rows as at 90.
-    classes = similar_documents(docs, n_words, percent, id_col, text_col, store_index=percent >= 90)
-    keep = classes.filter("doc_id is not null and doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    rows, roots = classes_of(docs, n_words, percent, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(best.alias("best"))
+    placed = nodes.join(small(roots), "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    chosen = placed.groupBy("root").agg(F.min("best").alias("best"))
+    keys = placed.select("node", "root").join(chosen, "root").select("node", "best.row_key")
+    gone = rows.join(keys.withColumnRenamed("row_key", "stays"), "node").filter("row_key <> stays").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    own_id = F.col(f"`{id_col}`").cast("long")
+    key = F.xxhash64(own_id, F.col(f"`{text_col}`").cast("string"))
+    kept = docs.join(small(materialize(gone, "gone")), own_id.eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +128,11 @@ def ablation(entries: DataFrame, policy: Policy, rules: list[Rule] | None = None
 def keep_documents(docs: DataFrame, policy: Policy = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns, in one pass and without a shuffle."""
 
-    @F.pandas_udf(", ".join(MEASURES.split(", ")[1:]))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=_NAMES, dtype="int64")
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = [measure(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(_NAMES), _NAMES)
+
+    measured = F.arrow_udf(measured, ", ".join(MEASURES.split(", ")[1:]))
 
     rules = default_rules(lambda name: F.col(f"__ledger.{name}"))
     kept = verdict(policy, rules, failed_bits(rules))

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import arrow_batches, give_back_memory, materialize, texts_of
+from glossmark.llm.common import arrow_batches, give_back_memory, materialize, text_slices, texts_of
 from glossmark.llm.encoder import encoder
 from glossmark.llm.repair import Block, pack
 
@@ -31,17 +30,6 @@ def file_order(docs: DataFrame) -> DataFrame | None:
         return None
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows of about ``SLICE_BYTES`` of text (its second column)."""
-    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        limit = SLICE_BYTES + (size[at - 1] if at else 0)
-        stop = max(at + 1, int(np.searchsorted(size, limit, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, keep_order: bool = False) -> DataFrame:
     """The table of blocks, written in the shared folder and read back: part, start_in_part, n_tokens, doc_ids, payload.
 
@@ -71,8 +59,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_pylist([{"part": part, "start_in_part": start, "n_tokens": held, "doc_ids": ids, "payload": payload}], schema=want)
 
         for b in batches:
-            for part_of in slices(b):
-                for doc, code in zip(part_of.column(0).to_pylist(), tool.encode_column(part_of.column(1))):
+            for at, n in text_slices(b.column(1), SLICE_BYTES):
+                for doc, code in zip(b.column(0).slice(at, n).to_pylist(), tool.encode_column(b.column(1).slice(at, n))):
                     ids.append(doc)
                     pieces += [code, close]
                     held += len(code) + 1

@@ -9,9 +9,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glossmark.llm import shingles as shingles_of
 from glossmark.llm import components, decontaminate, encoder, html_text, jaccard, mixing, pii, quality, queries, repair, secrets, sharding, tokens, url_filter
 
 ODD = [
@@ -101,10 +103,10 @@ def test_no_linked_pair_is_missed(percent):
         for _ in range(rng.randrange(1 + max(1, len(w) // 30))):
             i = rng.randrange(len(v))
             v[i : i + rng.randrange(2)] = rng.choice([[], ["z%d" % rng.randrange(999)]])
-        a, b = jaccard.shingle_set(" ".join(w), 3), jaccard.shingle_set(" ".join(v), 3)
+        a, b = shingles_of.shingle_set(" ".join(w), 3), shingles_of.shingle_set(" ".join(v), 3)
         if not len(b) or not seg.linked(a.tobytes(), b.tobytes()) or jaccard.node_of(a) == jaccard.node_of(b):
             continue
-        assert seg.may_link(len(a), len(b), seg.sketch(a), seg.sketch(b))
+        assert seg.may_link(np.array([len(a)]), np.array([len(b)]), pa.array([seg.sketch(a)]), pa.array([seg.sketch(b)])).all()
         roles = collections.defaultdict(int)
         for k, r in zip(*(x.tolist() for x in seg.signatures(a))):
             roles[k] |= r
@@ -258,7 +260,6 @@ def test_tokens_odd_texts(spark):
 
 def test_encoder_equals_the_library():
     """Random strings of all kinds of pieces and white space, over a table so small that places are fought for."""
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     kinds = ["a", "B", "\u00e9", "'", "'s", "'re", "5", "42", ".", ",", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u4e2d", "\U0001f642", " the", "ing", "<|endoftext|>", "''s", " 's", "\u2019", "_", "e\u0301", "\r"]

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from glossmark.llm.common import materialize, text_slices
+from glossmark.llm.common import give_back_memory, materialize, text_slices
 from glossmark.llm.fm_index import MAX_WORDS, FMIndex
 
 WINDOW = 10
@@ -195,20 +196,74 @@ def excise(text: str, starts: list[int], ends: list[int]) -> str:
     return "\n".join([*out, text[at:]])
 
 
+def cleaned(text: str, starts: list[int], ends: list[int], n_words: int) -> str | None:
+    """``text`` without the words of the spans; None if no other word is left."""
+    hit = np.zeros(n_words, bool)
+    for a, b in zip(starts, ends):
+        hit[a:b] = True
+    return None if hit.all() else excise(text, starts, ends)
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the benchmark's passages, with their own columns; ``n_chars``, if there, follows the text.
 
-    Documents without a hit stay as they are. Those of which nothing but hit words remains go.
+    Documents without a hit stay as they are. Those of which nothing but hit words remains go. A text that is cut is a string.
+    One pass of Python for each block of the benchmark: what earlier blocks found is written with the documents in between.
     """
+    names = docs.columns
+    if dict(docs.dtypes)[text_col] != "string":
+        docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    schema, before = docs.schema, "__spans_before"
+
+    def passed(phrases: Phrases, is_last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at, n in text_slices(whole.column(names.index(text_col)), SHARD_BYTES):
+                    b = whole.slice(at, n)
+                    texts = b.column(names.index(text_col)).to_pylist()
+                    found = phrases.hits(texts)
+                    spans = [list(zip(x[1], x[2])) for x in found]
+                    if before in b.schema.names:
+                        spans = [[*new, *zip(old[0::2], old[1::2])] for new, old in zip(spans, b.column(before).to_pylist())]
+                    if is_last:
+                        yield _cut(b, names, text_col, texts, spans, [x[0] for x in found])
+                    else:
+                        flat = pa.array([[int(k) for s in x for k in s] for x in spans], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), flat], [*names, before])
+            give_back_memory()
+
+        return run
+
+    for block, is_last in with_last(phrase_blocks(benchmark)):
+        kept = schema if is_last else StructType([*schema.fields, StructField(before, ArrayType(IntegerType()))])
+        docs = docs.mapInArrow(passed(block, is_last), kept)
+        if not is_last:
+            docs = materialize(docs, "spans")
+    return docs
+
 
-    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        return pa.array([t if not a else excise(t, a, b) for t, a, b in zip(*(x.to_pylist() for x in (texts, starts, ends)))], pa.string())
-
-    cut = F.arrow_udf(cut, "string")
-    found = find_hits(docs, benchmark, text_col, "__hits")
-    hit = F.size("__hits.starts") > 0
-    left = F.when(hit, F.col("__hits.n_words") > n_hit(F.col("__hits.starts"), F.col("__hits.ends"))).otherwise(True)
-    kept = found.filter(left).withColumn(text_col, cut(F.col(f"`{text_col}`").cast("string"), "__hits.starts", "__hits.ends"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(hit, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+def _cut(b: pa.RecordBatch, names: list[str], text_col: str, texts: list, spans: list, sizes: list[int]) -> pa.RecordBatch:
+    """The rows of a batch without the hit words."""
+    stays = np.ones(len(texts), bool)
+    hit = [i for i, x in enumerate(spans) if x]
+    columns = {x: b.column(x) for x in names}
+    for i in hit:
+        texts[i] = cleaned(texts[i], *map(list, zip(*spans[i])), sizes[i])
+        stays[i] = texts[i] is not None
+    if hit:
+        columns[text_col] = pa.array(texts, columns[text_col].type)
+        if "n_chars" in names:
+            n = columns["n_chars"].to_pylist()
+            for i in hit:
+                n[i] = None if texts[i] is None else len(texts[i])
+            columns["n_chars"] = pa.array(n, pa.int64()).cast(columns["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(stays))
+
+
+def with_last(xs: Iterator) -> Iterator[tuple[object, bool]]:
+    """Each of ``xs`` with whether it is the last."""
+    held = next(xs)
+    for x in xs:
+        yield held, False
+        held = x
+    yield held, True

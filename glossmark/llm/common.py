@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only when a session names no shared folder (tests on one machine).
+#: Used only when a session of one machine (``local``) names no shared folder.
 LOCAL_SHARED_DIR = "/tmp/glossmark-shared"
 
 
@@ -23,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; only a session on one machine may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -38,6 +43,12 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files whose plans are done: Spark deletes them when the driver's objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, jobs send so many rows to Python at once: long texts need less memory."""

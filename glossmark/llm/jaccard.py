@@ -5,7 +5,7 @@ elements. Hashing the universe into H + 1 segments, at least one segment of the
 whose cost is too high in a segment (an empty one equals the empty ones of all others) skips it and instead allows one differing
 element in the cheapest other segment, whose one-deletion neighbourhood is indexed (Deng et al., 2015).
 
-Index rows travel packed: one row of a task's output holds all hashes of a range, 16 bytes each with their documents.
+Index rows travel packed: one row of a task's output holds all hashes of a range, some 8 bytes each with their documents.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import arrow_batches, give_back_memory, materialize, texts_of
+from glossmark.llm.common import arrow_batches, give_back_memory, materialize, release, texts_of
 from glossmark.llm.components import components
 from glossmark.llm.shingles import MIX, mix, shingle_sets
 
 #: Each size band reaches to so many times its least size.
-BAND_RATIO = 1.6
+BAND_RATIO = 1.3
 #: Rows (of some 40 bytes) up to which a side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of all sketches up to which they are broadcast; beyond, pairs and members are shuffled to them.
@@ -41,6 +41,8 @@ HEAVY = 64
 # Roles of an index row: it can be found, it looks for others, or both. A heavy one stands for others that are linked to it.
 FOUND, LOOKS, BOTH, STANDS = 1, 2, 3, 4
 _ROLE = np.uint64(7)
+_LOW_BITS = 40
+_LOW = np.uint64((1 << _LOW_BITS) - 1)
 
 
 @dataclass(frozen=True)
@@ -76,13 +78,13 @@ class Segments:
         Each costs an index row for each of its elements; each empty segment beyond them is a bucket with all others that have it.
         """
         n = self.difference(band) + 1
-        empty = n * math.exp(-1.1 * float(self.edges[band]) / n)
-        return min(n, 1 + math.ceil(empty + 2.5 * math.sqrt(empty)))
+        empty = n * math.exp(-0.8 * float(self.edges[band]) / n)
+        return min(n, 1 + math.ceil(empty + 4 * math.sqrt(empty)))
 
     @property
     def rows_per_element(self) -> float:
         """Index rows of a set for each of its elements, about: segments of its bands and deletions."""
-        return 5.5 * (100 - self.percent) / (100 + self.percent)
+        return 7 * (100 - self.percent) / (100 + self.percent)
 
     def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index rows of a set: hashes, and their roles."""
@@ -255,17 +257,20 @@ class _Packer:
         self.held += len(keys)
         return self.held >= PACK_ROWS
 
-    def packed(self) -> tuple[list, list, list]:
-        """Buckets, hashes, nodes. A hash alone with many nodes is a heavy one, in any bucket."""
+    def packed(self) -> tuple[list, list, list, list]:
+        """Buckets, names of heavy hashes, hashes, nodes. Heavy ones are rows of their own, in any bucket."""
         sig = np.concatenate([*self.keys, np.zeros(0, np.uint64)])
         node = np.repeat(np.array(self.nodes, np.int64), [len(k) for k in self.keys])
         self.keys, self.nodes, self.held = [], [], 0
+        # Buckets are ranges of the hashes; in a bucket, 40 bits tell them and their roles apart. Others that fall together are only
+        # checked in vain.
+        sig = (sig >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32) << np.uint64(_LOW_BITS) | sig & _LOW
         order = np.argsort(sig)
         sig, node = sig[order], node[order]
         bare = sig & ~_ROLE
         begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]])) if len(sig) else np.zeros(0, np.int64)
         sizes = np.diff(begins, append=len(sig))
-        buckets, hashes, nodes = [], [], []
+        buckets, names, hashes, nodes = [], [], [], []
         heavy = np.flatnonzero(sizes >= HEAVY)
         if len(heavy):
             stay = np.ones(len(sig), bool)
@@ -276,27 +281,46 @@ class _Packer:
                 stay[a : a + n] = False
                 more += [(int(bare[a]) | role, int(own[0])), (int(bare[a]) | role, int(own[-1]))]
                 self.turn += 1
-                buckets.append((int(bare[a]) >> 7) % self.n_buckets + self.turn)
-                hashes.append(bare[a : a + 1].tobytes())
+                buckets.append(((int(bare[a]) >> 7) + self.turn) % self.n_buckets)
+                names.append(int(bare[a : a + 1].view(np.int64)[0]))
+                hashes.append(b"")
                 nodes.append(own.tobytes())
-            buckets = [b % self.n_buckets for b in buckets]
             sig = np.concatenate([sig[stay], np.array([s for s, _ in more], np.uint64)])
             node = np.concatenate([node[stay], np.array([x for _, x in more], np.int64)])
             order = np.argsort(sig)
             sig, node = sig[order], node[order]
-        # Buckets are ranges of the hashes.
-        place = ((sig >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64)
+        place = (sig >> np.uint64(_LOW_BITS)).astype(np.int64)
         there, first = np.unique(place, return_index=True)
+        low = sig.view(np.uint8).reshape(-1, 8)[:, : _LOW_BITS // 8]
         for b, x, y in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(sig)]):
             buckets.append(b)
-            hashes.append(sig[x:y].tobytes())
-            nodes.append(node[x:y].tobytes())
-        return buckets, hashes, nodes
+            names.append(None)
+            hashes.append(low[x:y].tobytes())
+            nodes.append(pack_nodes(node[x:y]))
+        return buckets, names, hashes, nodes
+
+
+def pack_nodes(nodes: np.ndarray) -> bytes:
+    """The distinct nodes, and which of them each is."""
+    own, which = np.unique(nodes, return_inverse=True)
+    kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+    return b"".join([np.array([len(own)], np.uint32).tobytes(), own.tobytes(), which.astype(kind).tobytes()])
+
+
+def unpack(bucket: int, hashes: memoryview, nodes: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with their bucket and roles, and nodes, as ``_Packer`` packed them."""
+    low = np.frombuffer(hashes, np.uint8).reshape(-1, _LOW_BITS // 8)
+    sig = np.zeros((len(low), 8), np.uint8)
+    sig[:, : _LOW_BITS // 8] = low
+    n = int(np.frombuffer(nodes, np.uint32, 1)[0])
+    own = np.frombuffer(nodes, np.int64, n, 4)
+    which = np.frombuffer(nodes, np.uint16 if n <= 1 << 16 else np.uint32, len(low), 4 + 8 * n)
+    return sig.reshape(-1).view(np.uint64) | np.uint64(bucket) << np.uint64(_LOW_BITS), own[which]
 
 
 def index_packs(texts: DataFrame, n_words: int, percent: int, n_buckets: int, taken: frozenset) -> DataFrame:
-    """bucket, sigs, nodes: the index rows of all texts, packed. A task leaves out a set that it has just had."""
-    want = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary())])
+    """bucket, name, sigs, nodes: the index rows of all texts, packed. A task leaves out a set that it has just had."""
+    want = pa.schema([("bucket", pa.int32()), ("name", pa.int64()), ("sigs", pa.binary()), ("nodes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, packer, seen = segments(percent), _Packer(n_buckets), set()
@@ -319,7 +343,7 @@ def index_packs(texts: DataFrame, n_words: int, percent: int, n_buckets: int, ta
         seen.clear()
         give_back_memory()
 
-    return texts.mapInArrow(run, "bucket int, sigs binary, nodes binary")
+    return texts.mapInArrow(run, "bucket int, name long, sigs binary, nodes binary")
 
 
 def _bucket_links(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -380,16 +404,17 @@ def met_nodes(packs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in batches:
-            for s, n in zip(b.column(1), b.column(2)):
-                sig, node = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
-                if len(sig) == len(node):
-                    sigs.append(sig.copy())
-                    nodes.append(node.copy())
+            for bucket, name, s, n in zip(*b.columns):
+                if not name.is_valid:
+                    sig, node = unpack(bucket.as_py(), s.as_buffer(), n.as_buffer())
+                    sigs.append(sig)
+                    nodes.append(node)
                     continue
                 # Nodes of one heavy hash, sorted.
+                node = np.frombuffer(n.as_buffer(), np.int64)
                 yield from rows(0, np.full(len(node) - 1, node[0]), node[1:])
                 yield from rows(0, node[1:-1], np.full(max(0, len(node) - 2), node[-1]))
-                yield from rows(1, np.full(len(node), sig.view(np.int64)[0]), node)
+                yield from rows(1, np.full(len(node), name.as_py()), node)
         a, b, group, node = _bucket_links(np.concatenate(sigs), np.concatenate(nodes))
         del sigs, nodes
         yield from rows(0, a, b)
@@ -512,6 +537,7 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(elements * seg.rows_per_element / BUCKET_ROWS))
     with arrow_batches(spark, 50):  # packs, and whole texts before them
         met = materialize(met_nodes(index_packs(texts.select("doc_id", "text"), n_words, percent, n_buckets, taken), n_buckets), "met")
+    release(spark)  # the packs
     compact = sketches(nodes)
     stars = met.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     with arrow_batches(spark, 1000):

@@ -33,6 +33,8 @@ BROADCAST_IDS = 1_000_000
 BROADCAST_SKETCHES = 48 << 20
 #: Nodes in a block of a bucket: two blocks are compared in one step of a task.
 BLOCK_NODES = 256
+#: Nearest partners that a node of a group asks in the first rounds; what these link needs no further pairs, the last round asks all.
+NEAREST = (4, 64)
 #: Index rows that a task packs at once, and those that a task of the next step shall receive.
 PACK_ROWS, BUCKET_ROWS = 300_000, 1_500_000
 #: Documents with one hash in one pack from which on they are linked there, and only the least and the greatest go to the hash's range.
@@ -167,8 +169,11 @@ class Segments:
         shared = int((both[1:] == both[:-1]).sum())
         return 100 * shared >= self.percent * (len(p) + len(q) - shared)
 
-    def likely_of(self, main: int, out: list, every: list) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of ``out`` with ``every`` (records of node, root, n_shingles, sketch) that may link two components."""
+    def likely_of(self, main: int, out: list, every: list, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of ``out`` with ``every`` (records of node, root, n_shingles, sketch) that may link two components.
+
+        Each node asks its ``most`` nearest partners; the last value tells whether any had more.
+        """
         width = min(len(r["sketch"]) for r in out + every) // 8
 
         def columns(rows: list) -> tuple:
@@ -187,7 +192,13 @@ class Segments:
         for w in range(width):
             apart += np.bitwise_count(xa[i, w] ^ xb[j, w])
         yes = apart <= (100 - self.percent) * (na[i] + nb[j]) // (100 + self.percent)
-        return np.minimum(a[i[yes]], b[j[yes]]), np.maximum(a[i[yes]], b[j[yes]])
+        i, j, apart = i[yes], j[yes], apart[yes]
+        order = np.lexsort((b[j], apart, i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)  # how many nearer partners the node has
+        near = place < most
+        i, j = i[near], j[near]
+        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), not near.all()
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -464,11 +475,12 @@ def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
     return rows.groupBy("group", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch")).alias(name))
 
 
-def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a group and that sizes and sketches don't rule out.
+def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a group and that sizes and sketches don't rule out; ``more`` if there are others.
 
     ``open_``: group, node, root, main (the group's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
-    main component meet blocks of all nodes; a task compares two blocks at once, so no row is made for a pair that is ruled out.
+    main component meet blocks of all nodes. A task compares two blocks at once, so no row is made for a pair that is ruled out, and
+    each node asks its ``most`` nearest partners of a block.
     """
     rows = open_.join(nodes, "node")
     # Most groups are one block, which meets itself.
@@ -479,15 +491,16 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     sizes = open_.select("group", "all_blocks").distinct()
     asked = outside.join(sizes, "group").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
     met = asked.join(every.drop("main"), ["group", "all_at"]).select("main", "out", "all")
-    want = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    want = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments(percent)
         for batch in batches:
             for main, out, every_ in zip(*(batch.column(i) for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in seg.likely_of(main.as_py(), out.as_py(), every_.as_py())], schema=want)
+                a, b, more = seg.likely_of(main.as_py(), out.as_py(), every_.as_py(), most)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], schema=want)
 
-    return alone.unionByName(met).mapInArrow(run, "a long, b long").distinct()
+    return alone.unionByName(met).mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int, taken: frozenset) -> DataFrame:
@@ -513,7 +526,7 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     1. Equal sets become one node. 2. Index rows are packed and dealt by ranges of their hashes; a hash that many sets of one pack
     share is linked there, and only two of them go on. 3. In every bucket each node is checked against the least and greatest one;
     the links make components. 4. Where the others of a bucket still are in several components, those outside the largest are
-    checked against all of other components, block by block.
+    checked against all of other components, block by block; first each against its nearest ones, as most are linked after that.
     So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
     Sets are compared by 64-bit hashes of their shingles; sets with one 64-bit digest are told apart by 64 bits more.
     """
@@ -543,18 +556,40 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     with arrow_batches(spark, 1000):
         stars = materialize(likely(stars, compact, percent), "likely")
     first = confirmed(stars, nodes, texts, n_words, percent, taken)
-    roots = materialize(components(first), "roots")
-    members = met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct()
+    members = materialize(met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct(), "members")
+    links, checked = first, stars
+    for most in (*NEAREST, 1 << 62):
+        roots = materialize(components(links), "roots")
+        open_ = _open_groups(members, roots)
+        if open_ is None:
+            return rows.select("doc_id", "row_key", "n_shingles", "node"), roots
+        with arrow_batches(spark, 16):  # rows of two blocks
+            found = materialize(likely_in_blocks(open_, compact, percent, most), "likely")
+        pairs = materialize(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "likely")
+        links = links.unionByName(confirmed(pairs, nodes, texts, n_words, percent, taken))
+        if not found.filter("more").head(1):
+            break
+        checked = checked.unionByName(pairs)
+    return rows.select("doc_id", "row_key", "n_shingles", "node"), materialize(components(links), "roots")
+
+
+def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Members of the groups that lie in several components, with what ``likely_in_blocks`` takes; None if there are none."""
     placed = materialize(members.join(small(roots), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")), "placed")
     counts = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("n_roots"))
     n_blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("long")
     largest = largest.filter("n_roots > 1").select("group", "main", n_blocks(F.col("n")).alias("all_blocks"), n_blocks(F.col("n") - F.col("n_main")).alias("outside_blocks"))
-    open_ = materialize(placed.join(small(materialize(largest, "largest")), "group"), "open")
-    with arrow_batches(spark, 16):  # rows of two blocks
-        pairs = materialize(likely_in_blocks(open_, compact, percent), "likely")
-    more = confirmed(pairs, nodes, texts, n_words, percent, taken)
-    return rows.select("doc_id", "row_key", "n_shingles", "node"), materialize(components(first.unionByName(more)), "roots")
+    largest = materialize(largest, "largest")
+    return materialize(placed.join(small(largest), "group"), "open") if largest.head(1) else None
+
+
+def best_of_component(nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
+    """node and the least ``value`` (a column of ``nodes``) of its component. Most nodes are alone, so only linked ones are grouped."""
+    linked = nodes.join(small(roots), "node").select("node", "root", value)
+    least = materialize(linked.groupBy("root").agg(F.min(value).alias("__least")), "least")
+    known = linked.join(small(least), "root").select("node", "__least")
+    return nodes.join(known, "node", "left").select("node", F.coalesce("__least", value).alias(value))
 
 
 def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -566,11 +601,8 @@ def similar_documents(docs: DataFrame, n_words: int = 3, percent: int = 90, id_c
     smallest id that is there, and is null if there is none. Repeated rows each get a row. An empty table gives no rows.
     """
     rows, roots = classes_of(docs, n_words, percent, id_col, text_col)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    least = nodes.join(small(roots), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = least.join(ids, "root").select("node", "component_id")
-    out = rows.join(by_node, "node", "left")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(best_of_component(nodes, roots, "component_id"), "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -584,10 +616,8 @@ def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: st
     rows, roots = classes_of(docs, n_words, percent, id_col, text_col)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     nodes = rows.filter("node is not null").groupBy("node").agg(best.alias("best"))
-    placed = nodes.join(small(roots), "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
-    chosen = placed.groupBy("root").agg(F.min("best").alias("best"))
-    keys = placed.select("node", "root").join(chosen, "root").select("node", "best.row_key")
-    gone = rows.join(keys.withColumnRenamed("row_key", "stays"), "node").filter("row_key <> stays").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    keys = best_of_component(nodes, roots, "best").select("node", F.col("best.row_key").alias("stays"))
+    gone = rows.join(keys, "node").filter("row_key <> stays").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
     own_id = F.col(f"`{id_col}`").cast("long")
     key = F.xxhash64(own_id, F.col(f"`{text_col}`").cast("string"))
     kept = docs.join(small(materialize(gone, "gone")), own_id.eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

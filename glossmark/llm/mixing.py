@@ -1,30 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling: earliest deadline first over blocks with release times and deadlines.
 
-DataFrame functions only. A round is PARTS blocks of virtual time. By the end of round z a source of weight w has given
-floor(w PARTS (z + 1) + phase) blocks, so what a round rounds off is carried to the next ones and no error grows with the input. In a
-round of S blocks, block k of a source with c of them is released at floor(k S / c) and due by ceil((k + 1) S / c). Each slot goes to
-the released block with the earliest deadline, so in every prefix of the round each source is less than one block off its share of it.
+DataFrame functions only. If every source flowed at its weight, t blocks of all sources would have flowed by the time at which block
+k of a source of weight w begins: t = sum over all sources of min(their weight x k / w, their blocks). So a source that is used up
+leaves, and the others go on in their proportion. The block is released at floor(t), and due at ceil(t) of the next block. Each slot
+goes to the released block with the earliest deadline. As the flow itself keeps all these windows, unit blocks can too, and earliest
+deadline first finds how: in every prefix of the schedule each source is less than one block off its target (Baruah et al., 1996).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and blocks that a round of all sources has on average.
-BLOCK_ROWS, PARTS = 16, 100
+#: Rows of a block at least, and blocks of all sources at most (beside one for each source): longer tables have larger blocks.
+BLOCK_ROWS, MAX_BLOCKS = 16, 100_000
 #: Weights follow the number of rows to this power if none are given: small sources count for more than their share.
 TEMPERATURE = 0.5
-#: A plan of up to so many blocks is broadcast; a longer one is joined by shuffling.
-MAX_BROADCAST_BLOCKS = 100_000
-#: Blocks that are made from one array, and rounds that a task sums up in order.
-CHUNK, ROUNDS = 10_000, 4096
-#: Tasks that the rounds are scheduled in; given, as few bytes of rounds make much work.
-TASKS = 32
+#: A plan of up to so many blocks is broadcast; a longer one (more sources than that) is joined by shuffling.
+MAX_BROADCAST_BLOCKS = 200_000
+#: Slots that are scheduled into one array.
+CHUNK = 512
 #: Rows that one ranking bucket of a source should hold; a task ranks a bucket, never a source.
 BUCKET_ROWS = 50_000
+#: Times are rounded to so many digits before they become slots, so that no error of the last bit moves a window.
+DIGITS = 6
+
+# Columns that are added on the way; a table with one of these names is refused by Spark, not changed.
+_KEY, _BUCKET, _RANK, _BLOCK = "__mix_key", "__mix_bucket", "__mix_rank", "__mix_block"
 
 
 def source_key(source: Column) -> Column:
@@ -32,11 +36,13 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("-"))
 
 
-def _sources(counts: DataFrame, weights: Mapping[str, float] | None) -> DataFrame:
-    """key, blocks, pace, phase, z0: the blocks of each source, how many it gives a round, and its first round.
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
 
-    Sources of weight 0, or without one, share alike in rounds behind those of all others.
-    """
+
+def _tiers(counts: DataFrame, weights: Mapping[str, float] | None, block_rows: int) -> DataFrame:
+    """last, s, total: a row for the sources with a weight, and one for those of weight 0 or without one, which share alike behind them."""
     if weights:
         if min(weights.values()) < 0:
             raise ValueError("a weight is negative")
@@ -44,96 +50,117 @@ def _sources(counts: DataFrame, weights: Mapping[str, float] | None) -> DataFram
         w = F.coalesce(F.try_element_at(given, F.col("key")), F.lit(0.0))
     else:
         w = F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))
-    last = w <= 0
-    # One row a source. Phases are spread over the sources by weight, so that alike ones don't all give a block in the same round.
-    whole, tier = Window.partitionBy(F.lit(1)), Window.partitionBy("last")
-    s = counts.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"), last.alias("last"), F.when(last, 1.0).otherwise(w).alias("w"))
-    s = s.withColumn("pace", F.col("w") / F.sum("w").over(tier) * PARTS)
-    s = s.withColumn("phase", (F.row_number().over(tier.orderBy(F.desc("w"), "key")) - 0.5) / F.count(F.lit(1)).over(tier))
-    ends = F.when(~F.col("last"), _round_of(F.col("blocks") - 1) + 1)
-    z0 = F.when(F.col("last"), F.coalesce(F.max(ends).over(whole), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return s.select("key", "blocks", "pace", "phase", z0.alias("z0"))
+    last, blocks = w <= 0, F.ceil(F.col("n") / block_rows).cast("long")
+    one = F.struct("key", blocks.alias("blocks"), F.when(last, 1.0).otherwise(w).alias("w"))
+    return counts.groupBy(last.alias("last")).agg(F.array_sort(F.collect_list(one)).alias("s"), F.sum(blocks).alias("total"))
+
+
+def flow_time(sources: Column, v: Column) -> Column:
+    """Blocks of all sources that have flowed by the time at which an endless source of weight 1 has given ``v``."""
+    return F.aggregate(sources, F.lit(0.0), lambda t, x: t + F.least(x["w"] * v, x["blocks"].cast("double")))
+
+
+def windows(sources: Column) -> Column:
+    """Release times and deadlines: a struct of two arrays, in each an array of the blocks for every source."""
+    ends = F.transform(sources, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"]), lambda k: F.round(flow_time(sources, k / x["w"]), DIGITS)))
+
+    def slots(e: Column) -> Column:
+        released = F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda t: F.floor(t).cast("long"))
+        due = F.transform(F.slice(e, F.lit(2), F.size(e) - 1), lambda t: F.ceil(t).cast("long"))
+        return F.struct(released.alias("released"), due.alias("due"))
+
+    return _bound(F.transform(ends, slots), lambda x: F.struct(x["released"].alias("released"), x["due"].alias("due")))
 
 
-def _round_of(block: Column) -> Column:
-    """The first round z with floor(pace (z + 1) + phase) > block."""
-    return F.greatest(F.ceil((block + 1 - F.col("phase")) / F.col("pace")) - 1, F.lit(0)).cast("long")
+def earliest_deadline_first(w: Column, total: Column) -> Column:
+    """The source (its place) and its block for every slot; ``w`` has the windows of all blocks, ``total`` is their number."""
+    order_type = "array<struct<i:int,k:bigint>>"
 
+    def first_due(done: Column, upto: Column) -> Column:
+        def job(k: Column, i: Column) -> Column:
+            due = F.get(F.get(w["due"], i), k.cast("int"))
+            return F.struct(F.when(F.get(F.get(w["released"], i), k.cast("int")) <= upto, due).alias("due"), i.alias("i"))
 
-def earliest_deadline_first(c: Column, total: Column) -> Column:
-    """The source (its place in ``c``) of every slot of a round; ``c`` has the blocks of each source, ``total`` their sum."""
+        return F.array_min(F.filter(F.transform(done, job), lambda j: j["due"].isNotNull()))["i"]
 
     def step(state: Column, t: Column) -> Column:
         done = state["done"]
-        jobs = F.transform(
-            c,
-            lambda n, i: F.struct(
-                F.when((F.get(done, i) < n) & (F.floor(F.get(done, i) * total / n) <= t), F.ceil((F.get(done, i) + 1) * total / n)).alias("due"),
-                i.alias("i"),
+        # Some block is always released; the second choice only keeps the plan whole if weights are beyond a double's digits.
+        chosen = F.coalesce(first_due(done, t), first_due(done, F.lit(2**62)))
+        return _bound(
+            chosen,
+            lambda c: F.struct(
+                F.transform(done, lambda d, i: F.when(i == c, d + 1).otherwise(d)).alias("done"),
+                F.array_append(state["order"], F.struct(c.alias("i"), F.get(done, c).alias("k"))).alias("order"),
             ),
         )
-        chosen = F.array_min(F.filter(jobs, lambda j: j["due"].isNotNull()))["i"]
-        return F.struct(F.transform(done, lambda d, i: F.when(i == chosen, d + 1).otherwise(d)).alias("done"), F.array_append(state["order"], chosen).alias("order"))
-
-    start = F.struct(F.transform(c, lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1), start, step, lambda state: state["order"])
-
-
-def plan_of(counts: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """key, block, round, released, due, slot: one row for each block of each source."""
-    chunks = _sources(counts, weights).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(CHUNK).cast("long"))))
-    upto = F.least(F.col("from") + (CHUNK - 1), F.col("blocks") - 1)
-    blocks = chunks.withColumn("block", F.explode(F.sequence(F.col("from"), upto))).select("key", "block", (F.col("z0") + _round_of(F.col("block"))).alias("round"))
-    jobs = blocks.groupBy("round", "key").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("first"))
-    rounds = jobs.groupBy("round").agg(F.array_sort(F.collect_list(F.struct("key", "c", "first"))).alias("s"), F.sum("c").alias("total"))
-    rounds = rounds.withColumn("part", F.floor(F.col("round") / ROUNDS).cast("long"))
-    parts = rounds.groupBy("part").agg(F.sum("total").alias("t"))
-    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rounds.select("round", "part", "total").join(starts, "part").select("round", (F.col("start") + F.coalesce(F.sum("total").over(inside), F.lit(0))).alias("base"))
-    order = earliest_deadline_first(F.col("s.c"), F.col("total"))
-    slots = rounds.join(bases, "round").repartition(TASKS, "round").select("round", "s", "base", "total", F.posexplode(order).alias("slot", "i"))
-    k = (F.row_number().over(Window.partitionBy("round", "i").orderBy("slot")) - 1).cast("long")
-    slots = slots.select("round", "base", "total", "slot", F.col("s")[F.col("i")].alias("x"), k.alias("k"))
-    return slots.select(
-        "x.key", (F.col("x.first") + F.col("k")).alias("block"), "round", F.floor(F.col("k") * F.col("total") / F.col("x.c")).cast("long").alias("released"),
-        F.ceil((F.col("k") + 1) * F.col("total") / F.col("x.c")).cast("long").alias("due"), (F.col("base") + F.col("slot")).cast("long").alias("slot"),
-    )
+
+    def chunk(state: Column, a: Column) -> Column:
+        slots = F.sequence(a, F.least(a + (CHUNK - 1), total - 1))
+        part = F.aggregate(slots, F.struct(state["done"].alias("done"), F.array().cast(order_type).alias("order")), step)
+        return _bound(part, lambda x: F.struct(x["done"].alias("done"), F.array_append(state["orders"], x["order"]).alias("orders")))
+
+    start = F.struct(F.transform(w["due"], lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast(f"array<{order_type}>").alias("orders"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(CHUNK).cast("long")), start, chunk, lambda state: state["orders"]))
+
+
+def plan_of(counts: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, block, released, due, slot: one row for each block of each source (``counts``: key, n).
+
+    A slot depends on all before it, so one task makes the plan: ``MAX_BLOCKS`` blocks and one for each source at most, whatever the
+    size of the table. Its time follows blocks times sources.
+    """
+    tiers = _tiers(counts, weights, block_rows)
+    before = Window.partitionBy(F.lit(1)).orderBy("last").rowsBetween(Window.unboundedPreceding, -1)  # two rows
+    tiers = tiers.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long"))
+
+    def rows(w: Column) -> Column:
+        def row(x: Column, slot: Column) -> Column:
+            i, k = x["i"], x["k"].cast("int")
+            at = lambda c: (F.col("base") + F.get(F.get(w[c], i), k)).alias(c)
+            return F.struct(F.get("s", i)["key"].alias("key"), x["k"].alias("block"), at("released"), at("due"), (F.col("base") + slot).cast("long").alias("slot"))
+
+        return F.transform(earliest_deadline_first(w, F.col("total")), row)
+
+    return tiers.select(F.explode(_bound(windows(F.col("s")), rows)).alias("x")).select("x.*")
 
 
 def with_positions(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a struct ``__mix``: block, round, released and due (slots of the round), slot (of all rounds, gapless from 0) and
-    rank (row of the block).
+    """``docs`` with a struct ``__mix``: block, released, due, slot (gapless from 0) and rank (row of the block).
 
     Rows of a source are dealt to blocks in the order of a hash of their id. A null source is a source of its own. Sources of weight 0
     or without a weight come behind all others and share alike. Repeated rows and null ids are kept. An empty table gives no rows.
-    Sources differ in length: one that is used up leaves the rounds, and the others go on in their proportion.
     """
-    rows = docs.withColumn("__key", source_key(F.col(source_col)))
-    counts = rows.groupBy(F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    n_blocks, n_rows = counts.agg(F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
-    n_buckets = max(16, -(-n_rows // BUCKET_ROWS))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_buckets)).cast("int"))
-    sizes = rows.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__key", "__bucket").orderBy(id_col)
-    ranked = rows.withColumn("__rank", F.row_number().over(inside) - 1).join(offsets, ["__key", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__offset")).withColumn("__block", F.floor(F.col("__rank") / BLOCK_ROWS).cast("long"))
-    plan = plan_of(counts, weights).select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.struct("block", "round", "released", "due", "slot").alias("__at"))
-    placed = ranked.join(F.broadcast(plan) if n_blocks <= MAX_BROADCAST_BLOCKS else plan, ["__key", "__block"])
-    mix = F.struct("__at.*", (F.col("__rank") % BLOCK_ROWS).cast("long").alias("rank"))
+    source, own_id = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
+    rows = docs.withColumn(_KEY, source_key(source))
+    counts = rows.groupBy(F.col(_KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    n_rows, n_most, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).head()
+    block_rows = max(BLOCK_ROWS, -(-n_rows // MAX_BLOCKS))
+    n_buckets = max(16, -(-n_most // BUCKET_ROWS))
+    rows = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(own_id.cast("long")), F.lit(n_buckets)).cast("int"))
+    sizes = rows.groupBy(_KEY, _BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(_KEY).alias("key"), F.col(_BUCKET).alias("bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets.select(*(F.col(c).alias(f"__of_{c}") for c in offsets.columns))
+    ranked = rows.withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(own_id)) - 1)
+    ranked = ranked.join(offsets, (F.col(_KEY) == F.col("__of_key")) & (F.col(_BUCKET) == F.col("__of_bucket")))
+    ranked = ranked.withColumn(_RANK, F.col(_RANK) + F.col("__of_offset")).withColumn(_BLOCK, F.floor(F.col(_RANK) / block_rows).cast("long"))
+    plan = plan_of(counts, weights, block_rows).select(F.col("key").alias("__at_key"), F.col("block").alias("__at_block"), F.struct("block", "released", "due", "slot").alias("__at"))
+    if n_rows / block_rows + n_sources <= MAX_BROADCAST_BLOCKS:
+        plan = F.broadcast(plan)
+    placed = ranked.join(plan, (F.col(_KEY) == F.col("__at_key")) & (F.col(_BLOCK) == F.col("__at_block")))
+    mix = F.struct("__at.*", (F.col(_RANK) % block_rows).cast("long").alias("rank"))
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, block, round, released, due, slot, rank: one row per row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    """doc_id, source, block, released, due, slot, rank: one row per row of ``docs``."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"))
     return with_positions(rows, weights, "source", "doc_id").select("doc_id", "source", "__mix.*")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the schedule: partitions are ranges of it, each sorted, so that the files written follow it."""
-    placed = with_positions(docs, weights, source_col, id_col).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__mix.slot").alias("__slot"), F.col("__mix.rank").alias("__rank"))
-    return placed.repartitionByRange("__slot", "__rank").sortWithinPartitions("__slot", "__rank").select(*(F.col(f"`{c}`") for c in docs.columns))
+    placed = with_positions(docs, weights, source_col, id_col)
+    placed = placed.repartitionByRange("__mix.slot", "__mix.rank").sortWithinPartitions("__mix.slot", "__mix.rank")
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -122,48 +123,53 @@ def test_components(spark):
 # ---- 3: mixing
 
 
-def test_mixing_deviates_less_than_a_block(spark):
-    sizes = {"a": 900, "b": 300, "c": 50, "d": 7, "e": 1}
+def brute_pfair(blocks, weights):
+    """Windows by exact fractions and earliest deadline first, slot by slot: (source, block, released, due) in order."""
+    w, out = {k: Fraction(weights[k]) for k in blocks if weights.get(k, 0) > 0}, []
+    time = lambda v, of: sum(min(of[k] * v, Fraction(blocks[k])) for k in of)
+    for of in (w, {k: Fraction(1) for k in blocks if k not in w}):
+        base, done = len(out), dict.fromkeys(of, 0)
+        for t in range(sum(blocks[k] for k in of)):
+            jobs = [(math.ceil(time((done[k] + 1) / of[k], of)), k) for k in sorted(of) if done[k] < blocks[k] and math.floor(time(done[k] / of[k], of)) <= t]
+            due, k = min(jobs)
+            out.append((k, done[k], base + math.floor(time(done[k] / of[k], of)), base + due))
+            done[k] += 1
+    return out
+
+
+def test_mixing_equals_brute_force(spark):
+    sizes = {"a": 400, "b": 180, "c": 50, "d": 7, "e": 1, "z": 40}
+    weights = {"a": 0.5, "b": 0.25, "c": 0.125, "d": 0.125, "e": 0.0625, "z": 0.0}
     rows = [(1000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
-    out = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    out = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights).collect()
     assert sorted((r.doc_id, r.source) for r in out) == sorted(rows)
-    blocks = {}
-    for r in out:
-        blocks.setdefault((r.source, r.block), set()).add((r.slot, r.round, r.released, r.due))
-    assert all(len(x) == 1 for x in blocks.values())
-    order = sorted((next(iter(x))[0], next(iter(x))[1], k) for k, x in blocks.items())
-    assert [x[0] for x in order] == list(range(len(order)))
     assert len({(r.source, r.block, r.rank) for r in out}) == len(out)
-    for z in {x[1] for x in order}:
-        here = [k[0] for _, z_, k in order if z_ == z]
-        share = {s: n / len(here) for s, n in collections.Counter(here).items()}
-        for t in range(len(here) + 1):
-            done = collections.Counter(here[:t])
-            assert all(abs(done[s] - share[s] * t) < 1 for s in share)
-        at = {}
-        for pos, (_, _, k) in enumerate([x for x in order if x[1] == z]):
-            _, _, released, due = next(iter(blocks[k]))
-            assert released <= pos < due
-            at.setdefault(k[0], []).append(k[1])
-        assert all(x == sorted(x) for x in at.values())
-
-
-@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, {"a": 0.999, "b": 0.001}, {"a": 0.5, "b": 0.2995, "c": 0.2, "d": 0.0005}, {f"s{i}": 1 for i in range(30)} | {"a": 30}])
-def test_mixing_follows_the_target_weights(spark, weights):
-    total, slots = sum(weights.values()), 6000
-    sizes = [(s, 16 * (int(w / total * slots) + 3)) for s, w in weights.items()] + [("zero", 40)]
-    docs = spark.createDataFrame(sizes, "source string, n long").select("source", F.explode(F.sequence(F.lit(1), "n")).alias("doc_id"))
-    out = mixing.schedule(docs, weights | {"zero": 0})
-    plan = out.filter("rank = 0").collect()
-    order = [r.source for r in sorted(plan, key=lambda r: r.slot)]
-    assert [r.slot for r in sorted(plan, key=lambda r: r.slot)] == list(range(sum(-(-n // 16) for _, n in sizes)))
-    assert out.select("source", "block", "rank").distinct().count() == sum(n for _, n in sizes)
-    done, worst = collections.Counter(), 0
-    for t, s in enumerate(order[: slots - 100], 1):
+    blocks = {(r.slot, r.source, r.block, r.released, r.due) for r in out}
+    assert [x[1:] for x in sorted(blocks)] == brute_pfair({s: -(-n // 16) for s, n in sizes.items()}, weights)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, {"a": 0.9965, "b": 0.0035}, {"a": 0.5, "b": 0.2995, "c": 0.2, "d": 0.0005}, {f"s{i}": 1 for i in range(30)} | {"a": 30}])
+def test_mixing_is_less_than_a_block_off_the_weights(spark, weights):
+    """In every prefix, against the target weights, while all sources last; afterwards against the flow without those used up."""
+    total, slots = sum(weights.values()), 20_000
+    sizes = {s: int(w / total * slots * (1 + 0.3 * (i % 3))) + 1 for i, (s, w) in enumerate(weights.items())} | {"zero": 3}
+    counts = spark.createDataFrame([("s" + s, 16 * n) for s, n in sizes.items()], "key string, n long")
+    plan = sorted((r.slot, r.key[1:], r.block, r.released, r.due) for r in mixing.plan_of(counts, weights | {"zero": 0}).collect())
+    assert [x[0] for x in plan] == list(range(sum(sizes.values()))) and [x[1] for x in plan[-3:]] == ["zero"] * 3
+    assert all(r <= t < d for t, _, _, r, d in plan)
+    done, used_up = collections.Counter(), min(sizes[s] / w for s, w in weights.items()) * total
+    for t, s, k, _, _ in plan:
+        assert k == done[s]
         done[s] += 1
-        worst = max(worst, *(abs(done[x] - w / total * t) for x, w in weights.items()))
-    assert worst < 2
-    assert order[-3:] == ["zero"] * 3
+        if t + 1 <= used_up:
+            assert all(abs(done[x] - w / total * (t + 1)) < 1 for x, w in weights.items())
+
+
+def test_mixing_leaves_the_columns_of_documents_alone(spark):
+    names = "k z0 slot total base blocks_in_round key block released due rank n round bucket s w last x".split()
+    docs = spark.createDataFrame([(i, f"s{i % 3}", *range(700, 700 + len(names))) for i in range(50)], "doc_id long, source string, " + ", ".join(f"{n} long" for n in names))
+    for weights in (None, {"s0": 1, "s1": 2}):
+        assert sorted(mixing.mixed(docs, weights).collect()) == sorted(docs.collect())
 
 
 def test_mixing_many_sources(spark):
@@ -172,17 +178,6 @@ def test_mixing_many_sources(spark):
     assert sorted(r.doc_id for r in out) == list(range(3000)) and {r.slot for r in out} == set(range(1500))
 
 
-def test_mixing_earliest_deadline(spark):
-    c = [7, 3, 2, 1]
-    got = spark.range(1).select(mixing.earliest_deadline_first(F.array(*(F.lit(x).cast("long") for x in c)), F.lit(13).cast("long")).alias("o")).head().o
-    done, want = [0] * 4, []
-    for t in range(13):
-        jobs = [(-(-(d + 1) * 13 // n), i) for i, (d, n) in enumerate(zip(done, c)) if d < n and d * 13 // n <= t]
-        want.append(min(jobs)[1])
-        done[want[-1]] += 1
-    assert got == want
-
-
 def test_mixing_odd(spark):
     out = mixing.mixed(odd_docs(spark))
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs(spark).collect()))

@@ -52,10 +52,10 @@ def one_of_each(rows):
             x, y = sets[a], sets[b]
             if 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
                 root[find(a)] = find(b)
-    best = {}
-    for k, r in enumerate(rows):
-        best[find(k)] = min(best.get(find(k), (True, math.inf, "")), (r[0] is None, math.inf if r[0] is None else r[0], r[1]))
-    return [r for k, r in enumerate(rows) if (r[0] is None, math.inf if r[0] is None else r[0], r[1]) == best[find(k)]]
+    rank, best = [(r[0] is None, r[0] or 0, r[1]) for r in rows], {}
+    for k, x in enumerate(rank):
+        best[find(k)] = min(best.get(find(k), x), x)
+    return [r for k, r in enumerate(rows) if rank[k] == best[find(k)]]
 
 
 def without_passages(text, windows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, not again for each element of a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _not_in(chars: Column, source: Column) -> Column:
     return F.filter(chars, lambda c: ~F.contains(source, c))
 
@@ -79,7 +85,11 @@ def untranslated_words(src: Column, hyp: Column, allow: list[str] | Column | Non
     allowed = F.concat(F.transform(F.concat(kept, parts, F.array_compact(joined)), F.lower), units)
     if allow is not None:
         allowed = F.concat(allowed, allow if isinstance(allow, Column) else F.array(*[F.lit(a.lower()) for a in allow]).cast("array<string>"))
-    bad = lambda words: F.filter(words, lambda w: (F.length(w) > 1) & (F.lit(True) if bengali_only else ~F.array_contains(allowed, F.lower(w))))
+
+    def bad(words: Column) -> Column:
+        long = F.filter(words, lambda w: F.length(w) > 1)
+        return long if bengali_only else once(allowed, lambda a: F.filter(long, lambda w: ~F.array_contains(a, F.lower(w))))
+
     inside = bad(F.flatten(F.transform(found(hyp, GLOSS, 1), lambda g: found(g, TOKEN))))
     outside = bad(found(F.regexp_replace(hyp, GLOSS, " "), TOKEN))
     return {"latin_word_n": F.size(outside), "latin_words": F.array_join(outside, " "), "gloss_n": F.size(inside)}
@@ -91,7 +101,7 @@ def numbers_preserved(src: Column, hyp: Column) -> dict[str, Column]:
     wanted, there = F.array_sort(numbers(src)), numbers(ascii_digits(hyp))
     words = F.create_map(*[x for k, v in NUMBER_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     said = lambda n: F.exists(F.coalesce(F.try_element_at(words, n), F.array().cast("array<string>")), lambda w: F.contains(hyp, w))
-    missing = F.filter(wanted, lambda n: ~F.array_contains(there, n) & ~said(n))
+    missing = once(there, lambda t: F.filter(wanted, lambda n: ~F.array_contains(t, n) & ~said(n)))
     hard = F.filter(missing, lambda n: F.contains(n, F.lit(".")) | (F.length(n) >= 3))
     total = F.size(wanted)
     return {
@@ -102,7 +112,7 @@ def numbers_preserved(src: Column, hyp: Column) -> dict[str, Column]:
 
 def duplicate_options(parts: Column) -> Column:
     """Options that equal another one after white space is levelled."""
-    options = F.transform(F.slice(parts, F.lit(2), F.lit(1 << 20)), lambda p: strip(F.regexp_replace(p, rf"{WS}+", " ")))
+    options = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: strip(F.regexp_replace(p, rf"{WS}+", " ")))
     return F.size(options) - F.size(F.array_distinct(options))
 
 

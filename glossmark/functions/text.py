@@ -67,7 +67,7 @@ def labelled_segments(text: Column) -> Column:
     """A struct of the stem and the options as structs of label and text."""
     parts = _cut(text)
     option = lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("label"), strip(F.substring_index(p, _CLOSE, -1)).alias("text"))
-    return F.struct(strip(parts[0]).alias("stem"), F.transform(F.slice(parts, 2, 1 << 20), option).alias("options"))
+    return F.struct(strip(parts[0]).alias("stem"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), option).alias("options"))
 
 
 def relabelled(parts: Column) -> Column:

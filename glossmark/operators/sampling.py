@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Multiplier and modulus of the order hash (fixed values; both engines of a comparison can compute it).
-MULTIPLIER, MODULUS = 2654435761, 4294967296
-
-
 def order_hash(key: Column, seed: int = 42) -> Column:
-    """A shuffled place of a whole-number key."""
-    return F.pmod((key.cast("decimal(20,0)") + seed) * F.lit(MULTIPLIER).cast("decimal(12,0)"), F.lit(MODULUS).cast("decimal(12,0)")).cast("long")
+    """A shuffled place of a key of any type: leading hex digits of the MD5 of seed and key, which other engines have too."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -62,7 +62,7 @@ _SEG = rf"list_transform(string_split(regexp_replace(text, '(?m)^{_WS}*({_LABEL}
 @query(f"with s as (select doc_id, {_SEG} as s from documents) select doc_id, len(s) as n_segments, length(s[1]) as stem_chars, md5(array_to_string(s, chr(3))) as h, (len(s) - 1) - len(list_distinct(s[2:])) as dup from s")
 def q_segment_options(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select("doc_id", text.segments(F.col("text")).alias("s"))
-    dup = F.size(F.slice("s", 2, 1 << 20)) - F.size(F.array_distinct(F.slice("s", 2, 1 << 20)))
+    dup = F.size("s") - 1 - F.size(F.array_distinct(F.slice("s", F.lit(2), F.size("s"))))
     return s.select("doc_id", F.size("s").cast("long").alias("n_segments"), F.length(F.col("s")[0]).cast("long").alias("stem_chars"), F.md5(F.array_join("s", "\x03")).alias("h"), dup.cast("long").alias("dup"))
 
 
@@ -331,7 +331,7 @@ def q_rank_gap(spark, sf_dir):
 
 # ---- samples
 
-_HASH = "cast((cast({k} as hugeint) + 42) * 2654435761 % 4294967296 as bigint)"
+_HASH = "substr(md5('42:' || {k}), 1, 15)"
 _O = _HASH.format(k="item_id")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -18,6 +19,8 @@ from glossmark.llm.common import materialize
 MIN_PAGES = 3
 #: A block inside the main roots must also stand in at least this share of its host's different main texts.
 MAIN_SHARE = 0.5
+#: Elements nest up to this depth, as in browsers; deeper ones stand beside each other, with all their text.
+MAX_DEPTH = 512
 #: Up to so many template keys are broadcast; more are joined by shuffling.
 MAX_BROADCAST_KEYS = 200_000
 #: Parts that the rows of a host are dealt to, so that one host never meets in one task.
@@ -45,7 +48,8 @@ ASIDE_WORDS = re.compile(
     re.IGNORECASE,
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _SPACES = re.compile(r"[\s\x00]+")
 
@@ -70,46 +74,95 @@ class Node:
         return self.aside or self.set_aside
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place behind the ``>`` of a tag, jumping over quoted values; a quote that is never closed (``last``) is an ordinary character."""
+    while m := _TAG_STOP.search(page, at):
+        quote, at = m[0], m.end()
+        if quote == ">":
+            return at
+        if at <= last[quote]:
+            at = page.index(quote, at) + 1
+    return len(page)
+
+
+def tokens(page: str) -> Generator[tuple[int, int, str, str | None], int | None, None]:
+    """Begin, end, name and attributes of all tags (an end tag has no attributes: None; comments and the like have no name).
+    Sent a place, it goes on from there.
+
+    Every step starts where the last one ended, so the time follows the length of the page, whatever is in it.
+    """
+    at, n, last = 0, len(page), {q: page.rfind(q) for q in "\"'"}
+    behind = lambda what, start: (i + len(what) if (i := page.find(what, start)) >= 0 else n)
+    while (at := page.find("<", at)) >= 0:
+        begin = at
+        if page.startswith("<!--", at):
+            at = behind("-->", at + 4)
+        elif page.startswith("<![CDATA[", at):
+            at = behind("]]>", at + 9)
+        elif page.startswith(("<!", "<?"), at):
+            at = behind(">", at + 2)
+        elif m := _NAME.match(page, at + 1):
+            at = tag_end(page, m.end(), last)
+            attrs = page[m.end() : at - 1 if page[at - 1] == ">" else at]
+            at = (yield begin, at, m[0].lower(), attrs) or at
+            continue
+        elif page.startswith("/", at + 1) and (m := _NAME.match(page, at + 2)):
+            at = behind(">", m.end())
+            yield begin, at, m[0].lower(), None
+            continue
+        else:
+            at += 1  # a bare sign, which is text
+            continue
+        yield begin, at, "", None
+
+
 def parse(page: str) -> Node:
     """A tree of the page. Missing and stray end tags are mended as browsers do in the common cases; no input fails."""
     root = Node("html")
-    stack, at, n = [root], 0, len(page)
+    stack, done, n = [root], 0, len(page)
+    open_names: Counter[str] = Counter()
+    inline: list[Counter[str]] = [Counter()]  # open elements since each open block
 
     def text(a: int, b: int) -> None:
         if a < b:
             stack[-1].children.append(html.unescape(page[a:b]))
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(at, n)
-            break
-        text(at, m.start())
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
-            if name == "p" and not any(x.name == "p" for x in stack):
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                # An inline end tag doesn't close the block that it stands in.
-                if stack[depth].name in BLOCKS and name not in BLOCKS:
-                    break
-        elif m[2]:
-            name, attrs = m[2].lower(), m[3] or ""
-            if name in CLOSES_P:
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            gone = stack.pop().name
+            open_names[gone] -= 1
+            if gone in BLOCKS:
+                inline.pop()
+            else:
+                inline[-1][gone] -= 1
+
+    found = tokens(page)
+    token = next(found, None)
+    while token is not None:
+        begin, end, name, attrs = token
+        text(done, begin)
+        done, jump = end, None
+        if not name:
+            pass
+        elif attrs is None:
+            # An inline end tag doesn't close the block that it stands in.
+            if open_names[name] if name in BLOCKS else inline[-1][name]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name == name:
+                        close(depth)
+                        break
+        else:
+            if name in CLOSES_P and open_names["p"]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].name == "p":
-                        del stack[depth:]
+                        close(depth)
                         break
                     if stack[depth].name in SCOPES:
                         break
             if name in SIBLINGS:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].name in SIBLINGS[name]:
-                        del stack[depth:]
+                        close(depth)
                         break
                     if stack[depth].name in SCOPES - set(SIBLINGS[name]):
                         break
@@ -122,11 +175,21 @@ def parse(page: str) -> Node:
                     node.marked = True
             stack[-1].children.append(node)
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
-                node.children.append(page[at : end.start() if end else n])
-                at = end.end() if end else n
-            elif name not in VOID and not attrs.rstrip().endswith("/"):
+                close_tag = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|$)", re.IGNORECASE).search(page, end)
+                node.children.append(page[end : close_tag.start() if close_tag else n])
+                done = jump = close_tag.end() if close_tag else n
+            elif name not in VOID and not attrs.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
                 stack.append(node)
+                open_names[name] += 1
+                if name in BLOCKS:
+                    inline.append(Counter())
+                else:
+                    inline[-1][name] += 1
+        try:
+            token = found.send(jump)
+        except StopIteration:
+            break
+    text(done, n)
     return root
 
 

@@ -18,25 +18,30 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the class is one match, so a shorter match is a run that fails
 
 #: A candidate is a run of these characters of at least the window length that holds a digit.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+WINDOW = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 _DIGIT = re.compile(r"[0-9]")
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """A character class with the bits per character that a window must reach, and the kinds of characters that it must mix."""
+    """A character class with the bits per character that a window must reach, the kinds of characters that it must mix, and how
+    often letters and digits must change places in it: words with a number behind them change once or twice, random ones often."""
 
     name: str
     run: re.Pattern
     bits: float
     mix: tuple[re.Pattern, ...]
+    changes: int = 0
 
 
-WINDOW = 20
+_LOWER, _UPPER, _LETTER, _HEX_LETTER = map(re.compile, ("[a-z]", "[A-Z]", "[A-Za-z]", "[a-fA-F]"))
+_CHANGE = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 CLASSES = (
-    EntropyClass("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.0, (re.compile("[0-9]"), re.compile("[a-fA-F]"))),
-    EntropyClass("alnum", re.compile(r"[0-9A-Za-z]{20,}"), 3.6, (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]"))),
-    EntropyClass("base64", re.compile(r"[0-9A-Za-z+/_=-]{20,}"), 3.8, (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]"))),
+    EntropyClass("hex", re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 2.6, (_DIGIT, _HEX_LETTER), 3),
+    EntropyClass("one case", re.compile(rf"(?:[0-9a-z]{{{WINDOW},}}|[0-9A-Z]{{{WINDOW},}})"), 3.2, (_DIGIT, _LETTER), 4),
+    EntropyClass("alnum", re.compile(rf"[0-9A-Za-z]{{{WINDOW},}}"), 3.4, (_DIGIT, _LOWER, _UPPER), 2),
+    EntropyClass("base64", re.compile(rf"[0-9A-Za-z+/_=-]{{{WINDOW},}}"), 3.5, (_DIGIT, _LOWER, _UPPER), 2),
 )
 
 #: Windows that look random and are not: counting runs, identifiers of a public form, words that mark an example.
@@ -93,7 +98,8 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW_LIST) -> list
             for run in cls.run.finditer(cand[0]):
                 for a, b in random_windows(run[0], cls.bits):
                     a, b = a + run.start(), b + run.start()
-                    if all(p.search(cand[0], a, b) for p in cls.mix) and not any(x < b and a < y for x, y in allowed):
+                    random = all(p.search(cand[0], a, b) for p in cls.mix) and len(_CHANGE.findall(cand[0], a, b)) >= cls.changes
+                    if random and not any(x < b and a < y for x, y in allowed):
                         found.append((a + cand.start(), b + cand.start()))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 from fractions import Fraction
 
@@ -333,6 +335,18 @@ def test_secrets_base(spark, sf_dir, docs):
         assert sorted(secrets.base_spans(t)) == sorted(brute_secrets(t))
 
 
+def test_secrets_outside_the_base_kinds():
+    """Recall on random secrets that no base kind takes, and look-alikes left alone."""
+    rng = random.Random(9)
+    letters, upper = string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits
+    for chars in (string.ascii_letters + string.digits, letters, upper, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF"):
+        made = ["".join(rng.choices(chars, k=rng.randint(20, 40))) for _ in range(400)]
+        caught = sum(any(k == "entropy" for k, _, _ in secrets.scan(f"the key is {x} and more")[1]) for x in made)
+        assert caught >= 0.9 * len(made), (chars, caught)
+    alike = ["internationalisation2024", "the-quick-brown-fox-2020-jumps", "01234567890123456789", "550e8400-e29b-41d4-a716-446655440000", "https://site.org/2020/01/some-long-title-of-a-page", "aaaaaaaaaaaaaaaaaaaaaaaa1b2", "CamelCaseIdentifierVersion2"]
+    assert not any(secrets.scan(x)[1] for x in alike)
+
+
 def test_entropy_windows():
     text = "key 9fKx2LmQ8vTz4RpW7sYd1NcB6 and aaaaaaaaaaaaaaaaaaaaaaaa1 0123456789abcdefghijABCDE"
     found = [text[a:b] for a, b in secrets.entropy_spans(text)]
@@ -457,6 +471,21 @@ def test_html(spark):
     assert html_text.extract_pages(pages).count() == len(rows) + 1 and html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<x " * 300_000 + '"', "<b>" * 300_000 + "</p></q>" * 100_000, "<q><div>" + "<b>" * 100_000 + "</q>" * 200_000, "<!--" * 200_000, "<p title='" * 100_000, "<" * 1_000_000, "<script>" * 100_000])
+def test_html_of_any_kind_is_read_in_linear_time(page):
+    start = time.process_time()
+    html_text.pieces(html_text.tree_of(page))
+    assert time.process_time() - start < 8  # a megabyte
+
+
+def test_html_tokens():
+    page = "a < b <p class='x > y'>One<br/>two</p><!-- <p>no --><script>if (a < b) '<p>'</script><q title=\"open>three</q><![CDATA[ <p> ]]>4"
+    root = html_text.tree_of(page)
+    assert "\n".join(t for t, _ in html_text.pieces(root)) == "a < b\nOne two\nthree4"
+    deep = "<div>" * 2000 + "inside" + "</div>" * 2000 + "after"
+    assert "\n".join(t for t, _ in html_text.pieces(html_text.tree_of(deep))) == "inside\nafter"
+
+
 def test_html_template_inside_the_article(spark):
     story = lambda i: " ".join(f"word{i}x{j}" for j in range(9))
     box = "<div>Get our letter each week</div>"
@@ -509,11 +538,18 @@ def test_urls(spark, sf_dir):
 
 
 def test_url_model_on_held_out_hosts(spark):
-    model = url_filter.default_model(spark)
-    rows = [("https://casino-night.example.org/a", 1), ("http://bestpills.example.net/de/4", 1), ("http://museum-daily.example.org/b", 0), ("https://history.example.net/es/9", 0)]
-    urls = spark.createDataFrame(rows, "url string, label int")
-    out = url_filter.judge_urls(urls.withColumn("page_id", F.col("label")), rules=(), model=model).collect()
-    assert all((r.score > 0) == bool(r.page_id) for r in out)
+    """Hosts outside the labelled table: its words in other forms, with other partners, digits, domains and paths."""
+    rng, rows = random.Random(2), []
+    others = ["super", "mega", "888", "24", "real", "zone", "world", "hub", "net", "page"]
+    for label, words in ((1, url_filter._BLOCKED_WORDS), (0, url_filter._KEPT_WORDS)):
+        for w in words:
+            for form in (f"{rng.choice(others)}{w}", f"{w}-{rng.choice(others)}", f"{w}{rng.choice(others)}"):
+                rows.append((f"http://{form}.{rng.choice(['example.info', 'example.co.uk', 'site.test'])}/{rng.choice(['', 'index.html', 'a/b/7', 'en/'])}", label))
+    urls = spark.createDataFrame(rows, "url string, label int").withColumn("page_id", F.col("label"))
+    out = url_filter.judge_urls(urls, rules=(), model=url_filter.default_model(spark)).collect()
+    caught = [r.verdict == "block" for r in out if r.page_id == 1]
+    left = [r.verdict == "allow" for r in out if r.page_id == 0]
+    assert sum(caught) >= 0.9 * len(caught) and sum(left) >= 0.9 * len(left)
 
 
 # ---- SQL where it can express an operator

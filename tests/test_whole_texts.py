@@ -3,6 +3,11 @@
 import collections
 import hashlib
 
+from pyspark.sql import functions as F
+
+from glossmark.functions import checks
+from glossmark.functions.chrf import chrf, chrf_relational
+from glossmark.plans import quality
 from glossmark.plans.queries import QUERIES
 
 
@@ -23,9 +28,38 @@ def brute_chrf(hyp, ref):
     return 500 * p * r / (4 * p + r) if p + r else 0.0
 
 
+def test_both_forms_of_chrf_are_equal(spark):
+    texts = ["", "a", "abc abc", "the same words", "the same word", "হাত ধোয়া", "x\ty  z"]
+    pairs = spark.createDataFrame([(i * 10 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "id long, hyp string, ref string")
+    one = {r.id: r.x for r in pairs.select("id", chrf(F.col("hyp"), F.col("ref")).alias("x")).collect()}
+    two = {r.id: r.chrf for r in chrf_relational(pairs).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    assert all(abs(one[i * 11] - 100) < 1e-9 for i in range(1, len(texts)))
+
+
+def test_answer_key_and_script_leaks(spark):
+    rows = [(1, "b", "stem\nA. x\n B : y"), (2, "D", "A. x\nB: y"), (3, None, "A. x"), (4, "A", "  "), (5, "B", "A. x\nB.")]
+    keys = spark.createDataFrame(rows, "id int, a string, t string").select("id", checks.answer_key_problem(F.col("a"), F.col("t")).alias("p"))
+    assert {r.id: r.p for r in keys.collect()} == {1: None, 2: "answer_option_missing_D", 3: None, 4: None, 5: "answer_option_missing_B"}
+    names = ["কখগ 12", "пр α μ", "ৰৱ क ্্ x", "ক. খ\nB. é", "μ β Ω θ", ""]
+    c = checks.script_checks(F.col("hyp"), F.col("src"))
+    n = ("assamese_n", "devanagari_n", "double_virama_n", "other_script_n", "other_script_chars")
+    got = spark.createDataFrame([(i, t, "α") for i, t in enumerate(names)], "id int, hyp string, src string").select("id", *[c[x].alias(x) for x in n]).collect()
+    want = [(0, 0, 0, 0, ""), (0, 0, 0, 2, "пр"), (2, 1, 1, 0, "क"), (0, 0, 0, 0, ""), (0, 0, 0, 1, "θ"), (0, 0, 0, 0, "")]
+    assert [tuple(r)[1:] for r in sorted(got)] == want
+
+
+def test_samples_take_text_ids(spark):
+    rows = [(f"US-{i:05d}", f"m{i % 2}", i / 100, i % 7 / 10, i % 5 / 10) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id string, translator string, cometkiwi_min double, cometkiwi_mean double, metricx_mean double")
+    got = quality.sample(items, "item_id", 40, 10).collect()
+    assert len({r.item_id for r in got}) == 50 and collections.Counter(r.part for r in got)["random"] == 40
+    assert got == quality.sample(items, "item_id", 40, 10).collect()
+
+
 def test_chrf_of_whole_texts(spark, sf_dir):
     turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
-    got = {r.id: r.chrf for r in QUERIES["q_chrf_pair_whole"](spark, sf_dir).collect()}
+    got = {r.id: r.chrf for r in QUERIES["q_chrf_pair"](spark, sf_dir).collect()}
     beyond = 0
     for c, t in turns:
         if turns[c, t].role == "user" and (c, t + 1) in turns and turns[c, t + 1].role == "assistant":
@@ -39,7 +73,7 @@ def test_consensus_of_whole_texts(spark, tmp_path):
     long = "the same start of every answer " * 5
     rows = [(1, t, "assistant", long + end) for t, end in enumerate(("abc def ghi", "abc xyz ghi", "qrs tuv wxy"))] + [(2, 0, "assistant", "one"), (2, 1, "assistant", "two")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.item_id, r.translator): r.consensus_chrf for r in QUERIES["q_chrf_consensus_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.item_id, r.translator): r.consensus_chrf for r in QUERIES["q_chrf_consensus"](spark, str(tmp_path)).collect()}
     texts = [r[3] for r in rows[:3]]
     for t in range(3):
         want = sum(brute_chrf(texts[t], texts[u]) for u in range(3) if u != t) / 2
@@ -51,14 +85,14 @@ def test_relabel_keeps_all_lines(spark, tmp_path):
     lines = [f"line {i}" for i in range(30)]
     spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = "\n".join([lines[0], *(f"{c}. {x}" for c, x in zip("ABCDEFGHIJKL", lines[1:13])), *lines[13:]])
-    assert QUERIES["q_segment_relabel_whole"](spark, str(tmp_path)).head().h == hashlib.md5(want.encode()).hexdigest()
+    assert QUERIES["q_segment_relabel"](spark, str(tmp_path)).head().h == hashlib.md5(want.encode()).hexdigest()
 
 
 def test_checks_read_the_tables(spark, tmp_path):
     rows = [(1, 0, "user", "α only"), (1, 1, "assistant", "stem\nx\ny пр α μ θ ৰ क"), (2, 0, "user", "q"), (2, 1, "assistant", "\n".join("abcdefghijklm"))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    leaks = {r.item_id: r for r in QUERIES["q_script_leak_pairs"](spark, str(tmp_path)).collect()}
+    leaks = {r.item_id: r for r in QUERIES["q_script_leak_src_exempt"](spark, str(tmp_path)).collect()}
     assert (leaks[1000].other_script_n, leaks[1000].other_script_chars, leaks[1000].assamese_n, leaks[1000].devanagari_n) == (3, "θпрक", 1, 1)
     assert leaks[2000].other_script_n == 0
-    problems = {r.item_id: r.problem for r in QUERIES["q_answer_key_pairs"](spark, str(tmp_path)).collect()}
+    problems = {r.item_id: r.problem for r in QUERIES["q_answer_key"](spark, str(tmp_path)).collect()}
     assert problems == {1000: "answer_option_missing_E", 2000: None}  # keys E and I

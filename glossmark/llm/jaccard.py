@@ -528,6 +528,7 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     the links make components. 4. Where the others of a bucket still are in several components, those outside the largest are
     checked against all of other components, block by block; first each against its nearest ones, as most are linked after that.
     So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
+    Groups of the same nodes are compared once.
     Sets are compared by 64-bit hashes of their shingles; sets with one 64-bit digest are told apart by 64 bits more.
     """
     spark = docs.sparkSession
@@ -556,7 +557,7 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     with arrow_batches(spark, 1000):
         stars = materialize(likely(stars, compact, percent), "likely")
     first = confirmed(stars, nodes, texts, n_words, percent, taken)
-    members = materialize(met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct(), "members")
+    members = unlike_groups(materialize(met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct(), "members"))
     links, checked = first, stars
     for most in (*NEAREST, 1 << 62):
         roots = materialize(components(links), "roots")
@@ -573,6 +574,18 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     return rows.select("doc_id", "row_key", "n_shingles", "node"), materialize(components(links), "roots")
 
 
+def unlike_groups(members: DataFrame) -> DataFrame:
+    """``members`` (group, node, each once) with one of the groups that hold the same nodes; groups of one node go.
+
+    Near copies share many hashes, and each of these is a group with the same pairs. Sets of nodes are told apart by their sizes and
+    128 bits, summed on each task before the shuffle.
+    """
+    key = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"k{i}") for i in range(2)]
+    sets = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *key).filter("n > 1")
+    kept = materialize(sets.groupBy("n", "k0", "k1").agg(F.min("group").alias("group")).select("group"), "groups")
+    return materialize(members.join(small(kept), "group", "left_semi"), "members")
+
+
 def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Members of the groups that lie in several components, with what ``likely_in_blocks`` takes; None if there are none."""
     placed = materialize(members.join(small(roots), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")), "placed")

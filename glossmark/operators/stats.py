@@ -81,7 +81,10 @@ def threshold(df: DataFrame, score: str, bad: str, target: float, by: list[str]
 
 
 def cross_validated(df: DataFrame, key: Column, score: str, bad: str, target: float, folds: int = 5) -> DataFrame:
-    """fold, recall_cv, precision_cv: the threshold of the other folds applied to each. Folds follow a key within each class; those without bad rows are left out."""
+    """fold, recall_cv, precision_cv: the threshold of the other folds applied to each. Folds follow a key within each class.
+
+    No rows if there are fewer bad rows than folds; a fold that flags nothing has precision 0.
+    """
     rows = df.filter(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(bad).cast("long").alias("bad"), key.alias("key"))
     rows = rows.withColumn("fold", ((F.row_number().over(Window.partitionBy("bad").orderBy("key")) - 1) % folds).cast("int"))
     train = rows.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("f <> fold").select("s", "bad", F.col("f").alias("fold"))
@@ -89,7 +92,9 @@ def cross_validated(df: DataFrame, key: Column, score: str, bad: str, target: fl
     at = rows.join(F.broadcast(lines), "fold")  # one row a fold
     flagged = F.col("s") <= F.col("threshold")
     sums = at.groupBy("fold").agg(F.sum("bad").alias("b"), F.count_if(flagged).alias("n"), F.count_if(flagged & (F.col("bad") == 1)).alias("hit"))
-    return sums.filter("b > 0").select("fold", (F.col("hit") / F.col("b")).alias("recall_cv"), F.when(F.col("n") > 0, F.col("hit") / F.col("n")).alias("precision_cv"))
+    # One row a fold. With as many bad rows as folds each fold has some, and so has what it is trained on.
+    enough = sums.withColumn("all", F.sum("b").over(Window.partitionBy(F.lit(1)))).filter(F.col("all") >= folds)
+    return enough.select("fold", (F.col("hit") / F.col("b")).alias("recall_cv"), (F.col("hit") / F.greatest("n", F.lit(1))).alias("precision_cv"))
 
 
 def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:

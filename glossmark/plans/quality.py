@@ -76,7 +76,10 @@ def decision_counts(items: DataFrame) -> DataFrame:
 
 
 def summary(items: DataFrame) -> DataFrame:
-    """check, translator, value (a string): the rows of the summary table; pivot on the translator to print it."""
+    """check, translator, value (a string): the rows of the summary table; pivot on the translator to print it.
+
+    Scores without values and decisions that a translator has none of give no row.
+    """
     has, pos = set(items.columns), lambda c: F.count_if(F.coalesce(F.col(c), F.lit(0)) > 0)
     total, s = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))), lambda c: c.cast("string")
     both = lambda a, b: F.concat(s(a), F.lit(" ("), s(b), F.lit(")"))
@@ -102,9 +105,9 @@ def summary(items: DataFrame) -> DataFrame:
         if c in has:
             rows[f"{c} (mean over items)"] = s(F.bround(F.avg(c), 3))
     if "decision" in has:
-        rows |= {f"decision {d}": s(F.count_if(F.col("decision") == d)) for d in ("PASS", "FLAG", "REVIEW")}
+        rows |= {f"decision {d}": F.when(F.count_if(F.col("decision") == d) > 0, s(F.count_if(F.col("decision") == d))) for d in ("PASS", "FLAG", "REVIEW")}
     wide = items.groupBy("translator").agg(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("value")) for k, v in rows.items()]).alias("x"))
-    return wide.select("translator", F.inline("x")).select("check", "translator", "value")
+    return wide.select("translator", F.inline("x")).filter("value is not null").select("check", "translator", "value")
 
 
 def item_text(long: DataFrame) -> DataFrame:
@@ -119,11 +122,12 @@ def sample(items: DataFrame, key: str, n_random: int = 150, n_targeted: int = 50
     scored = items.filter(F.col("cometkiwi_min").isNotNull())
     n, n_translators = scored.agg(F.count(F.lit(1)), F.countDistinct("translator")).head()
     rand = sampling.draw_by_stratum(scored, "translator", key, n_random // max(n_translators, 1), seed)
-    rest, half = sampling.without(scored, rand, [key]), n_targeted // 2
+    row = [key, "translator"]
+    rest, half = sampling.without(scored, rand, row), n_targeted // 2
     n_rest = rest.count()
     worst = sampling.draw(sampling.smallest(rest, "cometkiwi_min", key, max(half, n_rest // 10)), key, half, seed)
-    rest = sampling.without(rest, worst, [key])
-    if "metricx_mean" in items.columns:
+    rest = sampling.without(rest, worst, row)
+    if "metricx_mean" in items.columns and rest.filter("metricx_mean is not null").head(1):
         apart = sampling.largest(stats.with_rank_gap(rest, "cometkiwi_mean", "metricx_mean", "__gap"), "__gap", key, n_targeted - half).drop("__gap")
     else:
         apart = sampling.smallest(rest, "roundtrip_chrf", key, n_targeted - half)
@@ -183,17 +187,23 @@ def is_bad(tier: Column) -> Column:
     return F.coalesce((tier_number(tier) >= 2), F.lit(False)).cast("int")
 
 
-def report(rated: DataFrame, score: str = "cometkiwi_min", target: float = 0.9) -> DataFrame:
-    """statistic, value: the calibration report of a rated sample (tier, ``score``, part and whatever optional columns there are)."""
+def report(rated: DataFrame, score: str = "cometkiwi_min", mean_score: str = "cometkiwi_mean", target: float = 0.9, key: str | None = None) -> DataFrame:
+    """statistic, value: the calibration report of a rated sample (tier, both scores, part and whatever optional columns there are).
+
+    The item's mean score is correlated with the tier; its least one is judged and cut. With a ``key``, the means of five folds too.
+    """
     df = rated.withColumn("__bad", is_bad(F.col("tier"))).withColumn("__tier", tier_number(F.col("tier")).cast("double"))
     rand = df.filter("part = 'random'")
     out = [
-        stats.spearman(rand, score, "__tier").select(F.lit("spearman_random").alias("statistic"), F.col("rho").alias("value")),
-        stats.kendall(rand, score, "__tier").select(F.lit("kendall_random"), "tau"),
+        stats.spearman(rand, mean_score, "__tier").select(F.lit("spearman_random").alias("statistic"), F.col("rho").alias("value")),
+        stats.kendall(rand, mean_score, "__tier").select(F.lit("kendall_random"), "tau"),
         stats.auroc(rand, score, "__bad").select(F.lit("auroc_random"), "auroc"),
         stats.auroc(df, score, "__bad").select(F.lit("auroc_all_enriched"), "auroc"),
         stats.threshold(df, score, "__bad", target).select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(c).alias("value")) for n, c in ((f"{score}_threshold", "threshold"), ("recall_in_sample", "recall"), ("precision_in_sample", "precision"), ("flag_share_in_sample", "flag_share"))]))),
     ]
+    if key:
+        folds = stats.cross_validated(df, F.struct(sampling.order_hash(F.col(key)), key), score, "__bad", target)
+        out += [folds.agg(F.avg(c)).select(F.lit(c), f"avg({c})") for c in ("recall_cv", "precision_cv")]
     if "roundtrip_chrf" in df.columns:
         out.append(df.filter("__bad = 1").agg(F.percentile("roundtrip_chrf", 0.9).alias("value")).select(F.lit("roundtrip_chrf_cut"), "value"))
     if {"cometkiwi_mean", "metricx_mean"} <= set(df.columns):

@@ -364,7 +364,7 @@ def q_threshold(spark, sf_dir):
 
 @query(f"""with {RATED}, k as (select *, (row_number() over (partition by bad order by {_HASH.format(k='doc_id')}, doc_id) - 1) % 5 as f from rated), tr as (select g.f as fold, k.score, k.bad from k join (select distinct f from k) g on g.f <> k.f),
 l as (select fold, min(threshold) as t from ({_LINE.format(g='fold,', p='partition by fold', t='tr')}) group by 1)
-select cast(f as int) as fold, round(count(*) filter (bad = 1 and score <= t) / sum(bad), 6) as recall_cv, round(count(*) filter (bad = 1 and score <= t) / nullif(count(*) filter (score <= t), 0), 6) as precision_cv from k join l on l.fold = k.f group by 1 having sum(bad) > 0""")
+select cast(f as int) as fold, round(count(*) filter (bad = 1 and score <= t) / sum(bad), 6) as recall_cv, round(count(*) filter (bad = 1 and score <= t) / greatest(count(*) filter (score <= t), 1), 6) as precision_cv from k join l on l.fold = k.f where (select sum(bad) from k) >= 5 group by 1""")
 def q_cv(spark, sf_dir):
     df = rated(spark, sf_dir).withColumn("key", F.struct(sampling.order_hash(F.col("doc_id")), "doc_id"))
     return stats.cross_validated(df, F.col("key"), "score", "bad", 0.9).select("fold", r6("recall_cv").alias("recall_cv"), r6("precision_cv").alias("precision_cv"))
@@ -397,8 +397,8 @@ def q_bootstrap_ci(spark, sf_dir):
 
 @query()
 def q_report(spark, sf_dir):
-    r = rated(spark, sf_dir).withColumnRenamed("score", "cometkiwi_min")
-    return quality.report(r)
+    r = rated(spark, sf_dir).withColumnsRenamed({"score": "cometkiwi_min", "error": "cometkiwi_mean"})
+    return quality.report(r, key="doc_id")
 
 
 @query("""with m as (select *, case when event_type = 'error' or event_id % 2 = 0 then 1 else 0 end as f from events), k as (select *, row_number() over w - sum(f) over w as k from m window w as (partition by user_id order by ts, event_id))

@@ -57,6 +57,33 @@ def test_samples_take_text_ids(spark):
     assert got == quality.sample(items, "item_id", 40, 10).collect()
 
 
+def test_sample_removes_rows_and_not_items(spark):
+    rows = [(i, t, i / 100 + (t == "b"), 0.5, None, i % 10.0) for i in range(20) for t in "ab"]
+    items = spark.createDataFrame(rows, "item_id long, translator string, cometkiwi_min double, cometkiwi_mean double, metricx_mean double, roundtrip_chrf double")
+    got = quality.sample(items, "item_id", 20, 20).collect()
+    assert len(got) == 40 and len({(r.item_id, r.translator) for r in got}) == 40  # 20 + 10 + 10 by chrF, as no row has the other score
+
+
+def test_summary_leaves_out_what_is_not_there(spark):
+    counts = "precomposed_n seg_mismatch other_script_n devanagari_n assamese_n latin_word_n gloss_n num_hard_n num_soft_n dup_option_n".split()
+    rows = [("a", *[0] * 10, 0.0, 0.5, "PASS"), ("a", *[0] * 10, 0.0, 0.25, "FLAG"), ("b", *[0] * 10, 0.0, None, "PASS")]
+    items = spark.createDataFrame(rows, "translator string, " + ", ".join(f"{c} int" for c in counts) + ", len_z double, labse_min double, decision string")
+    got = {(r.check, r.translator): r.value for r in quality.summary(items).collect()}
+    assert got["decision PASS", "a"] == got["decision FLAG", "a"] == got["decision PASS", "b"] == "1"
+    assert ("decision FLAG", "b") not in got and ("decision REVIEW", "a") not in got
+    assert got["labse_min (mean over items)", "a"] == "0.375" and ("labse_min (mean over items)", "b") not in got
+
+
+def test_report_takes_the_mean_and_the_least_score(spark):
+    rows = [(i, f"D{i % 4}", "random", float(i % 4), 3.0 - i % 4) for i in range(40)]
+    rated = spark.createDataFrame(rows, "id long, tier string, part string, cometkiwi_mean double, cometkiwi_min double")
+    got = {r.statistic: r.value for r in quality.report(rated, key="id").collect()}
+    assert abs(got["spearman_random"] - 1) < 1e-9 and got["auroc_random"] == 1.0
+    assert (got["recall_cv"], got["precision_cv"]) == (1.0, 1.0)
+    few = quality.report(rated.filter("tier < 'D2' or id < 4"), key="id").collect()
+    assert {r.statistic: r.value for r in few}["recall_cv"] is None  # two bad rows, five folds
+
+
 def test_chrf_of_whole_texts(spark, sf_dir):
     turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
     got = {r.id: r.chrf for r in QUERIES["q_chrf_pair"](spark, sf_dir).collect()}

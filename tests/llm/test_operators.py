@@ -97,16 +97,6 @@ def test_join_odd_and_empty(spark):
     assert 12 not in ids and 11 in ids and {1, 2, 3}.issubset(ids)
 
 
-def test_groups_of_the_same_nodes_are_compared_once(spark):
-    groups = {1: {5, 6}, 2: {6, 5}, 3: {5, 6, 7}, 4: {9}, 5: {7, 6, 5}, 6: {5, 7}, 7: {-1, 2**62}}
-    members = spark.createDataFrame([(g, n) for g, nodes in groups.items() for n in nodes], "group long, node long")
-    got = collections.defaultdict(set)
-    for r in jaccard.unlike_groups(members).collect():
-        got[r.group].add(r.node)
-    assert got == {1: {5, 6}, 3: {5, 6, 7}, 6: {5, 7}, 7: {-1, 2**62}}
-    assert jaccard.unlike_groups(members.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("percent", [80, 90])
 def test_no_linked_pair_is_missed(percent):
     rng, seg = random.Random(3), jaccard.segments(percent)

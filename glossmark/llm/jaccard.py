@@ -35,6 +35,9 @@ BROADCAST_SKETCHES = 48 << 20
 BLOCK_NODES = 256
 #: Nearest partners that a node of a group asks in the first rounds; what these link needs no further pairs, the last round asks all.
 NEAREST = (4, 64)
+#: Of a node's open groups, so many (the least ones) go with it, so that a pair is made only in the least group that both have. More
+#: of them would only find more repetitions; the pair is made in any case.
+KNOWN_GROUPS = 16
 #: Index rows that a task packs at once, and those that a task of the next step shall receive.
 PACK_ROWS, BUCKET_ROWS = 300_000, 1_500_000
 #: Documents with one hash in one pack from which on they are linked there, and only the least and the greatest go to the hash's range.
@@ -169,30 +172,27 @@ class Segments:
         shared = int((both[1:] == both[:-1]).sum())
         return 100 * shared >= self.percent * (len(p) + len(q) - shared)
 
-    def likely_of(self, main: int, out: list, every: list, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Pairs of ``out`` with ``every`` (records of node, root, n_shingles, sketch) that may link two components.
+    def likely_of(self, group: int, main: int, out: pa.StructArray, every: pa.StructArray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of ``out`` with ``every`` (``_BLOCK`` records of one group) that may link two components and that no lesser group has.
 
         Each node asks its ``most`` nearest partners; the last value tells whether any had more.
         """
-        width = min(len(r["sketch"]) for r in out + every) // 8
-
-        def columns(rows: list) -> tuple:
-            bits = np.zeros((len(rows), width), np.uint64)
-            for i, r in enumerate(rows):
-                x = np.frombuffer(r["sketch"], np.uint64)
-                bits[i] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
-            return (*(np.array([r[k] for r in rows], np.int64) for k in ("node", "root", "n_shingles")), bits)
-
-        (a, ra, na, xa), (b, rb, nb, xb) = columns(out), columns(every)
+        (a, ra, na), (b, rb, nb) = ([x.field(k).to_numpy() for k in range(3)] for x in (out, every))
         # Two nodes outside the main component meet twice; the smaller one asks.
         open_ = (ra[:, None] != rb[None, :]) & ((rb == main)[None, :] | (a[:, None] < b[None, :]))
         open_ &= 100 * np.minimum(na[:, None], nb[None, :]) >= self.percent * np.maximum(na[:, None], nb[None, :])
         i, j = np.nonzero(open_)
+        xa, xb = self._folded(out.field(3), every.field(3))
         apart = np.zeros(len(i), np.int64)
-        for w in range(width):
+        for w in range(xa.shape[1]):
             apart += np.bitwise_count(xa[i, w] ^ xb[j, w])
         yes = apart <= (100 - self.percent) * (na[i] + nb[j]) // (100 + self.percent)
         i, j, apart = i[yes], j[yes], apart[yes]
+        ga, gb = _lesser_groups(group, out.field(4), every.field(4))
+        own = np.ones(len(i), bool)
+        for w in range(ga.shape[1]):
+            own &= ga[i, w] & gb[j, w] == 0
+        i, j, apart = i[own], j[own], apart[own]
         order = np.lexsort((b[j], apart, i))
         i, j = i[order], j[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)  # how many nearer partners the node has
@@ -200,6 +200,33 @@ class Segments:
         i, j = i[near], j[near]
         return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), not near.all()
 
+    def _folded(self, *columns: pa.Array) -> list[np.ndarray]:
+        """Sketches of binary columns as rows of words, all folded onto the shortest."""
+        width = min(int(_bytes_of(c)[1].min()) for c in columns) // 8
+        out = []
+        for c in columns:
+            start, size = _bytes_of(c)
+            bits = np.zeros((len(c), width), np.uint64)
+            for w in np.unique(size).tolist():
+                at = np.flatnonzero(size == w)
+                bits[at] = np.bitwise_xor.reduce(self._words(c, start[at], w).reshape(len(at), -1, width), axis=1)
+            out.append(bits)
+        return out
+
+
+def _lesser_groups(group: int, *columns: pa.ListArray) -> list[np.ndarray]:
+    """For lists of groups: a row of bits each, one for every group before ``group``. Rows with a common bit meet there too."""
+    flat = [c.flatten().to_numpy() for c in columns]
+    known = np.unique(np.concatenate([x[x < group] for x in flat]))
+    out = []
+    for c, x in zip(columns, flat):
+        row = np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy()))[x < group]
+        at = np.searchsorted(known, x[x < group])
+        bits = np.zeros((len(c), -(-len(known) // 64)), np.uint64)
+        np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        out.append(bits)
+    return out
+
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Starts in the data buffer and sizes of the values of a binary column."""
@@ -469,36 +496,42 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+_BLOCK = ["node", "root", "n_shingles", "sketch", "groups"]
+
+
 def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
     """Rows of each group in about ``blocks`` lists of about ``BLOCK_NODES``."""
     place = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    return rows.groupBy("group", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch")).alias(name))
+    return rows.groupBy("group", "main", place.alias(f"{name}_at")).agg(F.collect_list(F.struct(*_BLOCK)).alias(name))
 
 
 def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a group and that sizes and sketches don't rule out; ``more`` if there are others.
 
     ``open_``: group, node, root, main (the group's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
-    main component meet blocks of all nodes. A task compares two blocks at once, so no row is made for a pair that is ruled out, and
-    each node asks its ``most`` nearest partners of a block.
+    main component meet blocks of all nodes. A task compares two blocks at once, so no row is made for a pair that is ruled out or
+    that meets in a lesser group, and each node asks its ``most`` nearest partners of a block.
     """
-    rows = open_.join(nodes, "node")
+    own = F.struct("group", "main", "all_blocks", "outside_blocks")
+    by_node = open_.groupBy("node", "root").agg(F.sort_array(F.collect_list(own)).alias("of")).join(nodes, "node")
+    rows = by_node.select(*_BLOCK[:-1], F.slice("of.group", 1, KNOWN_GROUPS).alias("groups"), F.inline("of"))
     # Most groups are one block, which meets itself.
-    alone = _blocks(rows.filter("all_blocks = 1"), "all_blocks", "all").select("main", F.filter("all", lambda x: x["root"] != F.col("main")).alias("out"), "all")
+    alone = _blocks(rows.filter("all_blocks = 1"), "all_blocks", "all").select("group", "main", F.filter("all", lambda x: x["root"] != F.col("main")).alias("out"), "all")
     rows, open_ = rows.filter("all_blocks > 1"), open_.filter("all_blocks > 1")
     every = _blocks(rows, "all_blocks", "all")
     outside = _blocks(rows.filter("root <> main"), "outside_blocks", "out")
     sizes = open_.select("group", "all_blocks").distinct()
     asked = outside.join(sizes, "group").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
-    met = asked.join(every.drop("main"), ["group", "all_at"]).select("main", "out", "all")
+    met = asked.join(every.drop("main"), ["group", "all_at"]).select("group", "main", "out", "all")
     want = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments(percent)
         for batch in batches:
-            for main, out, every_ in zip(*(batch.column(i) for i in range(3))):
-                a, b, more = seg.likely_of(main.as_py(), out.as_py(), every_.as_py(), most)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], schema=want)
+            for group, main, out, every_ in zip(*(batch.column(i) for i in range(4))):
+                a, b, more = seg.likely_of(group.as_py(), main.as_py(), out.values, every_.values, most)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], schema=want)
 
     return alone.unionByName(met).mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
@@ -557,20 +590,25 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
         stars = materialize(likely(stars, compact, percent), "likely")
     first = confirmed(stars, nodes, texts, n_words, percent, taken)
     members = materialize(met.filter("kind = 1").select(F.col("x").alias("group"), F.col("y").alias("node")).distinct(), "members")
-    links, checked = first, stars
+    roots, checked = materialize(components(first), "roots"), stars
+    open_ = _open_groups(members, roots)
     for most in (*NEAREST, 1 << 62):
-        roots = materialize(components(links), "roots")
-        open_ = _open_groups(members, roots)
         if open_ is None:
-            return rows.select("doc_id", "row_key", "n_shingles", "node"), roots
+            break
         with arrow_batches(spark, 16):  # rows of two blocks
             found = materialize(likely_in_blocks(open_, compact, percent, most), "likely")
         pairs = materialize(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "likely")
-        links = links.unionByName(confirmed(pairs, nodes, texts, n_words, percent, taken))
+        links = confirmed(pairs, nodes, texts, n_words, percent, taken)
+        grown = links.head(1)
+        if grown:
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = materialize(components(known.unionByName(links)), "roots")
         if not found.filter("more").head(1):
             break
+        if grown:
+            open_ = _open_groups(members, roots)
         checked = checked.unionByName(pairs)
-    return rows.select("doc_id", "row_key", "n_shingles", "node"), materialize(components(links), "roots")
+    return rows.select("doc_id", "row_key", "n_shingles", "node"), roots
 
 
 def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame | None:

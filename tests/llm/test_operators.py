@@ -116,6 +116,39 @@ def test_no_linked_pair_is_missed(percent):
         assert any(roles[k] | r == 3 for k, r in zip(*(x.tolist() for x in seg.signatures(b))) if k in roles)
 
 
+def test_a_pair_is_made_in_its_least_common_group():
+    """Every open pair that sizes and sketches allow is made in one group or, where the lists of groups are cut, in a few."""
+    rng, seg, n = np.random.default_rng(1), jaccard.segments(80), 60
+    base, sets = rng.integers(0, 2**63, 60, dtype=np.uint64), []
+    for _ in range(n):
+        s, k = base.copy(), rng.integers(0, 8)
+        s[rng.choice(60, k, replace=False)] = rng.integers(0, 2**63, k, dtype=np.uint64)
+        sets.append(np.unique(s))
+    root = rng.integers(0, 6, n)
+    groups = {int(g): rng.choice(n, rng.integers(4, 30), replace=False).tolist() for g in rng.integers(-(2**62), 2**62, 25)}
+    want = set()
+    for members in groups.values():
+        want |= {(x, y) for x in members for y in members if x < y and root[x] != root[y]}
+    one = lambda x: (np.array([len(sets[x])]), pa.array([seg.sketch(sets[x])]))
+    want = {(x, y) for x, y in want if seg.may_link(one(x)[0], one(y)[0], one(x)[1], one(y)[1]).all()}
+    kind = pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("groups", pa.list_(pa.int64()))])
+    for known in (len(groups), 4, 0):
+        found, made = [], []
+        for g, members in groups.items():
+            main = collections.Counter(int(root[x]) for x in members).most_common(1)[0][0]
+            rows = [{"node": x, "root": int(root[x]), "n_shingles": len(sets[x]), "sketch": seg.sketch(sets[x]), "groups": sorted(h for h in groups if x in groups[h])[:known]} for x in members]
+            # Both are slices of longer columns, as in a batch.
+            blocks = pa.array([rows[:1], [r for r in rows if r["root"] != main], rows], type=pa.list_(kind))
+            a, b, more = seg.likely_of(g, main, blocks[1].values, blocks[2].values, 1 << 62)
+            assert not more
+            found += zip(a.tolist(), b.tolist())
+            a, b, more = seg.likely_of(g, main, blocks[1].values, blocks[2].values, 1)
+            made += zip(a.tolist(), b.tolist())
+            assert not more or len(a)
+        assert set(found) == want and set(made) < want
+        assert known < len(groups) or len(found) == len(want)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (None, 3), (2, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

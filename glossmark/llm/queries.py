@@ -74,5 +74,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
+# Distinct three-word shingles, pairs by shared ones, and all that links reach.
+OP5_SQL = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, {_SPACED}) as ws from documents),
+g as (select distinct doc_id, array_to_string(ws[i : i + 2], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by all),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+both_ways as (select a, b from links union select b, a from links),
+reached as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reached r join both_ways l on l.a = r.b),
+least as (select a, min(b) as c from reached group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, least.c as component_id from documents left join n using (doc_id) join least on least.a = doc_id"""
+
+# Windows of the benchmark, and those of the documents of every length that it has.
+OP6_SQL = rf"""with w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+wanted as (select distinct item_id, least(len(ws), 10) as size, array_to_string(ws[i : i + 9], ' ') as k
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) as i from b where len(ws) > 0)),
+there as (select doc_id, size, i, array_to_string(ws[i : i + size - 1], ' ') as k
+  from (select doc_id, size, ws, unnest(range(1, len(ws) - size + 2)) as i from w, (select distinct size from wanted) where len(ws) >= size)),
+met as (select doc_id, i, size, item_id from there join wanted using (size, k)),
+hit as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + size)) as j from met) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from met group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(hit.n, 0) as n_hit, coalesce(found.n, 0) as n_items,
+  sha256(coalesce(found.items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from w left join hit using (doc_id) left join found using (doc_id)"""
+
+# The measurements, and the bits of the rules in their order.
+OP9_SQL = rf"""with t as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, {_SPACED}) as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED})) as ls from t),
+windows as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as n from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+repeated as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from windows where n > 1) group by r),
+m as (select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(ls) as n_lines,
+  (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words
+  from t join w using (r) left join repeated using (r)),
+f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 30 * n_words)::bigint
+  + 8 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint + 16 * (n_lines > 3 and 100 * n_dup_lines > 50 * n_lines)::bigint as failed_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 > 0 as base_failed, failed_bits = 0 as kept, failed_bits from f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other methods (models, templates, token files, digests of text bytes) are beyond SQL."""
+    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL}

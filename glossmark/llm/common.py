@@ -43,6 +43,14 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no start of a column of ``df``; Spark's names ignore case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of shuffle files whose plans are done: Spark deletes them when the driver's objects are collected."""
     gc.collect()

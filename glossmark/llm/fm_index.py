@@ -18,7 +18,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
     bits = max(1, int(n).bit_length())
     mask = (1 << bits) - 1
     sym_bits = max(1, int(text.max() + 1).bit_length())
-    span = max(1, (62 - bits) // sym_bits)
+    span = min(n, max(1, (62 - bits) // sym_bits))
     key = np.zeros(n, np.int64)
     for k in range(span):
         key <<= sym_bits

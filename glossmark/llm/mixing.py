@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmark.llm.common import free_name
+
 #: Rows of a block at least, and blocks of all sources at most (beside one for each source): longer tables have larger blocks.
 BLOCK_ROWS, MAX_BLOCKS = 16, 100_000
 #: Weights follow the number of rows to this power if none are given: small sources count for more than their share.
@@ -27,9 +29,6 @@ BUCKET_ROWS = 50_000
 #: Times are rounded to so many digits before they become slots, so that no error of the last bit moves a window.
 DIGITS = 6
 
-# Columns that are added on the way; a table with one of these names is refused by Spark, not changed.
-_KEY, _BUCKET, _RANK, _BLOCK = "__mix_key", "__mix_bucket", "__mix_rank", "__mix_block"
-
 
 def source_key(source: Column) -> Column:
     """A key that tells a null source from an empty one."""
@@ -125,42 +124,49 @@ def plan_of(counts: DataFrame, weights: Mapping[str, float] | None = None, block
     return tiers.select(F.explode(_bound(windows(F.col("s")), rows)).alias("x")).select("x.*")
 
 
-def with_positions(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a struct ``__mix``: block, released, due, slot (gapless from 0) and rank (row of the block).
+def with_positions(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", out: str = "__mix") -> DataFrame:
+    """``docs`` with a struct ``out``: block, released, due, slot (gapless from 0) and rank (row of the block).
 
-    Rows of a source are dealt to blocks in the order of a hash of their id. A null source is a source of its own. Sources of weight 0
-    or without a weight come behind all others and share alike. Repeated rows and null ids are kept. An empty table gives no rows.
+    Rows of a source are dealt to blocks in the order of a hash of all their columns, so rows with equal or null ids are ranked in as
+    many tasks as others; only rows that are equal throughout share one, and their places don't tell them apart. A null source is a source
+    of its own. Sources of weight 0 or without a weight come behind all others and share alike. Repeated rows and null ids are kept. An
+    empty table gives no rows. Columns of ``docs`` may have any name but ``out``.
     """
-    source, own_id = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
-    rows = docs.withColumn(_KEY, source_key(source))
-    counts = rows.groupBy(F.col(_KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    source, own_id, h = F.col(f"`{source_col}`"), F.col(f"`{id_col}`"), free_name(docs, "__at")
+    key, digest, bucket, rank = (F.col(f"{h}_{n}") for n in ("key", "digest", "bucket", "rank"))
+    rows = docs.withColumns({f"{h}_key": source_key(source), f"{h}_digest": F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))})
+    counts = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     n_rows, n_most, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).head()
     block_rows = max(BLOCK_ROWS, -(-n_rows // MAX_BLOCKS))
     n_buckets = max(16, -(-n_most // BUCKET_ROWS))
-    rows = rows.withColumn(_BUCKET, F.pmod(F.xxhash64(own_id.cast("long")), F.lit(n_buckets)).cast("int"))
-    sizes = rows.groupBy(_KEY, _BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(_KEY).alias("key"), F.col(_BUCKET).alias("bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    offsets = offsets.select(*(F.col(c).alias(f"__of_{c}") for c in offsets.columns))
-    ranked = rows.withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY, _BUCKET).orderBy(own_id)) - 1)
-    ranked = ranked.join(offsets, (F.col(_KEY) == F.col("__of_key")) & (F.col(_BUCKET) == F.col("__of_bucket")))
-    ranked = ranked.withColumn(_RANK, F.col(_RANK) + F.col("__of_offset")).withColumn(_BLOCK, F.floor(F.col(_RANK) / block_rows).cast("long"))
-    plan = plan_of(counts, weights, block_rows).select(F.col("key").alias("__at_key"), F.col("block").alias("__at_block"), F.struct("block", "released", "due", "slot").alias("__at"))
+    rows = rows.withColumn(f"{h}_bucket", F.pmod(digest, F.lit(n_buckets)).cast("int"))
+    sizes = rows.groupBy(key.alias("key"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.struct("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n")).alias(f"{h}_offset"))
+    offset = lambda n: F.col(f"{h}_offset.{n}")
+    ranked = rows.withColumn(f"{h}_rank", F.row_number().over(Window.partitionBy(key, bucket).orderBy(digest, own_id)) - 1)
+    ranked = ranked.join(offsets, (key == offset("key")) & (bucket == offset("bucket"))).withColumn(f"{h}_rank", rank + offset("n"))
+    plan = plan_of(counts, weights, block_rows).select(F.struct("*").alias(f"{h}_plan"))
     if n_rows / block_rows + n_sources <= MAX_BROADCAST_BLOCKS:
         plan = F.broadcast(plan)
-    placed = ranked.join(plan, (F.col(_KEY) == F.col("__at_key")) & (F.col(_BLOCK) == F.col("__at_block")))
-    mix = F.struct("__at.*", (F.col(_RANK) % block_rows).cast("long").alias("rank"))
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
+    at = lambda n: F.col(f"{h}_plan.{n}")
+    placed = ranked.join(plan, (key == at("key")) & (F.floor(rank / block_rows).cast("long") == at("block")))
+    mix = F.struct(*(at(n).alias(n) for n in ("block", "released", "due", "slot")), (rank % block_rows).cast("long").alias("rank"))
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias(out))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, block, released, due, slot, rank: one row per row of ``docs``."""
+    """doc_id, source, block, released, due, slot, rank: one row per row of ``docs``. Other columns don't count; see ``with_positions``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"))
     return with_positions(rows, weights, "source", "doc_id").select("doc_id", "source", "__mix.*")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` in the order of the schedule: partitions are ranges of it, each sorted, so that the files written follow it."""
-    placed = with_positions(docs, weights, source_col, id_col)
-    placed = placed.repartitionByRange("__mix.slot", "__mix.rank").sortWithinPartitions("__mix.slot", "__mix.rank")
+    """``docs`` in the order of the schedule: partitions are ranges of it, each sorted, so that the files written follow it.
+
+    All rows and columns stay; see ``with_positions`` for nulls, repeats and ties.
+    """
+    place = free_name(docs, "__mix")
+    order = [f"{place}.slot", f"{place}.rank"]
+    placed = with_positions(docs, weights, source_col, id_col, place).repartitionByRange(*order).sortWithinPartitions(*order)
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns))

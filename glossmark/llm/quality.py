@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import map_rows, texts_of
+from glossmark.llm.common import free_name, map_rows, texts_of
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")][1:]
@@ -126,7 +126,10 @@ def ablation(entries: DataFrame, policy: Policy, rules: list[Rule] | None = None
 
 
 def keep_documents(docs: DataFrame, policy: Policy = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns, in one pass and without a shuffle."""
+    """The rows of ``docs`` that the policy keeps, with their own columns, whatever their names, in one pass and without a shuffle.
+
+    A null or empty text has few words and goes. Repeated rows are judged alike. An empty table stays empty.
+    """
 
     def measured(texts: pa.Array) -> pa.Array:
         rows = [measure(t.as_py()) for t in texts]
@@ -134,7 +137,8 @@ def keep_documents(docs: DataFrame, policy: Policy = DEFAULT_POLICY, text_col: s
 
     measured = F.arrow_udf(measured, ", ".join(MEASURES.split(", ")[1:]))
 
-    rules = default_rules(lambda name: F.col(f"__ledger.{name}"))
+    entry = free_name(docs, "__ledger")
+    rules = default_rules(lambda name: F.col(f"`{entry}`.{name}"))
     kept = verdict(policy, rules, failed_bits(rules))
     # The filter reads the measured struct, so the rules run in the JVM and only the text goes to Python.
-    return docs.withColumn("__ledger", measured(F.col(text_col).cast("string"))).filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(entry, measured(F.col(f"`{text_col}`").cast("string"))).filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))

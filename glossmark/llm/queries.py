@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import decontaminate, html_text, jaccard, mixing, pii, quality, secrets, sharding, tokens, url_filter
+from glossmark.llm import decontaminate, html_text, jaccard, merkle, mixing, pii, quality, secrets, sharding, tokens, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
@@ -69,8 +69,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    return merkle.manifest(table(spark, sf_dir, "documents"), changes=more, changed=F.crc32(F.col("doc_id").cast("string")) % 7 == 0, proofs=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding)
+    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding, op12_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
@@ -116,6 +121,31 @@ f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_word
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 > 0 as base_failed, failed_bits = 0 as kept, failed_bits from f"""
 
 
+_FIELD = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')".format
+_CRC = "list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)))"
+_LEAF = "sha256({} || {} || {} || {} || {})".format
+
+# All levels of the trees of the languages (t) and of the tree of their subroots (u); steps to the siblings, folded from a leaf.
+OP12_SQL = f"""with recursive d as (select doc_id, lang, {_LEAF(*map(_FIELD, ("doc_id", "source", "lang", "n_chars", "text")))} as leaf,
+  {_LEAF(*map(_FIELD, ("doc_id", "source", "lang", "(n_chars + 1)", "text")))} as other, coalesce(xor({_CRC}, 4294967295) % 7 = 0, false) as changed from documents),
+l as (select *, coalesce('s' || lang, '-') as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from d),
+t as (select g, 0 as lev, pos, leaf as node from l
+  union all select g, lev + 1, pos // 2, sha256(string_agg(node, '' order by pos)) from (select *, count(*) over (partition by g) as c from t) where c > 1 group by g, lev, pos // 2),
+s as (select g, max(lev) as top, max_by(node, lev) as subroot, row_number() over (order by g) - 1 as pos from t group by g),
+u as (select 0 as lev, pos, subroot as node from s
+  union all select lev + 1, pos // 2, sha256(string_agg(node, '' order by pos)) from (select *, count(*) over () as c from u) where c > 1 group by lev, pos // 2),
+r as (select max(lev) as top, max_by(node, lev) as root from u),
+low as (select x.g, x.i, 0 as tree, x.lev, o.node, o.pos < x.i >> x.lev as is_left
+  from (select l.g, l.pos as i, unnest(range(top)) as lev from l join s using (g)) x left join t o on o.g = x.g and o.lev = x.lev and o.pos = xor(x.i >> x.lev, 1)),
+high as (select x.g, 1 as tree, x.lev, o.node, o.pos < x.i >> x.lev as is_left
+  from (select g, s.pos as i, unnest(range(r.top)) as lev from s, r) x left join u o on o.lev = x.lev and o.pos = xor(x.i >> x.lev, 1)),
+both_trees as (select * from low union all select l.g, l.pos, tree, lev, node, is_left from l join high using (g)),
+ways as (select g, i, list(case when node is null then '-' when is_left then 'L' || node else 'R' || node end order by tree, lev) as steps, string_agg(node, '' order by tree, lev) as siblings from both_trees group by g, i),
+done as (select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256, list_reduce(list_concat([case when changed then other else leaf end], coalesce(steps, [])),
+  lambda a, x: case when x = '-' then sha256(a) when x[1] = 'L' then sha256(x[2:] || a) else sha256(a || x[2:]) end) as folded_root from l join s using (g) cross join r left join ways on ways.g = l.g and ways.i = l.pos)
+select *, folded_root = root as verified from done"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other methods (models, templates, token files, digests of text bytes) are beyond SQL."""
-    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import decontaminate, html_text, jaccard, merkle, mixing, pii, quality, secrets, sharding, tokens, url_filter
+from glossmark.llm import collocations, decontaminate, html_text, jaccard, merkle, mixing, pii, quality, secrets, sharding, tokens, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
@@ -74,8 +74,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), changes=more, changed=F.crc32(F.col("doc_id").cast("string")) % 7 == 0, proofs=False)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding, op12_merkle_manifest)
+    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding, op12_merkle_manifest, op13_collocations)
     return {f.__name__: f for f in ops}
 
 
@@ -146,6 +150,20 @@ done as (select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as p
 select *, folded_root = root as verified from done"""
 
 
+# Pieces, their phrases of up to four words, the lowest of the cuts, and no candidate that a longer one covers.
+OP13_SQL = rf"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as ws from p),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, unnest(range(1, 5)) as u(k)) where k >= 1),
+f as (select lang, k, phrase, count(*) as a from g group by all), totals as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as ws from f where k > 1 and a >= 30),
+cuts as (select c.lang, c.k, c.phrase, c.a, j, x.a as l, y.a as r, (2000000::hugeint * c.a // (x.a + y.a))::bigint as score
+  from (select *, unnest(range(1, k)) as j from c) c join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1 : j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[j + 1 :], ' ')),
+best as (select lang, k, phrase, a, min(struct_pack(score := score, j := j, l := l, r := r)) as x from cuts group by all),
+inside as (select lang, a, array_to_string(ws[i : i + m - 1], ' ') as phrase from (select lang, ws, a, k, m, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c))),
+kept as (select lang, phrase, a, x.l as l, x.r as r, x.score as score from best where not exists (select 1 from inside i where i.lang = best.lang and i.phrase = best.phrase and 100::hugeint * i.a >= 80::hugeint * best.a))
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join totals using (lang)) where rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other methods (models, templates, token files, digests of text bytes) are beyond SQL."""
-    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_collocations": OP13_SQL}

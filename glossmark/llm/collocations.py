@@ -142,10 +142,11 @@ def counted(shard: Shard, sizes: range, sieve: Sieve | None) -> Iterator[pa.Reco
             good = word[:-1] & word[1:]
             good[good] = sieve.passes(joined(h[ids[:-1][good]], h[ids[1:][good]]))
         longest = word.astype(np.int8)
-        reach = np.append(good, False)
-        for k in range(1, sizes.stop - 1):
+        follows = np.concatenate([good, np.zeros(sizes.stop, bool)])
+        reach = np.ones(len(ids), bool)
+        for k in range(sizes.stop - 2):
+            reach &= follows[k : k + len(ids)]
             longest += reach
-            reach = reach & np.append(good[k:], np.zeros(k + 1, bool))
     words, of = pa.array(shard.words, pa.binary()), np.array(shard.of)
     names = pa.array(list(shard.languages) or [""], pa.string())
     padded = np.concatenate([ids, np.zeros(sizes.stop, ids.dtype)])

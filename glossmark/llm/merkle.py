@@ -27,6 +27,9 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ALONE = "-"
 
 
+_WAY = pa.schema([("g", pa.string()), ("pos", pa.int64()), ("steps", pa.list_(pa.string())), ("subroot", pa.string())])
+
+
 def field(value: Column) -> Column:
     """``-`` for null, else the value's UTF-8 byte count, a colon and the value."""
     text = value.cast("string")
@@ -157,7 +160,8 @@ def along(blocks: DataFrame, upper: DataFrame, bits: int) -> DataFrame:
                 nodes = [x.hex() for x in r["node"]]
                 levels = levels_of(nodes, None if r["n_blocks"] == 1 else bits)
                 ways = [steps_of(levels, i) + r["on"] for i in range(len(nodes))]
-                yield pa.RecordBatch.from_pydict({"g": [r["g"]] * len(nodes), "pos": [(r["block"] << bits) + i for i in range(len(nodes))], "steps": ways, "subroot": [r["subroot"]] * len(nodes)})
+                columns = [r["g"]] * len(nodes), [(r["block"] << bits) + i for i in range(len(nodes))], ways, [r["subroot"]] * len(nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _WAY)], schema=_WAY)
 
     return met.mapInArrow(run, "g string, pos long, steps array<string>, subroot string")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.llm import collocations, decontaminate, html_text, jaccard, merkle, mixing, pii, quality, secrets, sharding, tokens, url_filter
+from glossmark.llm import collocations, decontaminate, html_text, jaccard, merkle, mixing, pii, quality, secrets, sharding, tokens, topk, url_filter
 from glossmark.llm.common import table
 
 N_SHARDS = 24
@@ -69,6 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     return merkle.manifest(table(spark, sf_dir, "documents"), changes=more, changed=F.crc32(F.col("doc_id").cast("string")) % 7 == 0, proofs=False)
@@ -79,7 +83,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding, op12_merkle_manifest, op13_collocations)
+    ops = (op1_html_extraction, op2_url_filter, op3_mixing, op4_pii, op5_ngram_join, op6_decontamination, op7_token_output, op8_secrets, op9_quality_rules, op10_sharding, op11_topk_search, op12_merkle_manifest, op13_collocations)
     return {f.__name__: f for f in ops}
 
 
@@ -125,6 +129,10 @@ f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_word
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 > 0 as base_failed, failed_bits = 0 as kept, failed_bits from f"""
 
 
+OP11_SQL = """with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 20 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from s) where rank <= 20"""
+
 _FIELD = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')".format
 _CRC = "list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)))"
 _LEAF = "sha256({} || {} || {} || {} || {})".format
@@ -166,4 +174,4 @@ select * from (select lang, row_number() over (partition by lang order by score
 
 def oracle_sql() -> dict[str, str]:
     """The other methods (models, templates, token files, digests of text bytes) are beyond SQL."""
-    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_quality_rules": OP9_SQL, "op11_topk_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmark.llm.common import give_back_memory, materialize
+from glossmark.llm.common import arrow_batches, give_back_memory, materialize
 
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
 #: A longer candidate of at least this percentage of a candidate's count takes its place.
 COVERED = 80
 #: Words of a shard, about: a shard ends with the text that reaches it.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bits of the sieve of frequent phrases (8 MB), whatever the size of the corpus: what it lets through too much, the merged counts drop.
 SIEVE_BITS = 26
 NO_LANGUAGE = "und"
@@ -92,18 +92,20 @@ class Sieve:
 
 def suffix_order(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The places ``at`` by the first ``depth`` words from them, by prefix doubling: ranks of one word, two, four and so on."""
-    rank, width, n = ids.astype(np.int64), 1, len(ids)
+    rank, width, n = ids, 1, len(ids)
     while width < depth:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:]
-        key = rank * (int(rank.max(initial=0)) + 1) + after
-        width *= 2
-        if width >= depth:
-            return at[np.argsort(key[at], kind="stable")]
+        last, width = width * 2 >= depth, width * 2
+        # The last round orders only the places that are asked for; one before it ranks those that the next one looks at, too.
+        places = at if last else np.unique(np.concatenate([at, at[at + width < n] + width]))
+        key = rank[places] * np.int64(int(rank.max(initial=0)) + 1)
+        inside = places + width // 2 < n
+        key[inside] += rank[places[inside] + width // 2]
         order = np.argsort(key, kind="stable")
+        if last:
+            return at[order]
         held = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], held[1:] != held[:-1]]))
+        rank = np.zeros(n, np.int32)
+        rank[places[order]] = np.cumsum(np.concatenate([[False], held[1:] != held[:-1]]))
     return at[np.argsort(rank[at], kind="stable")]
 
 
@@ -171,6 +173,7 @@ def phrase_counts(rows: DataFrame, sizes: range, sieve: object = None, shard_wor
                     shard = Shard()
         if shard.size:
             yield from counted(shard, sizes, passed)
+        b = shard = passed = None
         give_back_memory()
 
     return rows.mapInArrow(run, "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("n"))
@@ -205,12 +208,12 @@ def frequent(spark: SparkSession, rows: DataFrame, min_count: int, sieve_bits: i
     A phrase is no more frequent than its parts: pairs are counted of frequent words only, and longer phrases of frequent pairs.
     """
     enough = F.col("n") >= min_count
-    words = materialize(phrase_counts(rows, range(1, 2), None, shard_words), "words")
-    found = [words.filter(enough)]
-    pairs = phrase_counts(rows, range(2, 3), sieve_of(found[0], sieve_bits), shard_words)
-    found.append(materialize(pairs.filter(enough), "pairs"))
-    longer = phrase_counts(rows, range(3, MAX_WORDS + 1), sieve_of(found[1], sieve_bits), shard_words)
-    found.append(materialize(longer.filter(enough), "phrases"))
+    with arrow_batches(spark, 500):  # whole texts
+        words = materialize(phrase_counts(rows, range(1, 2), None, shard_words), "words")
+        found = [words.filter(enough)]
+        for name, sizes in (("pairs", range(2, 3)), ("phrases", range(3, MAX_WORDS + 1))):
+            longer = phrase_counts(rows, sizes, sieve_of(found[-1], sieve_bits), shard_words)
+            found.append(materialize(longer.filter(enough), name))
     size = F.size(F.split("phrase", " ")).alias("size")
     whole = found[0].unionByName(found[1]).unionByName(found[2]).select("language", "phrase", "n", size)
     return whole, words.groupBy("language").agg(F.sum("n").alias("total"))

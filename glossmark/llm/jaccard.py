@@ -506,7 +506,7 @@ def _blocks(rows: DataFrame, blocks: str, name: str) -> DataFrame:
 
 
 def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a group and that sizes and sketches don't rule out; ``more`` if there are others.
+    """Pairs (a, b) of different components that meet in a group and that sizes and sketches don't rule out; ``group`` if it has others.
 
     ``open_``: group, node, root, main (the group's largest component), all_blocks, outside_blocks. Blocks of nodes outside the
     main component meet blocks of all nodes. A task compares two blocks at once, so no row is made for a pair that is ruled out or
@@ -523,7 +523,7 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int, most: int
     sizes = open_.select("group", "all_blocks").distinct()
     asked = outside.join(sizes, "group").withColumn("all_at", F.explode(F.sequence(F.lit(0), (F.col("all_blocks") - 1).cast("int"))))
     met = asked.join(every.drop("main"), ["group", "all_at"]).select("group", "main", "out", "all")
-    want = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+    want = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments(percent)
@@ -531,9 +531,9 @@ def likely_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int, most: int
             for group, main, out, every_ in zip(*(batch.column(i) for i in range(4))):
                 a, b, more = seg.likely_of(group.as_py(), main.as_py(), out.values, every_.values, most)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], schema=want)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.repeat(group if more else pa.scalar(None, pa.int64()), len(a))], schema=want)
 
-    return alone.unionByName(met).mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    return alone.unionByName(met).mapInArrow(run, "a long, b long, group long")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_words: int, percent: int, taken: frozenset) -> DataFrame:
@@ -559,7 +559,8 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
     1. Equal sets become one node. 2. Index rows are packed and dealt by ranges of their hashes; a hash that many sets of one pack
     share is linked there, and only two of them go on. 3. In every bucket each node is checked against the least and greatest one;
     the links make components. 4. Where the others of a bucket still are in several components, those outside the largest are
-    checked against all of other components, block by block; first each against its nearest ones, as most are linked after that.
+    checked against all of other components, block by block; first each against its nearest ones, as most are linked after that; only
+    groups in which a node has others go on to the next round.
     So every candidate pair is either inside one component or checked, and a group of copies gives rows in proportion to its size.
     Sets are compared by 64-bit hashes of their shingles; sets with one 64-bit digest are told apart by 64 bits more.
     """
@@ -597,16 +598,18 @@ def classes_of(docs: DataFrame, n_words: int, percent: int, id_col: str, text_co
             break
         with arrow_batches(spark, 16):  # rows of two blocks
             found = materialize(likely_in_blocks(open_, compact, percent, most), "likely")
-        pairs = materialize(found.select("a", "b").join(checked, ["a", "b"], "left_anti"), "likely")
+        pairs = materialize(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "likely")
         links = confirmed(pairs, nodes, texts, n_words, percent, taken)
         grown = links.head(1)
         if grown:
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = materialize(components(known.unionByName(links)), "roots")
-        if not found.filter("more").head(1):
+        # A group whose nodes had no partners beyond the nearest ones is done.
+        more = materialize(found.filter("group is not null").select("group").distinct(), "unfinished")
+        if not more.head(1):
             break
-        if grown:
-            open_ = _open_groups(members, roots)
+        members = materialize(members.join(small(more), "group", "left_semi"), "members")
+        open_ = _open_groups(members, roots)
         checked = checked.unionByName(pairs)
     return rows.select("doc_id", "row_key", "n_shingles", "node"), roots
 

@@ -2,33 +2,82 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 ORDER, BETA = 6, 2
+#: Pairs whose grams are sorted together, and characters of them, about; a longer pair is counted alone.
+BATCH_PAIRS, BATCH_CHARS = 256, 1 << 19
+# What str.split() takes for white space.
+_SPACES = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_IS_SPACE = np.zeros(int(_SPACES.max()) + 2, bool)
+_IS_SPACE[_SPACES] = True
+_MULTIPLIER, _HASH_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(56)
+
 
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points without white space, and the number of the text of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    space = _IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)]
+    return points[~space].astype(np.uint64), owner[~space]
 
-def score(hyp: str, ref: str) -> float:
-    hyp, ref = "".join(hyp.split()), "".join(ref.split())
-    p, r, n_orders = 0.0, 0.0, 0
+
+def _grams(points: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every order the distinct grams (the text's number over a hash of 56 bits), sorted, and how often each occurs."""
+    out, rolling = [], np.zeros(len(points), np.uint64)
     for n in range(1, ORDER + 1):
-        a, b = Counter(hyp[i : i + n] for i in range(len(hyp) - n + 1)), Counter(ref[i : i + n] for i in range(len(ref) - n + 1))
-        if a and b:
-            both = sum((a & b).values())
-            p, r, n_orders = p + both / sum(a.values()), r + both / sum(b.values()), n_orders + 1
-    if not n_orders or not p + r:
-        return 0.0
-    p, r = p / n_orders, r / n_orders
-    return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r)
+        rolling = rolling[: max(0, len(points) - n + 1)] * _MULTIPLIER + points[n - 1 :]
+        mixed = (rolling ^ rolling >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        whole = owner[: len(mixed)] == owner[n - 1 :]
+        key = (owner[: len(mixed)].astype(np.uint64) << _HASH_BITS | mixed >> np.uint64(64 - 56))[whole]
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        out.append((key[first], np.diff(np.append(first, len(key)))))
+    return out
+
+
+def _scores(hyps: list[str], refs: list[str]) -> np.ndarray:
+    n_pairs = len(hyps)
+    sides = [_characters(x) for x in (hyps, refs)]
+    sizes = [np.bincount(owner, minlength=n_pairs) for _, owner in sides]
+    p, r, orders = (np.zeros(n_pairs) for _ in range(3))
+    for n, ((a, ca), (b, cb)) in enumerate(zip(*(_grams(*x) for x in sides)), start=1):
+        at = np.searchsorted(b, a)
+        met = at < len(b)
+        met[met] = b[at[met]] == a[met]
+        shared = np.bincount((a[met] >> _HASH_BITS).astype(np.int64), np.minimum(ca[met], cb[at[met]]), n_pairs)
+        total_a, total_b = (np.maximum(s - n + 1, 0) for s in sizes)
+        both = (total_a > 0) & (total_b > 0)
+        p += np.where(both, shared / np.maximum(total_a, 1), 0)
+        r += np.where(both, shared / np.maximum(total_b, 1), 0)
+        orders += both
+    p, r = p / np.maximum(orders, 1), r / np.maximum(orders, 1)
+    return np.where(p + r > 0, 100 * (1 + BETA**2) * p * r / np.where(p + r > 0, BETA**2 * p + r, 1), 0.0)
+
+
+def scores(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """chrF of pairs of texts; all grams of a run of pairs are counted by sorting their hashes at once."""
+    out, at = np.zeros(len(hyps)), 0
+    size = np.array([len(h) + len(r) for h, r in zip(hyps, refs)], np.int64)
+    ends = np.cumsum(size)
+    while at < len(hyps):
+        fit = int(np.searchsorted(ends, BATCH_CHARS + (ends[at - 1] if at else 0), side="right"))
+        stop = min(max(at + 1, fit), at + BATCH_PAIRS)
+        out[at:stop] = _scores(hyps[at:stop], refs[at:stop])
+        at = stop
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def _chrf(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None or r is None else score(h, r) for h, r in zip(hyps, refs)], dtype="float64")
+    there = (hyps.notna() & refs.notna()).to_numpy()
+    out = np.full(len(hyps), np.nan)
+    out[there] = scores(hyps[there].tolist(), refs[there].tolist())
+    return pd.Series(out).astype("Float64").where(pd.Series(there), pd.NA)
 
 
 def chrf(hyp: Column, ref: Column) -> Column:

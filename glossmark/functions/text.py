@@ -28,12 +28,14 @@ def strip(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t or ""))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; null becomes empty. Spark has no built-in for it, so texts pass through Arrow."""
-    return _nfc(F.coalesce(text, F.lit("")))
+    """Unicode NFC; null becomes empty. Spark has no built-in for it, so texts pass through Arrow: only those with a character that can
+    change (none below U+0300 does), the others travel as nulls."""
+    there = F.coalesce(text, F.lit(""))
+    return F.coalesce(_nfc(F.when(there.rlike(r"[^\x00-\x{2FF}]"), there)), there)
 
 
 def precomposed_count(text: Column) -> Column:
@@ -124,10 +126,21 @@ def chunked_sentences(text: Column, max_words: int = 40) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(lines, lambda line: _pieces(line, rf"([।?!]){WS}*"))), lambda s: chunks(s, max_words)))
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """``number`` to so many digits by its binary value, halves to even: the built-in roundings go by its decimal digits."""
+    return F.pandas_udf(lambda x: x.map(lambda v: None if pd.isna(v) else round(v, digits)), "double")(number.cast("double"))
+
+
+def one_decimal(number: Column) -> Column:
+    """``number`` with one digit behind the point, rounded by its binary value."""
+    return F.pandas_udf(lambda x: x.map(lambda v: None if pd.isna(v) else f"{v:.1f}"), "string")(number.cast("double"))
+
+
 def timing_note(load_ns: Column, eval_count: Column, eval_ns: Column) -> Column:
-    """Seconds of loading and generation and tokens a second."""
-    rate = F.when(eval_ns > 0, eval_count / (eval_ns / 1e9))
-    return F.concat_ws(", ", F.format_string("load %.1f s", load_ns / 1e9), F.format_string("%d tokens in %.1f s", eval_count, eval_ns / 1e9), F.when(rate.isNotNull(), F.format_string("%.1f tok/s", rate)))
+    """Seconds of loading, tokens and tokens a second; what is missing counts as 0."""
+    load, n, ns = (F.coalesce(c, F.lit(0)) for c in (load_ns, eval_count, eval_ns))
+    rate = F.when(ns == 0, F.lit("0")).otherwise(one_decimal(F.when(ns != 0, n / (ns / 1e9))))
+    return F.concat(F.lit("load "), one_decimal(load / 1e9), F.lit("s, "), n.cast("string"), F.lit(" tokens at "), rate, F.lit(" per second"))
 
 
 def safe_name(name: Column) -> Column:

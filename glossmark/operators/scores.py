@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmark.functions import text
 from glossmark.functions.text import OPTION_LETTERS
 from glossmark.sources.readers import left_to_do
 
@@ -66,21 +67,57 @@ def option_swaps(src: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.size("x").alias("option_swap_n"), F.array_join("x.t", ";").alias("option_swaps"))
 
 
-def back_translated(rows: DataFrame, translate: Callable[[], Callable[[list, int], list]], max_words: int = 40) -> DataFrame:
-    """Adds back_en, len_ratio and retry. Texts far shorter than the source are done again in smaller chunks; the longer result stays."""
+#: A translator back into the source language: made once in each worker, then called with lists of sentences; gives as many texts.
+TranslatorFactory = Callable[[], Callable[[list], list]]
 
-    @F.pandas_udf("back_en string, retry int")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = translate()
-        for hyp, src in batches:
-            first = model(hyp.tolist(), max_words)
-            short = [i for i, (e, s) in enumerate(zip(first, src)) if len(e) < RETRY_BELOW * max(len(s), 1)]
-            for i, e in zip(short, model([hyp.iloc[i] for i in short], RETRY_WORDS) if short else []):
-                first[i] = max(first[i], e, key=len)
-            yield pd.DataFrame({"back_en": first, "retry": [int(i in set(short)) for i in range(len(first))]})
 
-    out = rows.withColumn("__b", run("hyp_raw", "src_raw"))
-    return out.select(*rows.columns, "__b.back_en", "__b.retry", (F.length("__b.back_en") / F.greatest(F.length("src_raw"), F.lit(1))).alias("len_ratio"))
+def translation_pieces(rows: DataFrame, keys: list[str], hyp: str, max_words: int) -> DataFrame:
+    """keys, is_option, place, label, piece: the sentences of the stem in parts of ``max_words`` words at most, and the options whole."""
+    parts = rows.select(*keys, text.labelled_segments(text.clean_output(text.nfc(F.col(hyp)))).alias("x"))
+    stem = parts.select(*keys, F.lit(False).alias("is_option"), F.posexplode(text.chunked_sentences(F.col("x.stem"), max_words)).alias("place", "piece"))
+    options = parts.select(*keys, F.lit(True).alias("is_option"), F.posexplode("x.options").alias("place", "o"))
+    return stem.select(*keys, "is_option", "place", F.lit("").alias("label"), "piece").unionByName(options.select(*keys, "is_option", "place", "o.label", F.col("o.text").alias("piece")))
+
+
+def translated(pieces: DataFrame, translator: TranslatorFactory, column: str = "piece", out: str = "en") -> DataFrame:
+    """Adds the translation ``out``. Pieces are dealt evenly and sorted by length in each task, so that a model's batch has like lengths."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        translate = translator()
+        for b in batches:
+            yield pd.Series(translate(b.tolist()), index=b.index, dtype="object")
+
+    dealt = pieces.withColumn("__n", F.length(column)).repartition(F.xxhash64(*pieces.columns)).sortWithinPartitions("__n")
+    return dealt.drop("__n").withColumn(out, run(column))
+
+
+def assembled(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, back_en, n_chunks: the stem's parts in order, then the options under the labels that the output gave them."""
+    ordered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("is_option", "place", "label", "en"))).alias("x"))
+    stem, options = (F.filter("x", lambda p, own=own: p["is_option"] == own) for own in (False, True))
+    tail = F.array_join(F.transform(options, lambda p: F.concat(p["label"], F.lit(". "), p["en"])), "\n")
+    whole = text.strip(F.concat(F.array_join(F.transform(stem, lambda p: p["en"]), " "), F.lit("\n"), tail))
+    return ordered.select(*keys, whole.alias("back_en"), F.size(stem).alias("n_chunks"))
+
+
+def back_translated(rows: DataFrame, translator: TranslatorFactory, keys: list[str], src: str = "src_raw", hyp: str = "hyp_raw", max_words: int = 40) -> DataFrame:
+    """keys, back_en, n_chunks, retry, len_ratio of every row (one for each value of the keys).
+
+    Texts whose translation has less than ``RETRY_BELOW`` of the source's characters are done again in parts of ``RETRY_WORDS`` words; a longer
+    result stays, with ``retry`` 1. Only those rows are translated twice. A row of nothing but white space gives an empty text.
+    """
+    size = F.greatest(F.coalesce(F.length(src), F.lit(0)), F.lit(1))
+    asked = rows.select(*keys, src, hyp)
+    once = asked.join(assembled(translated(translation_pieces(asked, keys, hyp, max_words), translator), keys), keys, "left")
+    once = once.select(*keys, src, hyp, F.coalesce("back_en", F.lit("")).alias("back_en"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    short = once.filter(F.length("back_en") / size < RETRY_BELOW).select(*keys, src, hyp)
+    again = assembled(translated(translation_pieces(short, keys, hyp, RETRY_WORDS), translator), keys)
+    again = again.select(*keys, F.col("back_en").alias("__en"), F.col("n_chunks").alias("__n"))
+    both = once.join(again, keys, "left").withColumn("__longer", F.coalesce(F.length("__en") > F.length("back_en"), F.lit(False)))
+    pick = lambda a, b: F.when(F.col("__longer"), F.col(a)).otherwise(F.col(b))
+    out = both.select(*keys, src, pick("__en", "back_en").alias("back_en"), pick("__n", "n_chunks").alias("n_chunks"), F.col("__longer").cast("int").alias("retry"))
+    return out.select(*keys, "back_en", "n_chunks", "retry", text.rounded(F.length("back_en") / size, 3).alias("len_ratio"))
 
 
 def token_cap(rows: DataFrame, n_tokens: str, cap: int = 512) -> DataFrame:
@@ -107,7 +144,3 @@ def consensus(rows: DataFrame, score: Callable[[Column, Column], Column]) -> Dat
     pairs = rows.join(n, "item_id").filter("n >= 3").join(peers, "item_id").filter("translator <> t2")
     means = pairs.groupBy("item_id", "translator").agg(F.avg(score(F.col("hyp"), F.col("ref"))).alias("consensus_chrf"))
     return rows.select("item_id", "translator").join(means, ["item_id", "translator"], "left")
-
-
-def first_of_group(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__r = 1").drop("__r")

@@ -34,16 +34,20 @@ def long_table(rows: DataFrame) -> DataFrame:
     return rows.select("item_id", "translator", (~same).cast("int").alias("seg_mismatch"), F.posexplode(pairs).alias("seg_id", "x")).select("item_id", "translator", "seg_id", "x.src_en", "x.hyp_bn", "seg_mismatch")
 
 
-def item_table(rows: DataFrame, allow: list[str] | None = None, bengali_only: bool = False, with_chrf: bool = True) -> DataFrame:
-    """One row for each item and translator with all structural measures."""
+def item_measures(rows: DataFrame, allow: list[str] | None = None, bengali_only: bool = False, with_chrf: bool = True) -> DataFrame:
+    """One row for each item and translator with the structural measures that a row has by itself."""
     src, hyp = F.col("src"), F.col("hyp")
     measures = checks.script_checks(hyp, src, bengali_only) | checks.untranslated_words(src, hyp, allow, bengali_only) | checks.numbers_preserved(src, hyp)
-    items = rows.select(
+    return rows.select(
         "item_id", "translator", "precomposed_n", (F.size("src_seg") != F.size("hyp_seg")).cast("int").alias("seg_mismatch"), F.size("src_seg").alias("n_seg_src"),
         F.size("hyp_seg").alias("n_seg_hyp"), checks.length_ratio(src, hyp).alias("len_ratio"), *[c.alias(n) for n, c in measures.items()],
         checks.duplicate_options(F.col("hyp_seg")).alias("dup_option_n"), (chrf(F.col("bt"), src) if with_chrf else F.lit(None).cast("double")).alias("roundtrip_chrf"),
     )
-    return stats.with_robust_z(items, "len_ratio", ["translator"], "len_z")
+
+
+def item_table(rows: DataFrame, allow: list[str] | None = None, bengali_only: bool = False, with_chrf: bool = True) -> DataFrame:
+    """One row for each item and translator with all structural measures, the length among those of its translator too."""
+    return stats.with_robust_z(item_measures(rows, allow, bengali_only, with_chrf), "len_ratio", ["translator"], "len_z")
 
 
 def hard_flag(items: DataFrame) -> Column:
@@ -98,16 +102,23 @@ def summary(items: DataFrame) -> DataFrame:
         "items with any hard flag": s(F.count_if(hard_flag(items))),
     }
     if "consensus_chrf" in has:
-        rows["consensus chrF mean"] = F.coalesce(F.format_string("%.1f", F.bround(F.avg("consensus_chrf"), 1)), F.lit("n/a (1 translator)"))
+        rows["consensus chrF mean"] = F.struct(F.avg("consensus_chrf").alias("a"), F.lit(None).cast("double").alias("b"), F.lit("n/a (1 translator)").alias("none"), F.lit(1).alias("d"))
     if "roundtrip_chrf" in has:
-        rows["round-trip chrF mean (min)"] = F.when(F.count("roundtrip_chrf") > 0, F.format_string("%.1f (%.1f)", F.avg("roundtrip_chrf"), F.min("roundtrip_chrf"))).otherwise("no back-translation")
+        rows["round-trip chrF mean (min)"] = F.struct(F.avg("roundtrip_chrf").alias("a"), F.min("roundtrip_chrf").alias("b"), F.lit("no back-translation").alias("none"), F.lit(1).alias("d"))
     for c in ("cometkiwi_mean", "cometkiwi_min", "metricx_err_mean", "metricx_err_max", "labse_mean", "labse_min"):
         if c in has:
-            rows[f"{c} (mean over items)"] = s(F.bround(F.avg(c), 3))
+            rows[f"{c} (mean over items)"] = F.struct(F.avg(c).alias("a"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("string").alias("none"), F.lit(3).alias("d"))
     if "decision" in has:
         rows |= {f"decision {d}": F.when(F.count_if(F.col("decision") == d) > 0, s(F.count_if(F.col("decision") == d))) for d in ("PASS", "FLAG", "REVIEW")}
-    wide = items.groupBy("translator").agg(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("value")) for k, v in rows.items()]).alias("x"))
-    return wide.select("translator", F.inline("x")).filter("value is not null").select("check", "translator", "value")
+    means = {k for k in rows if k.endswith(("(mean over items)", "chrF mean", "chrF mean (min)"))}
+    no_mean = F.lit(None).cast("struct<a:double,b:double,none:string,d:int>")
+    cells = [F.struct(F.lit(k).alias("check"), (F.lit(None).cast("string") if k in means else v).alias("value"), (v.cast("struct<a:double,b:double,none:string,d:int>") if k in means else no_mean).alias("m")) for k, v in rows.items()]
+    out = items.groupBy("translator").agg(F.array(*cells).alias("x")).select("translator", F.inline("x"))
+    # Means are rounded as they are printed, by their binary values, once there is one row for each.
+    one, three, least = text.one_decimal(F.when(F.col("m.d") == 1, F.col("m.a"))), text.rounded(F.when(F.col("m.d") == 3, F.col("m.a")), 3), text.one_decimal(F.col("m.b"))
+    out = out.withColumns({"__one": one, "__three": three, "__least": least})
+    mean = F.coalesce(F.when(F.col("__least").isNotNull(), F.concat("__one", F.lit(" ("), "__least", F.lit(")"))), F.col("__one"), F.col("__three").cast("string"), F.col("m.none"))
+    return out.select("check", "translator", F.coalesce("value", mean).alias("value")).filter("value is not null")
 
 
 def item_text(long: DataFrame) -> DataFrame:
@@ -125,7 +136,7 @@ def sample(items: DataFrame, key: str, n_random: int = 150, n_targeted: int = 50
     row = [key, "translator"]
     rest, half = sampling.without(scored, rand, row), n_targeted // 2
     n_rest = rest.count()
-    worst = sampling.draw(sampling.smallest(rest, "cometkiwi_min", key, max(half, n_rest // 10)), key, half, seed)
+    worst = sampling.draw(stats.lowest(rest, "cometkiwi_min", key, max(half, n_rest // 10)), key, half, seed)
     rest = sampling.without(rest, worst, row)
     if "metricx_mean" in items.columns and rest.filter("metricx_mean is not null").head(1):
         apart = sampling.largest(stats.with_rank_gap(rest, "cometkiwi_mean", "metricx_mean", "__gap"), "__gap", key, n_targeted - half).drop("__gap")
@@ -158,23 +169,25 @@ def queue(key_rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def rating_violations(rated: DataFrame) -> DataFrame:
-    """row_id, rule for every broken rule of the rating sheet."""
-    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
+    """row_id, rule, detail for every broken rule of the rating sheet; each unknown tag is one. White space around values doesn't count."""
+    there = lambda c: text.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    tags = F.filter(F.transform(F.split(there("tags"), ";"), text.strip), lambda t: t != "")
     known, meaning = (F.array(*map(F.lit, x)) for x in (MEANING_TAGS + FORM_TAGS, MEANING_TAGS))
     number = F.expr("try_cast(fluency as double)")
     rules = [
-        ("tier", ~F.coalesce(F.col("tier").isin(*TIERS), F.lit(False))),
-        ("fluency", ~F.coalesce(number.isin(1.0, 2.0, 3.0, 4.0, 5.0), F.lit(False))),
-        ("tags", F.size(F.array_except(tags, known)) > 0),
-        ("meaning_tag", F.col("tier").isin("D2", "D3") & ~F.arrays_overlap(tags, meaning)),
-        ("acceptable", ~F.coalesce(F.lower("acceptable").isin("yes", "no"), F.lit(False))),
+        ("tier", ~there("tier").isin(*TIERS)),
+        ("fluency", ~F.coalesce((number >= 1) & (number <= 5), F.lit(False))),
+        ("meaning_tag", there("tier").isin("D2", "D3") & ~F.arrays_overlap(tags, meaning)),
+        ("acceptable", ~F.lower(there("acceptable")).isin("yes", "no")),
     ]
-    return rated.select("row_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("rule"))
+    broken = [F.when(c, F.struct(F.lit(n).alias("rule"), F.lit("").alias("detail"))) for n, c in rules]
+    unknown = F.transform(F.filter(tags, lambda t: ~F.array_contains(known, t)), lambda t: F.struct(F.lit("tags").alias("rule"), t.alias("detail")))
+    return rated.select("row_id", F.inline(F.concat(F.array_compact(F.array(*broken)), unknown)))
 
 
 def rated_rows(ratings: DataFrame) -> DataFrame:
     """Rows with a tier; missing optional columns are empty."""
-    rows = ratings.filter(text.strip(F.coalesce("tier", F.lit(""))) != "")
+    rows = ratings.filter(~F.coalesce(text.strip(F.col("tier").cast("string")) == "", F.lit(True)))
     return rows.withColumns({c: F.lit("") for c in ("acceptable", "tags", "note") if c not in ratings.columns})
 
 
@@ -187,34 +200,82 @@ def is_bad(tier: Column) -> Column:
     return F.coalesce((tier_number(tier) >= 2), F.lit(False)).cast("int")
 
 
-def report(rated: DataFrame, score: str = "cometkiwi_min", mean_score: str = "cometkiwi_mean", target: float = 0.9, key: str | None = None) -> DataFrame:
+def _statistics(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """statistic, value of tables of one row each; names are the columns behind a prefix."""
+    out = None
+    for prefix, one in parts:
+        rows = one.select(F.inline(F.array(*[F.struct(F.lit(prefix + c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in one.columns])))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def report(
+    rated: DataFrame, score: str = "cometkiwi_min", mean_score: str = "cometkiwi_mean", second_score: str = "metricx_mean", target: float = 0.9, key: str | None = None,
+    n_boot: int = 0, n_boot_cv: int = 0, items: DataFrame | None = None,
+) -> DataFrame:
     """statistic, value: the calibration report of a rated sample (tier, both scores, part and whatever optional columns there are).
 
-    The item's mean score is correlated with the tier; its least one is judged and cut. With a ``key``, the means of five folds too.
+    The item's mean score is correlated with the tier over the random part, a second one too if it is there; the least one is judged and cut
+    over all. With a ``key``, the means of five folds and, for ``n_boot`` and ``n_boot_cv`` replicates, the 95 percent intervals. With the
+    whole set of ``items``, the share of them that the line flags.
     """
+    has = set(rated.columns)
     df = rated.withColumn("__bad", is_bad(F.col("tier"))).withColumn("__tier", tier_number(F.col("tier")).cast("double"))
     rand = df.filter("part = 'random'")
-    out = [
-        stats.spearman(rand, mean_score, "__tier").select(F.lit("spearman_random").alias("statistic"), F.col("rho").alias("value")),
-        stats.kendall(rand, mean_score, "__tier").select(F.lit("kendall_random"), "tau"),
-        stats.auroc(rand, score, "__bad").select(F.lit("auroc_random"), "auroc"),
-        stats.auroc(df, score, "__bad").select(F.lit("auroc_all_enriched"), "auroc"),
-        stats.threshold(df, score, "__bad", target).select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(c).alias("value")) for n, c in ((f"{score}_threshold", "threshold"), ("recall_in_sample", "recall"), ("precision_in_sample", "precision"), ("flag_share_in_sample", "flag_share"))]))),
-    ]
+    line = stats.threshold(df, score, "__bad", target)
+    parts = []
+    for name, c in (("", mean_score), ("second_", second_score)):
+        if c not in has or c == mean_score and name:
+            continue
+        parts += [(name, stats.spearman(rand, c, "__tier").select(F.col("n").alias("n_random"), F.col("rho").alias("spearman_random")))]
+        parts += [(name, stats.kendall(rand, c, "__tier").select(F.col("tau").alias("kendall_random")))]
+        if key and n_boot:
+            parts += [(f"{name}{n}_", stats.bootstrap(rand, c, "__tier", key, n_boot, statistic=f)) for n, f in (("spearman", stats.spearman), ("kendall", stats.kendall))]
+    for n, d in (("random", rand), ("all_enriched", df)):
+        parts.append(("", stats.auroc(d, score, "__bad").select(F.col("auroc").alias(f"auroc_{n}"), F.col("n").alias(f"auroc_n_{n}"), F.col("n_bad").alias(f"auroc_n_bad_{n}"))))
+    parts.append(("", line.select(F.col("threshold").alias(f"{score}_threshold"), F.col("recall").alias("recall_in_sample"), F.col("precision").alias("precision_in_sample"), F.col("flag_share").alias("flag_share_in_sample"))))
     if key:
-        folds = stats.cross_validated(df, F.struct(sampling.order_hash(F.col(key)), key), score, "__bad", target)
-        out += [folds.agg(F.avg(c)).select(F.lit(c), f"avg({c})") for c in ("recall_cv", "precision_cv")]
-    if "roundtrip_chrf" in df.columns:
-        out.append(df.filter("__bad = 1").agg(F.percentile("roundtrip_chrf", 0.9).alias("value")).select(F.lit("roundtrip_chrf_cut"), "value"))
-    if {"cometkiwi_mean", "metricx_mean"} <= set(df.columns):
-        gap = stats.with_rank_gap(df.filter("cometkiwi_mean is not null and metricx_mean is not null"), "cometkiwi_mean", "metricx_mean", "gap")
-        out.append(gap.filter("__bad = 1").agg(F.median("gap").alias("value")).select(F.lit("rank_gap"), "value"))
-    if "tier_rater2" in df.columns:
-        out.append(stats.weighted_kappa(df.withColumn("__t2", tier_number(F.col("tier_rater2"))), "__tier", "__t2").select(F.lit("kappa_tier"), "kappa"))
-    total = out[0]
-    for x in out[1:]:
-        total = total.unionAll(x)
-    return total
+        parts.append(("", stats.cross_validated(df, key, score, "__bad", target).agg(F.avg("recall_cv").alias("recall_cv"), F.avg("precision_cv").alias("precision_cv"))))
+        if n_boot_cv:
+            parts.append(("cv_", stats.bootstrap_cv(df, key, score, "__bad", target, n_boot=n_boot_cv)))
+    if "roundtrip_chrf" in has:
+        bad = df.filter("__bad = 1 and roundtrip_chrf is not null")
+        parts += [("", bad.agg(F.count(F.lit(1)).alias("n_bad_with_chrf"))), ("", stats.quantiles(bad, "roundtrip_chrf", {"roundtrip_chrf_cut": 0.9}))]
+    if {mean_score, second_score} <= has and mean_score != second_score:
+        gap = stats.with_rank_gap(df.filter(F.col(mean_score).isNotNull() & F.col(second_score).isNotNull()), mean_score, second_score, "__gap")
+        parts.append(("", gap.agg(F.count(F.lit(1)).alias("rank_gap_n"))))
+        parts += [("", stats.quantiles(d, "__gap", {n: 0.5})) for n, d in (("rank_gap", gap.filter("__bad = 1")), ("gap_median_all", gap))]
+    if "tier_rater2" in has:
+        both = df.filter("tier_rater2 is not null").withColumn("__t2", tier_number(text.strip(F.col("tier_rater2"))))
+        parts += [("", both.agg(F.count(F.lit(1)).alias("n_double_rated"))), ("", stats.weighted_kappa(both, "__tier", "__t2").select(F.col("kappa").alias("kappa_tier")))]
+        if {"fluency", "fluency_rater2"} <= has:
+            whole = both.select(*[F.floor(F.expr(f"try_cast({c} as double)")).alias(c) for c in ("fluency", "fluency_rater2")])
+            parts.append(("", stats.weighted_kappa(whole, "fluency", "fluency_rater2").select(F.col("kappa").alias("kappa_fluency"))))
+    if "option_swap_n" in has:
+        parts.append(("option_swap_", option_swap_check(df)))
+    if items is not None:
+        scores = items.select(score).join(F.broadcast(line.select("threshold")), F.lit(True), "left")  # one row at most
+        parts.append(("", scores.agg(F.avg(F.when(F.col("threshold").isNotNull(), F.coalesce(F.col(score) <= F.col("threshold"), F.lit(False)).cast("int"))).alias("flag_share_full_set"))))
+    return _statistics(parts)
+
+
+def option_swap_check(rated: DataFrame) -> DataFrame:
+    """fired_in_sample, fired_on_D0_D1, fired_with_option_changed_tag: how the option swap flag does by the ratings."""
+    fired = rated.filter(F.coalesce("option_swap_n", F.lit(0)) > 0)
+    tagged = F.coalesce(F.col("tags"), F.lit("")).contains("option_changed") if "tags" in rated.columns else F.lit(False)
+    return fired.agg(F.count(F.lit(1)).alias("fired_in_sample"), F.count_if(tier_number(F.col("tier")) <= 1).alias("fired_on_D0_D1"), F.count_if(tagged).alias("fired_with_option_changed_tag"))
+
+
+#: The statistics that ``decide`` and the reader of a run take from a report.
+THRESHOLDS = (
+    "cometkiwi_min_threshold", "rank_gap", "roundtrip_chrf_cut", "recall_in_sample", "precision_in_sample", "recall_cv", "precision_cv", "auroc_random",
+    "auroc_all_enriched", "spearman_random", "flag_share_in_sample", "flag_share_full_set",
+)
+
+
+def thresholds_of(found: DataFrame) -> DataFrame:
+    """One row of the thresholds by name; what a report lacks is null."""
+    return found.agg(*[F.max(F.when(F.col("statistic") == n, F.col("value"))).alias(n) for n in THRESHOLDS])
 
 
 def throughput(seconds: Mapping[str, float], n_items: int, target: int = 12_000) -> dict[str, float]:

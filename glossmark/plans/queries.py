@@ -187,11 +187,14 @@ def q_sentence_chunks(spark, sf_dir):
 # ---- joins, rollups, scores
 
 
-@query("""with b as (select o_custkey as item_id, arg_max(case when o_orderkey % 3 = 0 then null else 'o' || o_orderkey end, (o_orderkey)) as x, max(o_orderkey) as k from orders group by 1)
-select c_custkey as item_id, case when k % 3 = 0 then null else 'o' || k end as bt_raw from customer left join b on b.item_id = c_custkey""")
+@query("""with b as (select o_custkey as item_id, max(o_orderkey) as k from orders group by 1)
+select c_custkey as item_id, case when k % 3 = 0 or k % 5 = 0 then null when k % 7 = 0 then ' ' else 'o' || k end as bt_raw from customer left join b on b.item_id = c_custkey""")
 def q_backlookup_fallback(spark, sf_dir):
+    """The last row of an item counts: an empty text is none, a blank one is a text."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.lit("m0").alias("translator"), F.lit(None).cast("string").alias("bt_raw"))
-    back = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("back_en"), F.col("o_orderkey").alias("seconds"))
+    k = F.col("o_orderkey")
+    text_of = F.when(k % 3 == 0, None).when(k % 5 == 0, "").when(k % 7 == 0, " ").otherwise(F.concat(F.lit("o"), k.cast("string")))
+    back = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), text_of.alias("back_en"), k.alias("line_order"))
     return attach_back_translations(rows, back).select("item_id", "bt_raw")
 
 
@@ -288,7 +291,7 @@ _O = _HASH.format(k="item_id")
 @query(f"with {ITEMS}, p as (select * from items order by cometkiwi_min, item_id limit (select count(*) // 10 from items)) select item_id from p order by {_O}, item_id limit 25")
 def q_worst_decile(spark, sf_dir):
     df = items(spark, sf_dir).select("item_id", "cometkiwi_min")
-    return sampling.draw(sampling.smallest(df, "cometkiwi_min", "item_id", df.count() // 10), "item_id", 25).select("item_id")
+    return sampling.draw(stats.lowest(df, "cometkiwi_min", "item_id", df.count() // 10), "item_id", 25).select("item_id")
 
 
 @query(f"with {ITEMS}, g as (select item_id, abs({_PCT.format(c='cometkiwi_mean')} - {_PCT.format(c='metricx_mean')}) as gap from items) select item_id from g where gap is not null order by gap desc, item_id limit 25")
@@ -320,14 +323,15 @@ def q_second_rater(spark, sf_dir):
     return quality.second_rater(rated(spark, sf_dir).select("doc_id", "part"), "doc_id").select("doc_id", "part")
 
 
-@query(f"""with {RATED}, v as (select doc_id, case when doc_id % 10 = 0 then 'D9' else tier end as tier, doc_id % 7 as fluency, case when doc_id % 4 = 0 then 'number; script' when doc_id % 4 = 1 then 'bogus' else '' end as tags, case when doc_id % 9 = 0 then 'maybe' else 'Yes' end as ok from rated)
-select doc_id as row_id, 'tier' as rule from v where tier = 'D9' union all select doc_id, 'fluency' from v where fluency not between 1 and 5 union all select doc_id, 'tags' from v where tags = 'bogus'
-union all select doc_id, 'meaning_tag' from v where tier in ('D2', 'D3') and tags <> 'number; script' union all select doc_id, 'acceptable' from v where ok = 'maybe'""")
+@query(f"""with {RATED}, v as (select doc_id, case when doc_id % 10 = 0 then 'D9' else tier end as tier, doc_id % 13 / 2.0 as fluency, case when doc_id % 4 = 0 then ['number', 'script'] when doc_id % 4 = 1 then ['bogus', 'Number'] else [] end as tags,
+case when doc_id % 9 = 0 then 'maybe' else 'yes' end as ok from rated)
+select doc_id as row_id, 'tier' as rule, '' as detail from v where tier = 'D9' union all select doc_id, 'fluency', '' from v where fluency < 1 or fluency > 5 union all select doc_id, 'tags', unnest(['bogus', 'Number']) from v where tags[1] = 'bogus'
+union all select doc_id, 'meaning_tag', '' from v where tier in ('D2', 'D3') and not list_contains(tags, 'number') union all select doc_id, 'acceptable', '' from v where ok = 'maybe'""")
 def q_rating_violations(spark, sf_dir):
     d, pick = F.col("doc_id"), F.when
     sheet = rated(spark, sf_dir).select(
-        d.alias("row_id"), pick(d % 10 == 0, "D9").otherwise(F.col("tier")).alias("tier"), (d % 7).cast("string").alias("fluency"),
-        pick(d % 4 == 0, "number; script").when(d % 4 == 1, "bogus").otherwise("").alias("tags"), pick(d % 9 == 0, "maybe").otherwise("Yes").alias("acceptable"),
+        d.alias("row_id"), pick(d % 10 == 0, "D9").otherwise(F.concat(F.lit(" "), F.col("tier"), F.lit("\t"))).alias("tier"), ((d % 13) / 2).cast("string").alias("fluency"),
+        pick(d % 4 == 0, "number; script").when(d % 4 == 1, "bogus; ;Number").otherwise("").alias("tags"), pick(d % 9 == 0, "maybe").otherwise(" Yes ").alias("acceptable"),
     )
     return quality.rating_violations(sheet)
 
@@ -366,8 +370,7 @@ def q_threshold(spark, sf_dir):
 l as (select fold, min(threshold) as t from ({_LINE.format(g='fold,', p='partition by fold', t='tr')}) group by 1)
 select cast(f as int) as fold, round(count(*) filter (bad = 1 and score <= t) / sum(bad), 6) as recall_cv, round(count(*) filter (bad = 1 and score <= t) / greatest(count(*) filter (score <= t), 1), 6) as precision_cv from k join l on l.fold = k.f where (select sum(bad) from k) >= 5 group by 1""")
 def q_cv(spark, sf_dir):
-    df = rated(spark, sf_dir).withColumn("key", F.struct(sampling.order_hash(F.col("doc_id")), "doc_id"))
-    return stats.cross_validated(df, F.col("key"), "score", "bad", 0.9).select("fold", r6("recall_cv").alias("recall_cv"), r6("precision_cv").alias("precision_cv"))
+    return stats.cross_validated(rated(spark, sf_dir), "doc_id", "score", "bad", 0.9).select("fold", r6("recall_cv").alias("recall_cv"), r6("precision_cv").alias("precision_cv"))
 
 
 @query(f"""with {RATED}, r as (select cast(substr(tier, 2) as double) as a, cast((doc_id * 7 + bad * 2) % 4 as double) as b from rated)
@@ -390,15 +393,37 @@ def q_chrf_cut(spark, sf_dir):
     return rated(spark, sf_dir).filter("bad = 1").agg(r6(F.percentile("score", 0.9)).alias("cut"), r6(F.median("score")).alias("med"))
 
 
-@query()
-def q_bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_spearman(rated(spark, sf_dir), "score", "error", "doc_id", 200)
+_COPIES = "(" + " + ".join(f"(u >= {p})::int" for p in stats.POISSON) + ")"
 
 
-@query()
+@query(f"""with {RATED}, d as (select rep, score, error, ('0x' || substr(md5('42:' || rep || ':' || doc_id), 1, 13))::bigint as u from rated, range(200) as b(rep)),
+c as (select rep, score, error, unnest(range({_COPIES})) as i from d), k as (select rep, (rank() over (partition by rep order by score) + (count(*) over (partition by rep, score) - 1) / 2.0) as a,
+(rank() over (partition by rep order by error) + (count(*) over (partition by rep, error) - 1) / 2.0) as b from c), v as (select rep, corr(a, b) as rho from k group by 1)
+select count(*) as n_boot_used, round(quantile_cont(rho, 0.025), 6) as lo, round(quantile_cont(rho, 0.975), 6) as hi from v where isfinite(rho)""")
+def q_bootstrap_ci(spark, sf_dir):
+    return stats.bootstrap_spearman(rated(spark, sf_dir), "score", "error", "doc_id", 200).select("n_boot_used", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+_AREA = "select '{n}' as s, (sum(k) filter (bad = 1) - sum(bad) * (sum(bad) + 1) / 2.0) / (sum(bad) * (count(*) - sum(bad))) as v, count(*) as n, sum(bad) as b from (select bad, (rank() over (order by -score) + (count(*) over (partition by score) - 1) / 2.0) as k from {t})"
+
+
+@query(f"""with {RATED}, rand as (select *, cast(substr(tier, 2) as double) as y from rated where part = 'random'),
+rk as (select {_RANK.format(c='error')} as a, {_RANK.format(c='y')} as b from rand),
+kp as (select sign(a.error - b.error) as sx, sign(a.y - b.y) as sy from rand a join rand b on a.doc_id < b.doc_id),
+ar as ({_AREA.format(n='random', t='rand')} union all {_AREA.format(n='all_enriched', t='rated')}),
+li as (select * from ({_LINE.format(g='', p='', t='rated')}) order by threshold limit 1),
+k as (select *, (row_number() over (partition by bad order by {_HASH.format(k='doc_id')}, doc_id) - 1) % 5 as f from rated), tr as (select g.f as fold, k.score, k.bad from k join (select distinct f from k) g on g.f <> k.f),
+l as (select fold, min(threshold) as t from ({_LINE.format(g='fold,', p='partition by fold', t='tr')}) group by 1),
+cv as (select count(*) filter (bad = 1 and score <= t) / sum(bad) as r, count(*) filter (bad = 1 and score <= t) / greatest(count(*) filter (score <= t), 1) as p from k join l on l.fold = k.f group by k.f),
+sums as (select 'spearman_random' as statistic, corr(a, b) as value from rk union all select 'n_random', count(*) from rk
+union all select 'kendall_random', sum(sx * sy) / sqrt(count(*) filter (sx <> 0) * cast(count(*) filter (sy <> 0) as double)) from kp
+union all select 'auroc_' || s, v from ar union all select 'auroc_n_' || s, n from ar union all select 'auroc_n_bad_' || s, b from ar
+union all select 'cometkiwi_min_threshold', threshold from li union all select 'recall_in_sample', recall from li union all select 'precision_in_sample', precision from li union all select 'flag_share_in_sample', flag_share from li
+union all select 'recall_cv', avg(r) from cv union all select 'precision_cv', avg(p) from cv)
+select statistic, round(value, 5) as value from sums""")
 def q_report(spark, sf_dir):
     r = rated(spark, sf_dir).withColumnsRenamed({"score": "cometkiwi_min", "error": "cometkiwi_mean"})
-    return quality.report(r, key="doc_id")
+    return quality.report(r, key="doc_id").select("statistic", F.round("value", 5).alias("value"))
 
 
 @query("""with m as (select *, case when event_type = 'error' or event_id % 2 = 0 then 1 else 0 end as f from events), k as (select *, row_number() over w - sum(f) over w as k from m window w as (partition by user_id order by ts, event_id))

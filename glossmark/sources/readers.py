@@ -6,9 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossmark.functions.text import strip
-from glossmark.operators.stats import latest, no_nan
+from glossmark.operators.stats import no_nan
 
 ITEM = "id string, en string, question string, answer string, answer_text string, options map<string,string>, n_options int, meta_info string"
 RECORD = (
@@ -24,10 +25,24 @@ def blank(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit(""))) == ""
 
 
+def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of files that hold one JSON list each, with ``file`` and ``place`` (from 0, in the file).
+
+    A file with anything else, a single object or broken JSON, gives no rows. A list is read by one task, as it can't be cut before it is parsed.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\A[\x{FEFF}\s]+", "").alias("value"))
+    lists = files.filter(F.col("value").startswith("[")).select("file", F.from_json("value", f"array<struct<{_typed(schema)}>>", {"mode": "PERMISSIVE"}).alias("x"))
+    return lists.select("file", F.posexplode("x").alias("place", "r")).filter("r is not null").select("r.*", "file", "place")
+
+
+def _typed(schema: str) -> str:
+    """``name type, ...`` as the fields of a struct type."""
+    return StructType.fromDDL(schema).simpleString().removeprefix("struct<").removesuffix(">")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Translation records of JSON array files, whole. Files that are no JSON give no rows."""
-    rows = spark.read.schema(RECORD + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter("_bad is null").drop("_bad")
+    """Translation records of JSON list files, whole, with ``file`` and ``place``."""
+    return read_list(spark, path, RECORD)
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -47,9 +62,26 @@ def finished_ids(records: DataFrame) -> DataFrame:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON file; ``question`` stands in for ``en``; the place in the file for a missing id."""
-    rows = spark.read.schema(ITEM).option("multiLine", True).json(path).withColumn("__i", F.monotonically_increasing_id())
-    return rows.select(F.coalesce("id", F.col("__i").cast("string")).alias("id"), F.coalesce("en", "question").alias("en"), "answer", "answer_text", "options", F.coalesce("n_options", F.size("options")).alias("n_options"), "meta_info")
+    """Items of a JSON list file; ``question`` stands in for ``en``; the place in the file for a missing id. ``place`` is from 0."""
+    rows = read_list(spark, path, ITEM)
+    return rows.select(F.coalesce("id", F.col("place").cast("string")).alias("id"), F.coalesce("en", "question").alias("en"), "answer", "answer_text", "options", F.coalesce("n_options", F.size("options")).alias("n_options"), "meta_info", "place")
+
+
+def find_item(items: DataFrame, wanted: str) -> DataFrame:
+    """The item that a user names (no row or one): digits are its place from 1, anything else its id, in any case."""
+    name = (wanted or "").strip()
+    if name.isdigit():
+        return items.filter(F.col("place") == int(name) - 1)
+    same = items.filter(F.lower("id") == name.lower()) if name else items.limit(0)
+    first = same.agg(F.min_by(F.struct(*items.columns), "place").alias("x")).filter("x is not null")
+    return first.select("x.*")
+
+
+def items_between(items: DataFrame, first: str, last: str) -> DataFrame:
+    """The items from one to another, both as ``find_item`` takes them, in either order; none if one isn't there."""
+    ends = find_item(items, first).select(F.col("place").alias("a")).join(find_item(items, last).select(F.col("place").alias("b")))
+    ends = ends.select(F.least("a", "b").alias("__from"), F.greatest("a", "b").alias("__to"))
+    return items.join(F.broadcast(ends), F.col("place").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")  # one row
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -77,11 +109,18 @@ def read_thresholds(spark: SparkSession, path: str | None) -> dict[str, float]:
     return {} if not path else {k: v for k, v in spark.read.option("multiLine", True).json(path).head().asDict().items() if v is not None}
 
 
+def with_line_order(rows: DataFrame, out: str = "line_order") -> DataFrame:
+    """Adds a struct that goes up with the lines of a file that was just read: its time and path, its part, the place in that part."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return rows.select("*", at.alias(out))
+
+
 def read_checkpoint(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """item_id, translator, seg_id and the score ``name``; the last of repeated keys isn't known, so the greatest stays."""
-    rows = spark.read.schema(CHECKPOINT).json(path)
+    """item_id, translator, seg_id and the score ``name``; of repeated keys the last line counts."""
+    rows = with_line_order(spark.read.schema(CHECKPOINT).json(path)).filter("key is not null")
     key = F.col("key")
-    return rows.groupBy(key[0].alias("item_id"), key[1].alias("translator"), key[2].cast("int").alias("seg_id")).agg(F.max(no_nan(F.col("value"))).alias(name))
+    last = rows.groupBy(key[0].alias("item_id"), key[1].alias("translator"), key[2].cast("int").alias("seg_id")).agg(F.max_by(F.struct("value"), "line_order").alias("x"))
+    return last.select("item_id", "translator", "seg_id", no_nan(F.col("x.value")).alias(name))
 
 
 def newest_batch(spark: SparkSession, pattern: str) -> str | None:
@@ -89,16 +128,25 @@ def newest_batch(spark: SparkSession, pattern: str) -> str | None:
     return spark.read.format("binaryFile").load(pattern).agg(F.max("path")).head()[0]
 
 
-def attach_back_translations(rows: DataFrame, back: DataFrame, order: str = "seconds") -> DataFrame:
-    """``rows`` with ``bt_raw`` filled: by item and translator, else, if the file names no translators, by item alone. Blank ones are none."""
-    text = F.when(~blank(F.col("back_en")), F.col("back_en"))
-    if "translator" in back.columns:
-        one = latest(back.select("item_id", "translator", text.alias("bt"), F.col(order).alias("o")), ["item_id", "translator"], ["o", "bt"]).select("item_id", "translator", "bt")
-        joined = rows.join(one, ["item_id", "translator"], "left")
-    else:
-        one = latest(back.select("item_id", text.alias("bt"), F.col(order).alias("o")), ["item_id"], ["o", "bt"]).select("item_id", "bt")
-        joined = rows.join(one, "item_id", "left")
-    return joined.withColumn("bt_raw", F.coalesce("bt", "bt_raw")).select(*rows.columns)
+def read_back_translations(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of back-translations as ``read_csv`` reads it, with ``line_order``."""
+    names = spark.read.option("header", True).csv(path).columns
+    return with_line_order(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)).select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in names], "line_order")
+
+
+def attach_back_translations(rows: DataFrame, back: DataFrame, order: str = "line_order") -> DataFrame:
+    """``rows`` with ``bt_raw`` filled: by item and translator, else, if the file names no translators, by item alone.
+
+    Of repeated keys the last row by ``order`` counts, even if it is empty; an empty text is none and leaves ``bt_raw`` as it is.
+    """
+    keys = ["item_id", "translator"] if "translator" in back.columns else ["item_id"]
+    text = F.when(F.col("back_en") != "", F.col("back_en"))
+    last = back.groupBy(*[F.col(k).cast("string").alias(k) for k in keys]).agg(F.max_by(F.struct(text.alias("bt")), order).alias("__x"))
+    last = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__x.bt").alias("__bt"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(k).cast("string") == F.col(f"__{k}"))
+    return rows.join(last, on, "left").withColumn("bt_raw", F.coalesce("__bt", "bt_raw")).select(*rows.columns)
 
 
 def left_to_do(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

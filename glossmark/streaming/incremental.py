@@ -1,27 +1,30 @@
-"""Scoring of arriving records as a stream: each micro-batch scores only what the results lack, so a restart repeats nothing."""
+"""Scoring of arriving records as a stream: keyed state knows what was scored, so a batch's work doesn't follow the history."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from glossmark.operators.scores import ScorerFactory, newly_scored
+from glossmark.operators.scores import ScorerFactory, scored
+from glossmark.sources.store import KEYS
 
 SEGMENT = "item_id string, translator string, seg_id int, src_en string, hyp_bn string, seg_mismatch int"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def score_stream(spark: SparkSession, source: str, results: str, checkpoint: str, name: str, factory: ScorerFactory, available_now: bool = True) -> StreamingQuery:
-    """Reads long-table files from ``source`` as they come and appends scores to ``results``, each batch in a folder of its own.
+def new_segments(rows: DataFrame) -> DataFrame:
+    """The first row of every key that has ever come. The state holds keys alone, on local disk with changes in the checkpoint."""
+    return rows.dropDuplicates(KEYS)
 
-    A batch that is repeated after a failure overwrites its folder, so its rows are there once.
-    """
-    rows = spark.readStream.schema(SEGMENT).parquet(source)
-    done_schema = f"item_id string, translator string, seg_id int, {name} double"
 
-    def write(batch: DataFrame, number: int) -> None:
-        done = batch.sparkSession.read.schema(done_schema + ", batch long").option("basePath", results).parquet(results).filter(f"batch <> {number}")
-        newly_scored(batch.dropDuplicates(["item_id", "translator", "seg_id"]), done, name, factory).write.mode("overwrite").parquet(f"{results}/batch={number}")
+def score_stream(spark: SparkSession, source: str, results: str, checkpoint: str, name: str, factory: ScorerFactory, available_now: bool = True) -> StreamingQuery:
+    """Reads long-table files from ``source`` as they come and appends item_id, translator, seg_id and the score to the Parquet table ``results``.
 
-    spark.createDataFrame([], done_schema).write.mode("append").parquet(f"{results}/batch=-1")
-    stream = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    Each segment is scored once, restarts and repeated files included: its key is in the state of the query, and the sink's log names
+    the files of whole batches, so a batch that is repeated after a failure leaves no row twice. Read ``results`` with Spark.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = new_segments(spark.readStream.schema(SEGMENT).parquet(source))
+    found = scored(rows, name, factory).select(*KEYS, name)
+    stream = found.writeStream.format("parquet").outputMode("append").option("path", results).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream).start()

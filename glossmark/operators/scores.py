@@ -22,8 +22,9 @@ def scored(long: DataFrame, name: str, factory: ScorerFactory, src: str = "src_e
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        score = factory()
+        score = None  # a task without rows loads no model
         for s, h in batches:
+            score = score or factory()
             yield pd.Series(score(s.tolist(), h.tolist()), dtype="float64")
 
     return long.filter("seg_mismatch = 0").withColumn(name, run(src, hyp))
@@ -84,8 +85,9 @@ def translated(pieces: DataFrame, translator: TranslatorFactory, column: str = "
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        translate = translator()
+        translate = None
         for b in batches:
+            translate = translate or translator()
             yield pd.Series(translate(b.tolist()), index=b.index, dtype="object")
 
     dealt = pieces.withColumn("__n", F.length(column)).repartition(F.xxhash64(*pieces.columns)).sortWithinPartitions("__n")
@@ -95,7 +97,7 @@ def translated(pieces: DataFrame, translator: TranslatorFactory, column: str = "
 def assembled(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """keys, back_en, n_chunks: the stem's parts in order, then the options under the labels that the output gave them."""
     ordered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("is_option", "place", "label", "en"))).alias("x"))
-    stem, options = (F.filter("x", lambda p, own=own: p["is_option"] == own) for own in (False, True))
+    stem, options = F.filter("x", lambda p: ~p["is_option"]), F.filter("x", lambda p: p["is_option"])
     tail = F.array_join(F.transform(options, lambda p: F.concat(p["label"], F.lit(". "), p["en"])), "\n")
     whole = text.strip(F.concat(F.array_join(F.transform(stem, lambda p: p["en"]), " "), F.lit("\n"), tail))
     return ordered.select(*keys, whole.alias("back_en"), F.size(stem).alias("n_chunks"))

@@ -238,6 +238,18 @@ def q_incremental_antijoin(spark, sf_dir):
     return left_to_do(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), done, ["l_orderkey"])
 
 
+def _capitals():
+    """A stand-in for a translator: capitals, and nothing for texts of more than 20 words."""
+    return lambda texts: [t.upper() if len(t.split()) <= 20 else "" for t in texts]
+
+
+# Sentences and their parts are beyond SQL: tests/test_whole_texts.py compares this with brute force.
+@query()
+def q_back_translation(spark, sf_dir):
+    found = scores.back_translated(pairs(spark, sf_dir), _capitals, ["item_id", "translator"], "src", "hyp")
+    return found.withColumn("back_en", F.md5("back_en"))
+
+
 # ---- decisions
 
 _HARD = "(" + " or ".join(f"{c} > 0" for c in quality.HARD_FLAGS) + " or abs(len_z) > 3.5)"
@@ -265,16 +277,62 @@ def q_decision_pivot(spark, sf_dir):
     return quality.decision_counts(quality.decide(items(spark, sf_dir), THRESHOLDS))
 
 
-@query()
+_POS, _SUM = "count(*) filter (coalesce({0}, 0) > 0)".format, "sum(coalesce({0}, 0))::bigint".format
+_SUMMARY = {
+    "records": "count(*)", "precomposed chars (items)": f"{_SUM('precomposed_n')} || ' (' || {_POS('precomposed_n')} || ')'", "option count mismatch (items)": _SUM("seg_mismatch"),
+    "items with other-script letters": "count(*) filter (other_script_n + devanagari_n + assamese_n > 0)", "items with untranslated English (words)": f"{_POS('latin_word_n')} || ' (' || {_SUM('latin_word_n')} || ')'",
+    "English gloss words": _SUM("gloss_n"), "items with a hard number miss": _POS("num_hard_n"), "items with a soft number miss": _POS("num_soft_n"), "items with duplicate options": _POS("dup_option_n"),
+    "items with length z beyond 3.5": "count(*) filter (abs(len_z) > 3.5)", "items with option_swap": _POS("option_swap_n"), "items with any hard flag": "count(*) filter (hard)",
+    "round-trip chrF mean (min)": "printf('%.1f (%.1f)', avg(roundtrip_chrf), min(roundtrip_chrf))",
+} | {f"{c} (mean over items)": f"round(avg({c}), 3)" for c in ("cometkiwi_mean", "cometkiwi_min")} | {f"decision {d}": f"nullif(count(*) filter (decision = '{d}'), 0)" for d in ("PASS", "FLAG", "REVIEW")}
+
+
+@query(f"with {_DECIDED} select * from (" + " union all ".join(f"""select '{k}' as "check", translator, ({v})::varchar as value from decided group by translator""" for k, v in _SUMMARY.items()) + ") where value is not null")
 def q_summary(spark, sf_dir):
     return quality.summary(quality.decide(items(spark, sf_dir), THRESHOLDS))
 
 
-@query()
+_CLEAN = rf"""raw as (select * from pairs), clean as (select item_id, translator, translate(src, '{_FROM}', '{_TO}') as src, len(regexp_extract_all(hyp, '{text.PRECOMPOSED}')) as precomposed_n,
+regexp_replace(translate(regexp_replace(regexp_replace(nfc_normalize(hyp), '\A{_WS}*ITEM_ID:[^\n]*\n?', ''), '\A{_WS}*QUESTION:{_WS}*', ''), '{_FROM}', '{_TO}'), '\A{_WS}+|{_WS}+\z', '', 'g') as hyp from raw)"""
+_SEGMENTS = lambda c: _SEG.replace("(text,", f"({c},")
+_QUOTED = lambda w: "'" + w.replace("'", "''") + "'"
+_WORDS_OF = "map {" + ", ".join(f"'{k}': [{', '.join(map(_QUOTED, v))}]" for k, v in checks.NUMBER_WORDS.items()) + "}"
+_ALONE = [c for c in quality.HARD_FLAGS if c != "option_swap_n"]
+
+SCORE_SQL = rf"""with {PAIRS}, {_CLEAN},
+seg as (select item_id, {_SEGMENTS(c='src')} as a, {_SEGMENTS(c='hyp')} as b from clean),
+opt as (select item_id, len(a) as n_seg_src, len(b) as n_seg_hyp, (len(a) <> len(b))::int as seg_mismatch, list_transform(b[2:], lambda p: regexp_replace(regexp_replace(p, '{_WS}+', ' ', 'g'), '\A{_WS}+|{_WS}+\z', '', 'g')) as o from seg),
+scr as (select item_id, case when len(regexp_extract_all(hyp, '\p{{L}}')) > 0 then len(list_filter(regexp_extract_all(hyp, '[\x{{980}}-\x{{9ff}}]'), lambda c: regexp_matches(c, '\p{{L}}'))) / len(regexp_extract_all(hyp, '\p{{L}}')) else 0.0 end as bengali_frac,
+ len(regexp_extract_all(hyp, '[\x{{9f0}}\x{{9f1}}]')) as assamese_n, list_filter(regexp_extract_all(hyp, '[\x{{900}}-\x{{963}}\x{{966}}-\x{{97f}}]'), lambda c: not contains(src, c)) as d, len(regexp_extract_all(hyp, '\x{{9cd}}\x{{9cd}}')) as double_virama_n,
+ list_filter(regexp_extract_all(hyp, '[\p{{L}}\p{{Nl}}\p{{No}}]'), lambda c: regexp_matches(c, '[^\x00-\x{{24f}}\x{{370}}-\x{{3ff}}\x{{900}}-\x{{9ff}}\x{{2000}}-\x{{206f}}]') and not contains(src, c)) as o,
+ list_filter(regexp_extract_all(hyp, '[\x{{370}}-\x{{3ff}}]'), lambda c: not contains(src, c) and not contains('{checks.GREEK_SYMBOLS}', c)) as g,
+ len(regexp_extract_all(hyp, '(?m)^{_WS}*[\x{{985}}-\x{{9b9}}][\x{{980}}-\x{{9ff}}]{{0,3}}[.:\x{{964}}]{_WS}')) as bn_option_labels_n from clean),
+tok as (select item_id, {_TOKENS('src')} as st, hyp from clean),
+alw as (select item_id, hyp, list_concat(list_transform(list_concat(list_concat(list_filter(st, lambda t: regexp_matches(t, '[A-Z0-9]')),
+ list_filter(flatten(list_transform(list_filter(st, lambda t: regexp_matches(t, '[A-Z0-9]')), lambda t: string_split(t, '-'))), lambda t: regexp_matches(t, '[A-Z0-9]'))),
+ list_filter(list_transform(range(1, len(st)), lambda i: case when list_contains({_UNITS}, lower(st[i])) and list_contains({_UNITS}, lower(st[i + 1])) then st[i] || st[i + 1] end), lambda t: t is not null)), lambda t: lower(t)), {_UNITS}) as allowed from tok),
+lat as (select item_id, list_filter({_TOKENS(r"regexp_replace(hyp, '\(([^()]*[A-Za-z]{2,}[^()]*)\)', ' ', 'g')")}, lambda t: length(t) > 1 and not list_contains(allowed, lower(t))) as o,
+ list_filter(flatten(list_transform(regexp_extract_all(hyp, '\(([^()]*[A-Za-z]{{2,}}[^()]*)\)', 1), lambda g: {_TOKENS('g')})), lambda t: length(t) > 1 and not list_contains(allowed, lower(t))) as g from alw),
+num as (select item_id, hyp, list_sort({_NUM.format('src')}) as s, {_NUM.format(f"translate(hyp, '{text.BENGALI_DIGITS}', '0123456789')")} as h from clean),
+mis as (select item_id, s, list_filter(s, lambda n: not list_contains(h, n) and len(list_filter(coalesce(({_WORDS_OF})[n], []), lambda w: contains(hyp, w))) = 0) as x from num),
+har as (select *, len(list_filter(x, lambda n: contains(n, '.') or length(n) >= 3)) as hard from mis),
+one as (select c.item_id, c.translator, c.precomposed_n, opt.seg_mismatch, n_seg_src, n_seg_hyp, length(hyp) / greatest(length(src), 1) as ratio, bengali_frac, assamese_n, len(scr.d) as devanagari_n, double_virama_n, len(scr.o) + len(scr.g) as other_script_n,
+ array_to_string(list_sort(list_distinct(list_concat(list_concat(scr.o, scr.g), scr.d))), '') as other_script_chars, bn_option_labels_n, len(lat.o) as latin_word_n, array_to_string(lat.o, ' ') as latin_words, len(lat.g) as gloss_n,
+ len(s) as num_src, len(x) as num_missing, hard as num_hard_n, len(x) - hard as num_soft_n, array_to_string(x, ' ') as num_missing_list, case when len(s) > 0 then 1 - len(x) / len(s) else 1.0 end as num_recall, len(opt.o) - len(list_distinct(opt.o)) as dup_option_n
+ from clean c join opt on opt.item_id = c.item_id join scr on scr.item_id = c.item_id join lat on lat.item_id = c.item_id join har on har.item_id = c.item_id),
+med as (select translator, median(ratio) as m from one group by 1), dev as (select one.translator, median(abs(ratio - m)) as d from one join med on med.translator = one.translator group by 1),
+z as (select one.*, case when d = 0 then 0.0 else (ratio - m) / (1.483 * d) end as z from one join med on med.translator = one.translator join dev on dev.translator = one.translator),
+h as (select *, ({" or ".join(f"{c} > 0" for c in _ALONE)} or abs(z) > 3.5) as hard from z)
+select * exclude (ratio, z, hard, bengali_frac, num_recall), round(ratio, 6) as len_ratio, round(bengali_frac, 6) as bengali_frac, round(num_recall, 6) as num_recall, round(z, 6) as len_z, null::double as roundtrip_chrf,
+case when hard then 'FLAG' when num_soft_n > 0 then 'REVIEW' else 'PASS' end as decision,
+concat_ws(';', {", ".join(f"case when {c} > 0 then 'hard:{c}' end" for c in _ALONE)}, case when abs(z) > 3.5 then 'hard:len_z' end, case when num_soft_n > 0 and not hard then 'soft:num_soft_n' end) as decision_reason from h"""
+
+
+@query(SCORE_SQL)
 def q_score_pairs(spark, sf_dir):
     """The whole scoring job over conversation pairs, to one explained decision for each item."""
     p = pairs(spark, sf_dir).select("item_id", "translator", F.col("src").alias("src_raw"), F.col("hyp").alias("hyp_raw"), F.lit(None).cast("string").alias("bt_raw"))
-    return quality.decide(quality.item_table(quality.prepared(p)))
+    return quality.decide(quality.item_table(quality.prepared(p))).withColumns({c: r6(c) for c in ("len_ratio", "bengali_frac", "num_recall", "len_z")})
 
 
 @query(f"with {ITEMS} select item_id, round(abs({_PCT.format(c='cometkiwi_mean')} - {_PCT.format(c='metricx_mean')}), 6) as rank_gap from items")
@@ -313,7 +371,13 @@ def q_anchor(spark, sf_dir):
     return quality.anchors(df, sampling.draw_by_stratum(df, "translator", "item_id", 50), "item_id").select("item_id")
 
 
-@query()
+@query(f"""with {ITEMS}, scored as (select * from items where cometkiwi_min is not null),
+rand as (select * from scored qualify row_number() over (partition by translator order by {_O}, item_id) <= 150 // (select count(distinct translator) from scored)),
+rest as (select * from scored where item_id not in (select item_id from rand)),
+pool as (select * from rest order by cometkiwi_min, item_id limit (select greatest(25, count(*) // 10) from rest)), worst as (select * from pool order by {_O}, item_id limit 25),
+rest2 as (select * from rest where item_id not in (select item_id from worst)), g as (select *, abs({_PCT.format(c='cometkiwi_mean')} - {_PCT.format(c='metricx_mean')}) as gap from rest2),
+apart as (select * from g where gap is not null order by gap desc, item_id limit 25)
+select item_id, translator, 'random' as part from rand union all select item_id, translator, 'targeted_worst' from worst union all select item_id, translator, 'targeted_disagree' from apart""")
 def q_sample(spark, sf_dir):
     return quality.sample(items(spark, sf_dir), "item_id").select("item_id", "translator", "part")
 

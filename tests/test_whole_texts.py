@@ -2,10 +2,11 @@
 
 import collections
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
-from glossmark.functions import checks
+from glossmark.functions import checks, text
 from glossmark.functions.chrf import chrf, chrf_relational
 from glossmark.plans import quality
 from glossmark.plans.queries import QUERIES
@@ -123,3 +124,48 @@ def test_checks_read_the_tables(spark, tmp_path):
     assert leaks[2000].other_script_n == 0
     problems = {r.item_id: r.problem for r in QUERIES["q_answer_key"](spark, str(tmp_path)).collect()}
     assert problems == {1000: "answer_option_missing_E", 2000: None}  # keys E and I
+
+
+def brute_sentences(text):
+    """The pieces of a text by its sentences, and those of at most 20 words by which a model takes it."""
+    lines = [s.strip() for line in text.split("\n") for s in re.split(r"(?<=[।?])\s*", line) if s.strip()]
+    whole = [p.strip() for s in lines for p in (re.split(r"(?<=\.)\s+", s) if len(s.split()) > 45 else [s]) if p.strip()]
+    parts = []
+    for s in (s.strip() for line in text.split("\n") for s in re.split(r"(?<=[।?!])\s*", line) if s.strip()):
+        if len(s.split()) <= 20:
+            parts.append(s)
+            continue
+        packed, cur = [], ""
+        for p in re.split(r"(?<=[;,।])\s+", s):
+            if cur and len(f"{cur} {p}".split()) > 20:
+                packed.append(cur)
+                cur = p
+            else:
+                cur = f"{cur} {p}".strip()
+        parts += [" ".join(c.split()[i : i + 20]) for c in [*packed, cur] for i in range(0, len(c.split()), 20)]
+    return whole, parts
+
+
+def test_sentences_and_chunks_of_whole_texts(spark, sf_dir):
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    got = QUERIES["q_sentence_chunks"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        whole, parts = brute_sentences(texts[r.conv_id, r.turn])
+        assert (r.n_sentences, r.n_chunks, r.most_words) == (len(whole), len(parts), max((len(p.split()) for p in parts), default=None))
+
+
+def test_back_translation_of_whole_texts(spark, sf_dir):
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    got = {r.item_id: r for r in QUERIES["q_back_translation"](spark, sf_dir).collect()}
+    for (c, t), user in turns.items():
+        reply = turns.get((c, t + 1))
+        if user.role != "user" or reply is None or reply.role != "assistant" or re.search(r"(?m)^\s*([A-L]|[অ-হ][ঀ-৿]{0,3})[.:।]\s", reply.text):
+            continue
+        r, size = got[c * 1000 + t], max(1, len(user.text))
+        hyp = reply.text.translate(str.maketrans(text.SYMBOLS_FROM, text.SYMBOLS_TO)).strip()
+        assert r.retry in (0, 1) and abs(r.len_ratio * size - round(r.len_ratio * size)) < size / 1000
+        if r.retry:
+            _, parts = brute_sentences(hyp)
+            assert (r.n_chunks, r.back_en) == (len(parts), hashlib.md5(" ".join(p.upper() for p in parts).strip().encode()).hexdigest())
+    assert any(r.retry for r in got.values())

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Generator, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -19,8 +19,8 @@ from glossmark.llm.common import materialize
 MIN_PAGES = 3
 #: A block inside the main roots must also stand in at least this share of its host's different main texts.
 MAIN_SHARE = 0.5
-#: Elements nest up to this depth, as in browsers; deeper ones stand beside each other, with all their text.
-MAX_DEPTH = 512
+#: Candidates that are counted around a text, from the outside: one nested deeper goes with those around it, and not by itself.
+MAX_NESTED = 512
 #: Up to so many template keys are broadcast; more are joined by shuffling.
 MAX_BROADCAST_KEYS = 200_000
 #: Parts that the rows of a host are dealt to, so that one host never meets in one task.
@@ -120,7 +120,7 @@ def parse(page: str) -> Node:
     """A tree of the page. Missing and stray end tags are mended as browsers do in the common cases; no input fails."""
     root = Node("html")
     stack, done, n = [root], 0, len(page)
-    open_names: Counter[str] = Counter()
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of each name
     inline: list[Counter[str]] = [Counter()]  # open elements since each open block
 
     def text(a: int, b: int) -> None:
@@ -130,12 +130,15 @@ def parse(page: str) -> Node:
     def close(depth: int) -> None:
         while len(stack) > depth:
             gone = stack.pop().name
-            open_names[gone] -= 1
+            open_at[gone].pop()
             if gone in BLOCKS:
                 inline.pop()
             else:
                 inline[-1][gone] -= 1
 
+    def last_of(names: Iterable[str]) -> int:
+        return max((open_at[x][-1] for x in names if open_at[x]), default=0)
+
     found = tokens(page)
     token = next(found, None)
     while token is not None:
@@ -146,26 +149,13 @@ def parse(page: str) -> Node:
             pass
         elif attrs is None:
             # An inline end tag doesn't close the block that it stands in.
-            if open_names[name] if name in BLOCKS else inline[-1][name]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        close(depth)
-                        break
+            if open_at[name] if name in BLOCKS else inline[-1][name]:
+                close(open_at[name][-1])
         else:
-            if name in CLOSES_P and open_names["p"]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == "p":
-                        close(depth)
-                        break
-                    if stack[depth].name in SCOPES:
-                        break
-            if name in SIBLINGS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name in SIBLINGS[name]:
-                        close(depth)
-                        break
-                    if stack[depth].name in SCOPES - set(SIBLINGS[name]):
-                        break
+            if name in CLOSES_P and open_at["p"] and open_at["p"][-1] > last_of(SCOPES):
+                close(open_at["p"][-1])
+            if name in SIBLINGS and (at := last_of(SIBLINGS[name])) > last_of(SCOPES.difference(SIBLINGS[name])):
+                close(at)
             node = Node(name, name in NEVER_TEXT and name != "form", name == "form")
             for k, *v in _ATTR.findall(attrs) if attrs else ():
                 k, v = k.lower(), "".join(v)
@@ -178,9 +168,9 @@ def parse(page: str) -> Node:
                 close_tag = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|$)", re.IGNORECASE).search(page, end)
                 node.children.append(page[end : close_tag.start() if close_tag else n])
                 done = jump = close_tag.end() if close_tag else n
-            elif name not in VOID and not attrs.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+            elif name not in VOID and not attrs.rstrip().endswith("/"):
+                open_at[name].append(len(stack))
                 stack.append(node)
-                open_names[name] += 1
                 if name in BLOCKS:
                     inline.append(Counter())
                 else:
@@ -278,6 +268,16 @@ def may_go(node: Node, n_roots: int) -> bool:
     return bool(node.n_text) and node.name in BLOCKS and node.name not in ("html", "body") and not (node.main and n_roots == 1)
 
 
+def outer(root: Node, n_roots: int) -> Iterator[Node]:
+    """The elements that counting may delete, but for those that are nested too deeply in others."""
+    nested = 0
+    for node, first in walk(root):
+        if may_go(node, n_roots):
+            nested += 1 if first else -1
+            if first and nested <= MAX_NESTED:
+                yield node
+
+
 def candidates(root: Node) -> dict[int, int]:
     """Tagged keys of the subtrees that template counting may delete, each with the main text that it is counted for.
 
@@ -290,9 +290,9 @@ def candidates(root: Node) -> dict[int, int]:
     strict: list[tuple[int, int, int]] = []  # key, first and last place
     own: list[tuple[int, str, int]] = []  # length, text, place
     blocks: list[tuple[int, list[str]]] = []
-    inside = aside = place = 0
+    inside = aside = place = nested = 0
     if not roots:
-        return {tagged(n, False): whole for n, first in walk(root) if first and may_go(n, 0)}
+        return {tagged(n, False): whole for n in outer(root, 0)}
     stack: list[tuple[Node | str, bool]] = [(root, True)]
     begins: list[int] = []
     while stack:
@@ -305,6 +305,7 @@ def candidates(root: Node) -> dict[int, int]:
         if first:
             inside += item.main
             aside += item.beside
+            nested += may_go(item, len(roots))
             if block and inside:
                 place += 1
                 blocks.append((place, []))
@@ -317,7 +318,8 @@ def candidates(root: Node) -> dict[int, int]:
             at, parts = blocks.pop()
             if t := _SPACES.sub(" ", "".join(parts)).strip():
                 own.append((len(t), t, at))
-        if may_go(item, len(roots)):
+        nested -= may_go(item, len(roots))
+        if may_go(item, len(roots)) and nested < MAX_NESTED:
             key = tagged(item, bool(inside))
             if key & 1:
                 strict.append((key, begin, place))
@@ -353,6 +355,7 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
     out: list[tuple[list[str], list[int]]] = []
     parts: list[str] = []
     around: list[int] = []
+    nested = 0
 
     def end_block() -> None:
         line = _SPACES.sub(" ", "".join(parts)).strip()
@@ -375,7 +378,9 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
         if not first:
             end_block()
             if guarded:
-                around.pop()
+                nested -= 1
+                if nested < MAX_NESTED:
+                    around.pop()
             continue
         if item.beside and item is not root:
             if item.name in BLOCKS:
@@ -386,7 +391,9 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
         if item.name in BLOCKS:
             end_block()
             if guarded:
-                around.append(tagged(item, bool(roots)))
+                nested += 1
+                if nested <= MAX_NESTED:
+                    around.append(tagged(item, bool(roots)))
             stack.append((item, False))
         stack.extend((c, True) for c in reversed(item.children))
     end_block()

@@ -540,6 +540,13 @@ def test_html_of_any_kind_is_read_in_linear_time(page):
     assert seconds(page(100_000)) < 6 * min(seconds(page(25_000)) for _ in range(2)) + 1
 
 
+@pytest.mark.parametrize("depth", [10, 600, 50_000])
+def test_html_of_any_depth_leaves_menus_out(depth):
+    page = "<div>" * depth + "<nav>MENU<p>more</p></nav><p>body<ul><li>one<li>two</ul><footer>FOOT</footer>" + "</div>" * depth + "<p>end"
+    assert html_text.main_text(html_text.tree_of(page), frozenset()) == "body\none\ntwo\nend"
+    assert html_text.candidates(html_text.tree_of(page))
+
+
 def test_html_tokens():
     page = "a < b <p class='x > y'>One<br/>two</p><!-- <p>no --><script>if (a < b) '<p>'</script><q title=\"open>three</q><![CDATA[ <p> ]]>4"
     root = html_text.tree_of(page)

@@ -152,7 +152,8 @@ def trained(spark: SparkSession, rows: int = TRAINING_ROWS, epochs: int = EPOCHS
 def active_windows(text: str) -> np.ndarray:
     """Starts of the windows on a fixed grid that hold a digit or an at sign.
 
-    Every kind needs one of these characters (``plausible`` drops spans without one), so the other windows can't add spans.
+    Every kind needs one of these characters (``plausible`` drops spans without one), so a span that counts lies in these windows or goes on
+    from them into their neighbours, which ``tagged_spans`` then decodes, too.
     """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     at = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
@@ -185,20 +186,28 @@ def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 2048) -> list[li
     jobs = [(i, int(s)) for i, t in enumerate(texts) if t and (_DIGIT.search(t) or "@" in t) for s in active_windows(t)]
     ids = {i: char_ids(texts[i]) for i in {i for i, _ in jobs}}
     tags = {i: np.zeros(len(x), np.int8) for i, x in ids.items()}
-    half = OVERLAP // 2
-    for a in range(0, len(jobs), batch):
-        part = jobs[a : a + batch]
-        chars = np.zeros((len(part), WINDOW), np.int16)
-        for k, (i, s) in enumerate(part):
-            piece = ids[i][s : s + WINDOW]
-            chars[k, : len(piece)] = piece
-        for (i, s), got in zip(part, tagger.decode(chars)):
-            # The grid's windows overlap by OVERLAP; each owns its part up to the middle of the overlaps.
-            lo, hi = (0 if s == 0 else half), WINDOW - half
-            end = min(len(tags[i]), s + hi)
-            tags[i][s + lo : end] = got[lo : end - s]
-            if len(tags[i]) > end and len(tags[i]) <= s + WINDOW:
-                tags[i][end:] = got[end - s : len(tags[i]) - s]
+    half, stride = OVERLAP // 2, WINDOW - OVERLAP
+    done = set(jobs)
+    while jobs:
+        met = set()
+        for a in range(0, len(jobs), batch):
+            part = jobs[a : a + batch]
+            chars = np.zeros((len(part), WINDOW), np.int16)
+            for k, (i, s) in enumerate(part):
+                piece = ids[i][s : s + WINDOW]
+                chars[k, : len(piece)] = piece
+            for (i, s), got in zip(part, tagger.decode(chars)):
+                # The grid's windows overlap by OVERLAP; each owns its part up to the middle of the overlaps.
+                n, begin = len(tags[i]), s + (0 if s == 0 else half)
+                end = n if n <= s + WINDOW else s + WINDOW - half
+                tags[i][begin:end] = got[begin - s : end - s]
+                # A span at the edge of what a window owns goes on in the next one.
+                if s and begin < n and tags[i][begin]:
+                    met.add((i, s - stride))
+                if end < n and tags[i][end - 1]:
+                    met.add((i, s + stride))
+        jobs = sorted(met - done)
+        done |= met
     out: list[list] = [[] for _ in texts]
     for i, t in tags.items():
         text = texts[i]

@@ -442,6 +442,16 @@ def test_tagger_on_held_out_rows(spark):
     assert {(k, a - len(text), b - len(text)) for k, a, b in pii.tagged_spans(tagger, [long])[0]} & set(rows[0][1])
 
 
+def test_windows_that_are_skipped_change_nothing(spark, monkeypatch):
+    tagger, rng = pii.trained(spark), random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [f"{word(rng.randrange(30))} {word(n)}@{word(m)}.com {word(rng.randrange(90))} tel {'7' * k} {word(n)}" for n in (1, 60, 130, 200, 400) for m in (3, 150) for k in (7, 90)]
+    texts += ["palabra " * 60 + t for t, _ in pii.labelled_rows(40, 98)]
+    some = pii.tagged_spans(tagger, texts)
+    monkeypatch.setattr(pii, "active_windows", lambda t: np.arange(0, len(t), pii.WINDOW - pii.OVERLAP))
+    assert some == pii.tagged_spans(tagger, texts)
+
+
 @pytest.mark.parametrize("find", [secrets.find_secrets, pii.find_pii])
 def test_scans_odd(spark, find):
     out = by_id(find(odd_docs(spark)))

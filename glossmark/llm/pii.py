@@ -80,8 +80,10 @@ def labelled_rows(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int
         return (w.capitalize() if rng.random() < 0.1 else w) + pick(["", "", "", "", ".", ","])
 
     def email() -> str:
-        local = letters(int(rng.integers(2, 9))) + pick(["", ".", "_", "-", "+"]) + pick([digits(2), letters(4), ""])
-        return f"{local.rstrip('._-+')}@{letters(int(rng.integers(3, 9)))}{pick(['', digits(1)])}.{pick(['com', 'org', 'net', 'example.com', 'de'])}"
+        part = lambda lo, hi: letters(int(rng.integers(lo, hi)))
+        local = pick(["", "", digits(1)]).join([part(1, 9), *(pick("._-+") + part(1, 7) for _ in range(pick([0, 0, 1, 1, 2])))]) + pick(["", "", digits(2), digits(4)])
+        host = part(2, 9) + pick(["", "", "", digits(1), "-" + part(2, 7)])
+        return f"{local}@{host}{pick(['', '', '.' + part(2, 8)])}.{pick(['com', 'org', 'net', 'de', part(2, 5), part(2, 4) + '.' + part(2, 3)])}"
 
     def card() -> str:
         body = pick("3456") + digits(14)

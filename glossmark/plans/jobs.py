@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from glossmark.functions import text
+from glossmark.functions import checks, text
 from glossmark.functions.chrf import chrf
 from glossmark.operators import sampling, scores, stats
 from glossmark.plans import quality
@@ -127,6 +128,78 @@ def score_records(spark: SparkSession, json: str, out: str, back: str | None = N
     return decided
 
 
+# ---- translation
+
+#: A model server: made once in each worker, then called with a prompt; gives text, done_reason, load_ns, eval_count and eval_ns, or raises.
+ServerFactory = Callable[[], Callable[[str], Mapping]]
+# Fixed value: the prompt where there is no prompt file.
+FALLBACK_PROMPT = "Translate the following English medical exam item into Bangla. Return only the Bangla translation and nothing else.\n\n{text}"
+FAILURES_IN_A_ROW = 3
+_META = ("answer", "answer_text", "n_options", "meta_info")
+
+
+def translate(items: DataFrame, server: ServerFactory, model: str, prompt_file: str = "", template: str | None = None, num_ctx: int | None = None) -> DataFrame:
+    """Translation records of items (as ``readers.read_items`` gives them), each with its problems and what the call took.
+
+    Items are dealt to tasks by ranges of their place and asked for in order. After ``FAILURES_IN_A_ROW`` errors or empty outputs in a row a
+    task gives up: its other items have no record and are left to the next run.
+    """
+    ready = items.select("id", *_META, "place", F.coalesce("en", F.lit("")).alias("english")).withColumn("prompt", text.prompt(template or FALLBACK_PROMPT, F.col("id"), F.col("english")))
+    calls = "bangla string, done_reason string, load_ns long, eval_count long, eval_ns long, seconds double, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, failed = None, 0
+        for b in batches:
+            rows = []
+            for prompt in b["prompt"]:
+                if failed >= FAILURES_IN_A_ROW:
+                    break
+                ask, start = ask or server(), time.monotonic()
+                try:
+                    got = ask(prompt)
+                    row = (got.get("text", ""), got.get("done_reason", ""), got.get("load_ns"), got.get("eval_count"), got.get("eval_ns"))
+                    error = ""
+                except Exception as e:
+                    row, error = ("", "", None, None, None), str(e) or type(e).__name__
+                failed = failed + 1 if error or not row[0].strip() else 0
+                rows.append((*row, round(time.monotonic() - start, 1), error))
+            out = b.iloc[: len(rows)].drop(columns="prompt")
+            for name, values in zip((c.split()[0] for c in calls.split(", ")), zip(*rows) if rows else [[]] * 7):
+                out[name] = pd.array(values, dtype="Int64") if name in ("load_ns", "eval_count", "eval_ns") else list(values)
+            yield out
+
+    dealt = ready.repartitionByRange("place").sortWithinPartitions("place")
+    schema = ", ".join(f"{n} {k}" for n, k in ready.drop("prompt").dtypes) + ", " + calls
+    done = dealt.mapInPandas(run, schema)
+    problems = F.concat(
+        checks.write_time_problems(F.col("english"), F.col("bangla"), F.col("done_reason"), F.col("eval_count")),
+        F.array_compact(F.array(checks.answer_key_problem(F.col("answer"), F.col("bangla")))),
+    )
+    good = F.col("error") == ""
+    return done.select(
+        F.col("id").alias("item_id"), *_META, F.lit(model).alias("model"), F.lit(prompt_file).alias("prompt_file"), F.lit(str(num_ctx) if num_ctx else "model default").alias("num_ctx"), F.lit(0.0).alias("temperature"),
+        "seconds", F.when(good, text.timing_note(F.col("load_ns"), F.col("eval_count"), F.col("eval_ns"))).otherwise("").alias("timing"), "done_reason",
+        F.when(good, problems).otherwise(F.array().cast("array<string>")).alias("problems"), "english", "bangla", "error",
+    )
+
+
+def translate_batch(items: DataFrame, out: str, server: ServerFactory, model: str, before: DataFrame | None = None, again: bool = False, **how) -> dict[str, int]:
+    """Translates the items that the records ``before`` lack a good output for (all of them if ``again``) and writes all records to ``out``.
+
+    Records of items that run anew give way to the new ones. Returns ran, bad (with an error or problems) and in_file, counted on the way.
+    """
+    todo = items if before is None or again else items.join(readers.finished_ids(before).select(F.col("item_id").alias("id")), "id", "left_anti")
+    seen = Observation("batch")
+    new = translate(todo, server, model, **how).observe(seen, F.count(F.lit(1)).alias("ran"), F.count_if((F.col("error") != "") | (F.size("problems") > 0)).alias("bad"))
+    new.write.parquet(f"{out}/new")
+    rows = items.sparkSession.read.parquet(f"{out}/new")
+    if before is not None:
+        rows = readers.upsert(before.select(*[c for c in before.columns if c in rows.columns]), rows, ["item_id"])
+    kept = Observation("kept")
+    rows.observe(kept, F.count(F.lit(1)).alias("n")).write.parquet(f"{out}/records")
+    return {"ran": int(seen.get["ran"]), "bad": int(seen.get["bad"]), "in_file": int(kept.get["n"])}
+
+
 # ---- sample
 
 

@@ -210,6 +210,43 @@ def test_records_to_decided_items(spark, tmp_path):
     assert tuple(spark.read.json(f"{tmp_path}/out/counts").select("n", "n_error", "n_blank").head()) == (7, 1, 1)
 
 
+# ---- translation
+
+
+def server():
+    def ask(prompt):
+        name = prompt.split("ITEM_ID: ")[1].split("\n")[0]
+        if "boom" in prompt:
+            raise RuntimeError("no answer")
+        if "blank" in prompt:
+            return {"text": " ", "done_reason": "stop", "eval_count": 0}
+        return {"text": f"QUESTION: {'ক' * 25} {name}", "done_reason": "length" if "long" in prompt else "stop", "eval_count": 5, "eval_ns": 2_000_000_000, "load_ns": 250_000_000}
+
+    return ask
+
+
+def test_a_batch_of_translations(spark, tmp_path):
+    bodies = ["one", "boom", "boom two", "long", "three\nA. x\nB. y", "boom", "blank", "boom again", "never", "never too"]
+    put(tmp_path / "items.json", json.dumps([{"id": f"q{i}", "en": b, "answer": "A"} for i, b in enumerate(bodies)]))
+    items = readers.read_items(spark, f"{tmp_path}/items.json").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        counts = jobs.translate_batch(items, f"{tmp_path}/a", server, "m", prompt_file="p1")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    recs = {r.item_id: r for r in spark.read.parquet(f"{tmp_path}/a/records").collect()}
+    assert sorted(recs) == [f"q{i}" for i in range(8)] and counts == {"ran": 8, "bad": 8, "in_file": 8}  # gives up after three failures in a row
+    assert (recs["q1"].error, recs["q1"].problems, recs["q1"].timing, recs["q1"].bangla) == ("no answer", [], "", "")
+    assert recs["q0"].problems == ["answer_option_missing_A"] and recs["q0"].timing == "load 0.2s, 5 tokens at 2.5 per second"
+    assert recs["q3"].problems == ["stopped_length", "answer_option_missing_A"] and recs["q6"].problems == ["empty_output"]
+    assert recs["q4"].problems == ["option_count_0_vs_2", "answer_option_missing_A"] and recs["q4"].num_ctx == "model default"
+    before = spark.read.parquet(f"{tmp_path}/a/records")
+    mended = items.withColumn("en", F.regexp_replace("en", "boom|blank", "mended"))
+    counts = jobs.translate_batch(mended, f"{tmp_path}/b", server, "m", before)
+    assert counts == {"ran": 7, "bad": 7, "in_file": 10}  # q0, q3 and q4 have an output already
+    assert all(not r.error for r in spark.read.parquet(f"{tmp_path}/b/records").collect())
+
+
 # ---- back-translation
 
 

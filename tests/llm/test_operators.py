@@ -678,7 +678,7 @@ def test_url_model_on_held_out_hosts(spark):
 
 def test_oracles(spark, sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     found = queries.queries()
     for name, sql in queries.oracle_sql().items():

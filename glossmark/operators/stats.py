@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmark.operators.sampling import order_hash
+from glossmark.sources.shared import materialize
 
 #: Values of a range, about; ranges at least, and at most, where a range of very many values has its share of them.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 50_000, 8, 512
+#: Draws that a task of a resample makes, about.
+TASK_DRAWS = 1 << 20
 #: Leading hex digits of a shuffled place (``sampling.order_hash``) that make its range: 4,096 ranges, even by the hash.
 HASH_DIGITS = 3
 
@@ -95,7 +98,10 @@ def with_average_rank(df: DataFrame, value: str, out: str, percent: bool = False
 
     Ranks come from counts by value: partial sums on each task, then windows over ranges of values.
     """
-    ranks = _average_ranks(df, value, by or [], F.lit(1) if weight is None else weight)
+    return _with_ranks(df, _average_ranks(df, value, by or [], F.lit(1) if weight is None else weight), value, out, percent, by)
+
+
+def _with_ranks(df: DataFrame, ranks: DataFrame, value: str, out: str, percent: bool = False, by: list[str] | None = None) -> DataFrame:
     rank = F.col("__r") / F.col("__n_all") if percent else F.col("__r")
     ranks = ranks.select(*[F.col(k).alias(f"__k_{k}") for k in by or []], F.col(value).alias("__v"), rank.alias(out))
     on = F.col(value) == F.col("__v")
@@ -168,7 +174,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, weight:
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(w).alias("c"))
-    ranked = with_average_rank(with_average_rank(cells, "x", "rx", by=by, weight=F.col("c")), "y", "ry", by=by, weight=F.col("c"))
+    # Both ranks come from the cells themselves, so that those of y don't wait for the join with those of x.
+    rx, ry = (_average_ranks(cells, v, by, F.col("c")) for v in ("x", "y"))
+    ranked = _with_ranks(_with_ranks(cells, rx, "x", "rx", by=by), ry, "y", "ry", by=by)
     s = lambda v: F.sum(F.col("c") * v)
     rx, ry = F.col("rx"), F.col("ry")
     sums = ranked.groupBy(*by).agg(F.sum("c").alias("n"), *[s(v).alias(k) for k, v in (("sx", rx), ("sy", ry), ("sxx", rx * rx), ("syy", ry * ry), ("sxy", rx * ry))])
@@ -329,10 +337,25 @@ def replicates(df: DataFrame, key: str, n_boot: int, seed: int = 42) -> DataFram
     """Each row for every replicate that draws it, with ``rep`` and ``copies``: a Poisson variable of mean 1 from a hash of replicate and key.
 
     No row is numbered, moved or counted for it, so a resample of any size is one pass; its size is that of the table on average.
+    The digits of the hash come out of a generator, as they would be hashed anew for each of the comparisons if they were a plain column.
     """
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    return rows.withColumn("__u", drawn).withColumn("copies", sum((F.when(F.col("__u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))).filter("copies > 0").drop("__u")
+    drawn = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13)
+    rows = rows.withColumn("__u", F.explode(F.array(drawn)))
+    copies = sum((F.when(F.col("__u") >= f"{p:013x}", 1).otherwise(0) for p in POISSON[1:]), F.lit(1))
+    return rows.filter(F.col("__u") >= f"{POISSON[0]:013x}").withColumn("copies", copies).drop("__u")
+
+
+def drawn_cells(df: DataFrame, x: str, y: str, key: str, n_boot: int, seed: int = 42) -> DataFrame:
+    """rep, x, y, copies: what each replicate draws of every pair of values, counted once and written.
+
+    Rows go to tasks by ranges of (x, y, key) first, so that a task meets few pairs of values and counts nearly all draws of a pair itself,
+    while rows of a frequent pair still go to many tasks.
+    """
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    n_tasks = max(MIN_RANGES, -(-rows.count() * n_boot // TASK_DRAWS))
+    drawn = replicates(rows.repartitionByRange(n_tasks, "x", "y", "k"), "k", n_boot, seed)
+    return materialize(drawn.groupBy("rep", "x", "y").agg(F.sum("copies").alias("copies")), "draws")
 
 
 def interval(values: DataFrame, value: str) -> DataFrame:
@@ -343,10 +366,9 @@ def interval(values: DataFrame, value: str) -> DataFrame:
 def bootstrap(df: DataFrame, x: str, y: str, key: str, n_boot: int, seed: int = 42, statistic: Callable[..., DataFrame] = spearman) -> DataFrame:
     """n_boot_used, lo, hi of ``spearman`` or ``kendall`` (both with weights); replicates without two values of each are left out.
 
-    Partial sums make cells of each task's draws before they are shuffled.
+    The statistic reads its cells several times, for ranges, ranks and sums; they are drawn once.
     """
-    rows = replicates(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")), "k", n_boot, seed)
-    found = statistic(rows, "x", "y", ["rep"], "copies")
+    found = statistic(drawn_cells(df, x, y, key, n_boot, seed), "x", "y", ["rep"], "copies")
     return interval(found, found.columns[-1])
 
 

@@ -166,6 +166,21 @@ def test_resampling_equals_brute_force(spark, ranges):
     assert got.n_boot_used == n_boot and np.allclose([got.recall_lo, got.recall_hi, got.precision_lo, got.precision_hi], want.T.ravel())
 
 
+def test_a_resample_is_drawn_once(spark):
+    df = spark.createDataFrame(rows_of("few-hot", 60), SCHEMA)
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(stats.replicates(df, "id", 5)).count("md5(") == 1
+    given = []
+
+    def statistic(rows, x, y, by, weight):
+        given.append(rows)
+        return stats.spearman(rows, x, y, by, weight)
+
+    stats.bootstrap(df, "x", "y", "id", 5, statistic=statistic)
+    assert "md5(" not in plan(given[0])  # what the statistic reads many times is a table
+    assert given[0].count() == given[0].select("rep", "x", "y").distinct().count()
+
+
 def test_cross_validation(spark, ranges):
     rows = [r for r in rows_of("hot-few", 150) if r[1] is not None]
     digest = digests(spark, [str(r[0]) for r in rows])

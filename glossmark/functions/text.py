@@ -55,19 +55,19 @@ def clean_output(text: Column) -> Column:
     return strip(normalise_symbols(body))
 
 
-def _cut(text: Column) -> Column:
+def cut_at_labels(text: Column) -> Column:
+    """The stem, then the options, each with its label and a mark in front."""
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, ""), rf"(?dm)^{WS}*({LABEL})[.:।]{WS}", f"{_OPEN}$1{_CLOSE}")
     return F.split(marked, _OPEN)
 
 
 def segments(text: Column) -> Column:
     """The stem (always there, perhaps empty) and the options, labels dropped."""
-    return F.transform(_cut(text), lambda p: strip(F.regexp_replace(p, f"\\A[^{_CLOSE}]*{_CLOSE}", "")))
+    return F.transform(cut_at_labels(text), lambda p: strip(F.regexp_replace(p, f"\\A[^{_CLOSE}]*{_CLOSE}", "")))
 
 
-def labelled_segments(text: Column) -> Column:
-    """A struct of the stem and the options as structs of label and text."""
-    parts = _cut(text)
+def labelled_segments(parts: Column) -> Column:
+    """A struct of the stem and the options as structs of label and text, of what ``cut_at_labels`` gives."""
     option = lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("label"), strip(F.substring_index(p, _CLOSE, -1)).alias("text"))
     return F.struct(strip(parts[0]).alias("stem"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), option).alias("options"))
 
@@ -87,7 +87,8 @@ def ascii_digits(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\s\x1c-\x1f\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"))
+    """Runs without white space; null stays null. By splitting, as counting matches of a pattern takes about three times as long."""
+    return F.array_size(F.array_remove(F.split(text, rf"{WS}+"), ""))
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -104,14 +105,19 @@ def sentences(text: Column, long_words: int = 45) -> Column:
 def chunks(sentence: Column, max_words: int) -> Column:
     """A sentence in parts of at most ``max_words`` words: packed greedily at ``; ,`` and danda, then cut by words."""
     parts = F.split(F.regexp_replace(sentence, rf"([;,।]){WS}+", f"$1{_OPEN}"), _OPEN)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    counted = F.transform(parts, lambda p: F.struct(strip(p).alias("t"), word_count(p).alias("n")))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def pack(state: Column, part: Column) -> Column:
-        joined = strip(F.concat(state["cur"], F.lit(" "), part))
-        full = (state["cur"] != "") & (word_count(joined) > max_words)
-        return F.struct(F.when(full, F.array_append(state["done"], strip(state["cur"]))).otherwise(state["done"]).alias("done"), F.when(full, part).otherwise(joined).alias("cur"))
-
-    packed = F.aggregate(parts, empty, pack, lambda s: F.when(s["cur"] != "", F.array_append(s["done"], strip(s["cur"]))).otherwise(s["done"]))
+        # Words are counted once for each part: those of joined parts are their sum.
+        full = (state["cur"] != "") & (state["n"] + part["n"] > max_words)
+        joined = F.when(state["cur"] == "", part["t"]).when(part["t"] == "", state["cur"]).otherwise(F.concat(state["cur"], F.lit(" "), part["t"]))
+        return F.struct(
+            F.when(full, F.array_append(state["done"], state["cur"])).otherwise(state["done"]).alias("done"),
+            F.when(full, part["t"]).otherwise(joined).alias("cur"), F.when(full, part["n"]).otherwise(state["n"] + part["n"]).alias("n"),
+        )
+
+    packed = F.aggregate(counted, empty, pack, lambda s: F.when(s["cur"] != "", F.array_append(s["done"], s["cur"])).otherwise(s["done"]))
 
     def cut(chunk: Column) -> Column:
         words = F.split(strip(chunk), rf"{WS}+")

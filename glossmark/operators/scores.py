@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glossmark.functions import text
 from glossmark.functions.text import OPTION_LETTERS
 from glossmark.sources.readers import left_to_do
+from glossmark.sources.shared import materialize
 
 #: A scorer: made once in each worker, then called with lists of sources and outputs; gives as many numbers.
 ScorerFactory = Callable[[], Callable[[list, list], list]]
@@ -74,10 +75,13 @@ TranslatorFactory = Callable[[], Callable[[list], list]]
 
 def translation_pieces(rows: DataFrame, keys: list[str], hyp: str, max_words: int) -> DataFrame:
     """keys, is_option, place, label, piece: the sentences of the stem in parts of ``max_words`` words at most, and the options whole."""
-    parts = rows.select(*keys, text.labelled_segments(text.clean_output(text.nfc(F.col(hyp)))).alias("x"))
-    stem = parts.select(*keys, F.lit(False).alias("is_option"), F.posexplode(text.chunked_sentences(F.col("x.stem"), max_words)).alias("place", "piece"))
-    options = parts.select(*keys, F.lit(True).alias("is_option"), F.posexplode("x.options").alias("place", "o"))
-    return stem.select(*keys, "is_option", "place", F.lit("").alias("label"), "piece").unionByName(options.select(*keys, "is_option", "place", "o.label", F.col("o.text").alias("piece")))
+    # Out of a generator, as each of its uses would cut the text anew if it were a plain column.
+    cut = rows.select(*keys, F.explode(F.array(text.cut_at_labels(text.clean_output(text.nfc(F.col(hyp)))))).alias("parts"))
+    x = text.labelled_segments(F.col("parts"))
+    row = lambda is_option, i, label, piece: F.struct(F.lit(is_option).alias("is_option"), i.cast("int").alias("place"), label.alias("label"), piece.alias("piece"))
+    stem = F.transform(text.chunked_sentences(x["stem"], max_words), lambda p, i: row(False, i, F.lit(""), p))
+    options = F.transform(x["options"], lambda o, i: row(True, i, o["label"], o["text"]))
+    return cut.select(*keys, F.inline(F.concat(stem, options)))
 
 
 def translated(pieces: DataFrame, translator: TranslatorFactory, column: str = "piece", out: str = "en") -> DataFrame:
@@ -110,15 +114,17 @@ def back_translated(rows: DataFrame, translator: TranslatorFactory, keys: list[s
     result stays, with ``retry`` 1. Only those rows are translated twice. A row of nothing but white space gives an empty text.
     """
     size = F.greatest(F.coalesce(F.length(src), F.lit(0)), F.lit(1))
-    asked = rows.select(*keys, src, hyp)
-    once = asked.join(assembled(translated(translation_pieces(asked, keys, hyp, max_words), translator), keys), keys, "left")
-    once = once.select(*keys, src, hyp, F.coalesce("back_en", F.lit("")).alias("back_en"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-    short = once.filter(F.length("back_en") / size < RETRY_BELOW).select(*keys, src, hyp)
-    again = assembled(translated(translation_pieces(short, keys, hyp, RETRY_WORDS), translator), keys)
+    asked = materialize(rows.select(*keys, size.alias("__size"), F.col(hyp).alias("__hyp")), "asked")
+    size = F.col("__size")
+    once = asked.drop("__hyp").join(assembled(translated(translation_pieces(asked, keys, "__hyp", max_words), translator), keys), keys, "left")
+    # Written, as both the short ones and the result read it, and each would have all texts translated again.
+    once = materialize(once.select(*keys, "__size", F.coalesce("back_en", F.lit("")).alias("back_en"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")), "translated")
+    short = asked.join(once.filter(F.length("back_en") / size < RETRY_BELOW).select(*keys), keys, "left_semi")
+    again = assembled(translated(translation_pieces(short, keys, "__hyp", RETRY_WORDS), translator), keys)
     again = again.select(*keys, F.col("back_en").alias("__en"), F.col("n_chunks").alias("__n"))
     both = once.join(again, keys, "left").withColumn("__longer", F.coalesce(F.length("__en") > F.length("back_en"), F.lit(False)))
     pick = lambda a, b: F.when(F.col("__longer"), F.col(a)).otherwise(F.col(b))
-    out = both.select(*keys, src, pick("__en", "back_en").alias("back_en"), pick("__n", "n_chunks").alias("n_chunks"), F.col("__longer").cast("int").alias("retry"))
+    out = both.select(*keys, "__size", pick("__en", "back_en").alias("back_en"), pick("__n", "n_chunks").alias("n_chunks"), F.col("__longer").cast("int").alias("retry"))
     return out.select(*keys, "back_en", "n_chunks", "retry", text.rounded(F.length("back_en") / size, 3).alias("len_ratio"))
 
 

@@ -308,6 +308,25 @@ def test_back_translation_equals_brute_force(spark, factory):
     assert retried or factory is shout
 
 
+def test_a_text_is_translated_again_only_if_it_came_out_short(spark, tmp_path):
+    log = f"{tmp_path}/asked"
+
+    def factory():
+        def model(texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return ["" if t.startswith("lost") else t for t in texts]
+
+        return model
+
+    rows = [(1, "source", "some words kept"), (2, "source", "other words, kept"), (3, "source", "lost words")]
+    df = spark.createDataFrame(rows, "id int, src_raw string, hyp_raw string")
+    got = scores.back_translated(df, factory, ["id"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[run(piece") == 1  # the second round; the first is a table
+    assert {r.id: (r.back_en, r.retry) for r in got.collect()} == {1: ("some words kept", 0), 2: ("other words, kept", 0), 3: ("", 0)}
+    assert sorted(open(log).read().split("\n")[:-1]) == ["lost words", "lost words", "other words, kept", "some words kept"]
+
+
 # ---- sample and statistics
 
 

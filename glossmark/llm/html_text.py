@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ CLOSES_P = BLOCKS - frozenset(("body", "html", "caption", "legend", "option", "t
 # A start tag of the key ends an open element of the value.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("table ul ol dl select td th body html article main section div".split())
+SIBLING_SCOPES = {name: SCOPES.difference(ended) for name, ended in SIBLINGS.items()}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that mark parts beside the article.
 ASIDE_WORDS = re.compile(
@@ -51,10 +53,9 @@ ASIDE_WORDS = re.compile(
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
-_SPACES = re.compile(r"[\s\x00]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """An element: its name, its children (nodes and texts), and whether it stands beside the article. ``marked`` if only its class, id
     or role says so (or its name is form): that holds unless an article is inside it."""
@@ -68,6 +69,7 @@ class Node:
     n_text: int = 0
     n_link: int = 0
     main: bool = False
+    roots: list | None = None
 
     @property
     def beside(self) -> bool:
@@ -154,7 +156,7 @@ def parse(page: str) -> Node:
         else:
             if name in CLOSES_P and open_at["p"] and open_at["p"][-1] > last_of(SCOPES):
                 close(open_at["p"][-1])
-            if name in SIBLINGS and (at := last_of(SIBLINGS[name])) > last_of(SCOPES.difference(SIBLINGS[name])):
+            if name in SIBLINGS and (at := last_of(SIBLINGS[name])) > last_of(SIBLING_SCOPES[name]):
                 close(at)
             node = Node(name, name in NEVER_TEXT and name != "form", name == "form")
             for k, *v in _ATTR.findall(attrs) if attrs else ():
@@ -183,15 +185,30 @@ def parse(page: str) -> Node:
     return root
 
 
-def walk(root: Node) -> Iterator[tuple[Node, bool]]:
-    """Every node twice: before its children (True) and after them (False). Without recursion, as pages can nest deeply."""
-    stack = [(root, True)]
+def levelled(text: str) -> str:
+    """Each run of white space (and NUL) as one space. By splitting, as a pattern would replace every single space."""
+    if "\x00" in text:
+        text = text.replace("\x00", " ")
+    core = " ".join(text.split())
+    if not core:
+        return " " if text else ""
+    return f"{' ' if text[0].isspace() else ''}{core}{' ' if text[-1].isspace() else ''}"
+
+
+def walk(root: Node) -> list[tuple[Node, bool]]:
+    """Every node twice: before its children (True) and after them (False). Without recursion, as pages can nest deeply.
+
+    A list, as a page is walked several times; texts and elements don't change once it is parsed.
+    """
+    out, stack = [], [(root, True)]
     while stack:
-        node, first = stack.pop()
-        yield node, first
+        step = stack.pop()
+        out.append(step)
+        node, first = step
         if first:
             stack.append((node, False))
-            stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node))
+            stack += [(c, True) for c in reversed(node.children) if c.__class__ is Node]
+    return out
 
 
 def annotate(root: Node) -> None:
@@ -199,31 +216,33 @@ def annotate(root: Node) -> None:
 
     The main roots are all topmost ``article`` and ``main`` elements that are not inside a part beside the article.
     """
-    for node, first in walk(root):
+    steps = walk(root)
+    for node, first in steps:
         if first:
             continue
         h = blake2b(node.name.encode(), digest_size=8)
         for c in node.children:
-            if isinstance(c, Node):
+            if c.__class__ is Node:
                 h.update(b"\x00" + c.key.to_bytes(8, "little", signed=True))
                 node.n_text += c.n_text
                 node.n_link += c.n_text if c.name == "a" else c.n_link
-            elif (t := _SPACES.sub(" ", c)) != " ":
+            elif (t := levelled(c)) != " ":
                 h.update(b"\x01" + t.encode("utf-8", "surrogatepass"))
                 node.n_text += len(t)
         node.key = int.from_bytes(h.digest(), "little", signed=True)
-    settle_marks(root, marked_too=False)
-    if not set_roots(root) and settle_marks(root, marked_too=True):
-        set_roots(root)
+    settle_marks(steps, marked_too=False)
+    root.roots = set_roots(steps)
+    if not root.roots and settle_marks(steps, marked_too=True):
+        root.roots = set_roots(steps)
 
 
-def settle_marks(root: Node, marked_too: bool) -> bool:
+def settle_marks(steps: list[tuple[Node, bool]], marked_too: bool) -> bool:
     """Marks set an element aside unless it holds an article or main (one that isn't marked itself, or any with ``marked_too``).
 
     In an article the marks hold in any case: what it nests are comments and teasers. True if there is an article or main at all.
     """
     holds, depth_article, some = [], 0, False
-    for node, first in walk(root):
+    for node, first in steps:
         if first:
             holds.append(False)
             depth_article += node.name == "article"
@@ -238,13 +257,15 @@ def settle_marks(root: Node, marked_too: bool) -> bool:
     return some
 
 
-def set_roots(root: Node) -> bool:
-    found, depth_aside, depth_main = False, 0, 0
-    for node, first in walk(root):
+def set_roots(steps: list[tuple[Node, bool]]) -> list[Node]:
+    """Marks the main roots and gives them in page order."""
+    found, depth_aside, depth_main = [], 0, 0
+    for node, first in steps:
         is_main = node.name in ("article", "main")
         if first:
             if is_main and not depth_aside and not depth_main and not node.beside:
-                node.main = found = True
+                node.main = True
+                found.append(node)
             depth_aside += node.beside
             depth_main += is_main
         else:
@@ -253,10 +274,6 @@ def set_roots(root: Node) -> bool:
     return found
 
 
-def main_roots(root: Node) -> list[Node]:
-    return [n for n, first in walk(root) if first and n.main]
-
-
 def tagged(node: Node, inside: bool) -> int:
     """The key that a candidate is counted by: odd inside the main roots, where the rule is stricter, except for lists of links."""
     strict = inside and (node.main or 2 * node.n_link <= node.n_text)
@@ -285,7 +302,7 @@ def candidates(root: Node) -> dict[int, int]:
     text of the main part that is not in the block: articles that are copies of each other but for a few words count once, so that
     their own paragraphs stay. A block beside which there is no other text is counted for itself, once.
     """
-    roots, whole = main_roots(root), main_key(root)
+    roots, whole = root.roots, main_key(root)
     out: dict[int, int] = {}
     strict: list[tuple[int, int, int]] = []  # key, first and last place
     own: list[tuple[int, str, int]] = []  # length, text, place
@@ -294,10 +311,10 @@ def candidates(root: Node) -> dict[int, int]:
     if not roots:
         return {tagged(n, False): whole for n in outer(root, 0)}
     stack: list[tuple[Node | str, bool]] = [(root, True)]
-    begins: list[int] = []
+    begins: list[tuple[int, bool]] = []
     while stack:
         item, first = stack.pop()
-        if isinstance(item, str):
+        if item.__class__ is str:
             if inside and not aside and blocks:
                 blocks[-1][1].append(item)
             continue
@@ -305,21 +322,22 @@ def candidates(root: Node) -> dict[int, int]:
         if first:
             inside += item.main
             aside += item.beside
-            nested += may_go(item, len(roots))
+            go = block and may_go(item, len(roots))
+            nested += go
             if block and inside:
                 place += 1
                 blocks.append((place, []))
-            begins.append(place)
+            begins.append((place, go))
             stack.append((item, False))
-            stack.extend((c, True) for c in reversed(item.children))
+            stack += [(c, True) for c in reversed(item.children)]
             continue
-        begin = begins.pop()
+        begin, go = begins.pop()
         if block and inside:
             at, parts = blocks.pop()
-            if t := _SPACES.sub(" ", "".join(parts)).strip():
+            if t := levelled("".join(parts)).strip():
                 own.append((len(t), t, at))
-        nested -= may_go(item, len(roots))
-        if may_go(item, len(roots)) and nested < MAX_NESTED:
+        nested -= go
+        if go and nested < MAX_NESTED:
             key = tagged(item, bool(inside))
             if key & 1:
                 strict.append((key, begin, place))
@@ -339,7 +357,7 @@ def candidates(root: Node) -> dict[int, int]:
 
 def main_key(root: Node) -> int:
     """The hash of the main roots, or of the whole page if it has none: pages with the same are copies."""
-    roots = main_roots(root)
+    roots = root.roots
     if len(roots) < 2:
         return roots[0].key if roots else root.key
     return int.from_bytes(blake2b(b"".join(n.key.to_bytes(8, "little", signed=True) for n in roots), digest_size=8).digest(), "little", signed=True)
@@ -351,14 +369,14 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
     Each comes with the tagged keys of the candidate subtrees around it: it goes if any of them is template. Neighbours with the same
     keys are joined.
     """
-    roots = main_roots(root)
+    roots = root.roots
     out: list[tuple[list[str], list[int]]] = []
     parts: list[str] = []
     around: list[int] = []
     nested = 0
 
     def end_block() -> None:
-        line = _SPACES.sub(" ", "".join(parts)).strip()
+        line = levelled("".join(parts)).strip()
         parts.clear()
         if not line:
             return
@@ -371,7 +389,7 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
     stack: list[tuple[Node | str, bool]] = [(start, True) for start in reversed(starts)]
     while stack:
         item, first = stack.pop()
-        if isinstance(item, str):
+        if item.__class__ is str:
             parts.append(item)
             continue
         guarded = item is not root and may_go(item, len(roots))
@@ -395,7 +413,7 @@ def pieces(root: Node) -> list[tuple[str, list[int]]]:
                 if nested <= MAX_NESTED:
                     around.append(tagged(item, bool(roots)))
             stack.append((item, False))
-        stack.extend((c, True) for c in reversed(item.children))
+        stack += [(c, True) for c in reversed(item.children)]
     end_block()
     return [("\n".join(lines), keys) for lines, keys in out]
 
@@ -433,14 +451,20 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page, url_, host_, html_ in zip(*(c.to_pylist() for c in b.columns)):
+            row, main, found, around = [], [], [], []
+            columns = [c.to_pylist() for c in b.columns]
+            for page, url_, _, html_ in zip(*columns):
                 root = tree_of(html_)
                 # Rows are told apart by all they hold: equal rows have equal results.
-                row = blake2b(repr((page, url_, html_)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                found = [{"text": t, "keys": k} for t, k in pieces(root)]
-                out.append({"page_id": page, "url": url_, "host": host_, "row": row, "main": main_key(root), "candidates": [{"key": k, "main": m} for k, m in candidates(root).items()], "pieces": found})
-            yield pa.RecordBatch.from_pylist(out, schema=want)
+                row.append(blake2b(repr((page, url_, html_)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                main.append(main_key(root))
+                found.append(candidates(root))
+                around.append(pieces(root))
+            keys = pa.StructArray.from_arrays([pa.array([k for c in found for k in part(c)], pa.int64()) for part in (dict.keys, dict.values)], fields=list(seen_in))
+            texts = pa.StructArray.from_arrays([pa.array([p[i] for x in around for p in x], piece.field(i).type) for i in (0, 1)], fields=list(piece))
+            lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), v) for x, v in ((found, keys), (around, texts))]
+            arrays = [pa.array(x, f.type) for x, f in zip((*columns[:3], row, main), want)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(x.cast(f.type) for x, f in zip(lists, list(want)[5:]))], schema=want)
 
     schema = "page_id long, url string, host string, row binary, main long, candidates array<struct<key: long, main: long>>, pieces array<struct<text: string, keys: array<long>>>"
     parsed = materialize(rows.mapInArrow(parse_rows, schema), "pages")

@@ -599,6 +599,14 @@ def test_html_of_any_depth_leaves_menus_out(depth):
     assert html_text.candidates(html_text.tree_of(page))
 
 
+def test_a_page_is_walked_once(monkeypatch):
+    walk, walked = html_text.walk, []
+    monkeypatch.setattr(html_text, "walk", lambda root: walked.append(root) or walk(root))
+    root = html_text.tree_of("<body><nav>menu</nav><article><p>one  \x00\n two</p><div>three </div></article></body>")
+    assert "\n".join(t for t, _ in html_text.pieces(root)) == "one two\nthree"
+    assert html_text.candidates(root) and html_text.main_key(root) and len(walked) == 1
+
+
 def test_html_tokens():
     page = "a < b <p class='x > y'>One<br/>two</p><!-- <p>no --><script>if (a < b) '<p>'</script><q title=\"open>three</q><![CDATA[ <p> ]]>4"
     root = html_text.tree_of(page)

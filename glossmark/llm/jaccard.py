@@ -27,10 +27,11 @@ from glossmark.llm.shingles import MIX, mix, shingle_sets
 
 #: Each size band reaches to so many times its least size.
 BAND_RATIO = 1.3
-#: Rows (of some 40 bytes) up to which a side of a join is broadcast; beyond, it is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Rows (of some 40 bytes) up to which a side of a join is broadcast; beyond, it is shuffled. The driver holds a broadcast several
+#: times over while it makes it (rows, table, blocks), and two at once where both ends of pairs are joined, so the limits are low.
+BROADCAST_IDS = 200_000
 #: Bytes of all sketches up to which they are broadcast; beyond, pairs and members are shuffled to them.
-BROADCAST_SKETCHES = 48 << 20
+BROADCAST_SKETCHES = 8 << 20
 #: Nodes in a block of a bucket: two blocks are compared in one step of a task.
 BLOCK_NODES = 256
 #: Nearest partners that a node of a group asks in the first rounds; what these link needs no further pairs, the last round asks all.
@@ -492,8 +493,8 @@ def sketches(nodes: DataFrame) -> DataFrame:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if they are few."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    """A written table of narrow rows, to be broadcast if they are few; else hashed by partitions, so that the other side isn't sorted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("shuffle_hash")
 
 
 _BLOCK = ["node", "root", "n_shingles", "sketch", "groups"]

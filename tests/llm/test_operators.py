@@ -87,6 +87,47 @@ def test_join_equals_brute_force(spark, docs, n_words, percent):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(near, n_words, percent)
 
 
+def test_join_sends_no_large_table_through_the_driver(spark, tmp_path):
+    """16 MB of sketches and 300,000 ids are shuffled, as the driver would hold each several times over; small ones are broadcast."""
+    sketch = F.unhex(F.lpad(F.hex(F.xxhash64("id")), 512, "0"))
+    nodes = spark.range(60_000).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n_shingles"), sketch.alias("sketch"))
+    pairs = spark.range(300_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        for n, many in ((60_000, True), (1000, False)):
+            some = nodes.filter(F.col("node") < n)
+            found = jaccard.likely(pairs, jaccard.sketches(some), 80)
+            texts = nodes.join(jaccard.small(pairs if many else pairs.filter("a < 1000")), nodes.node == pairs.a, "left_semi")
+            for df in (found, texts):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert ("BroadcastExchange" in plan) is not many, plan
+            # Sketches differ in 64 of 2,048 bits at most, and 22 elements may differ.
+            whole = {r.node: (r.sketch, r.n_shingles) for r in some.collect()}
+            bits = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
+            want = [i for i in range(n - 1) if bits(whole[i][0], whole[i + 1][0]) <= 22]
+            assert want and sorted(r.a for r in found.collect()) == want
+            assert texts.count() == (60_000 if many else 1000)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_shuffled_join_equals_the_broadcast_one(spark, docs, monkeypatch):
+    near = [x for x in docs if x[1]][:60]
+    near += [(10_000 + 10 * i + copy, t.replace(" ", f" new{copy} ", 1)) for i, t in list(near) if len(t.split(" ")) > 30 for copy in range(i % 7)] + ODD
+    table = spark.createDataFrame(near, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_SKETCHES", 0)
+    got = jaccard.similar_documents(table, 3, 90)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(near, 3, 90)
+    shuffled = sorted(map(tuple, jaccard.one_of_each(table).collect()), key=str)
+    monkeypatch.undo()
+    assert shuffled == sorted(map(tuple, jaccard.one_of_each(table).collect()), key=str)
+
+
 def test_join_odd_and_empty(spark):
     out = jaccard.similar_documents(odd_docs(spark))
     assert out.count() == len(ODD)

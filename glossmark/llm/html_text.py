@@ -11,7 +11,7 @@ from hashlib import blake2b
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.llm.common import materialize
@@ -22,10 +22,10 @@ MIN_PAGES = 3
 MAIN_SHARE = 0.5
 #: Candidates that are counted around a text, from the outside: one nested deeper goes with those around it, and not by itself.
 MAX_NESTED = 512
-#: Up to so many template keys are broadcast; more are joined by shuffling.
-MAX_BROADCAST_KEYS = 200_000
-#: Parts that the rows of a host are dealt to, so that one host never meets in one task.
-SALTS = 64
+#: Up to so many bytes in memory, tables are broadcast in joins; larger ones are shuffled. Making a broadcast, the driver holds it several times over.
+BROADCAST_BYTES = 8 << 20
+#: What a row of a broadcast takes besides its values, of which it holds two copies.
+BROADCAST_ROW = 150
 
 # Element names with a fixed meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -429,24 +429,33 @@ def tree_of(page: str | None) -> Node:
     return root
 
 
+def for_join(side: DataFrame, n_bytes: Column) -> DataFrame:
+    """``side``, broadcast if the values of its rows (``n_bytes`` each) allow it, else for a shuffled join in any case: Spark itself would go
+    by the size of its files, which compression and dictionaries make a small part of what its rows take in memory."""
+    size = side.agg(F.sum(BROADCAST_ROW + 2 * n_bytes)).head()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("merge")
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     1. Every page is parsed once, into its text pieces, the keys of the subtrees around each, and the keys of all candidate
     subtrees; this table goes to the shared folder. 2. Subtrees under ``min_pages`` or more different main texts of a host are its
     template; a block inside the main roots must stand in ``MAIN_SHARE`` of them too, as articles share openings, quotations and
-    licence lines. 3. Pages lose the pieces that are inside a template subtree.
+    licence lines. Only subtrees that stand around some piece of the host count as such, as no other can delete anything. 3. Pages lose the
+    pieces that are inside a template subtree.
     Elements that HTML or their class set beside an article (menus, headers, footers, notices, adverts, forms, scripts, comments)
     go anyway, as a host with few pages shows no recurrence.
     A null or empty page has the empty text. A null url counts as one host of its own. Repeated rows each get a row. Null ids are
     kept. An empty table gives an empty result. Only three columns are read, so no other column can clash.
-    A host with a third of all pages is spread over ``SALTS`` parts in the join with its template; counts are summed on each task.
+    Nothing that grows with the pages goes through the driver: tables above ``BROADCAST_BYTES`` are joined by shuffling. A host with a third
+    of all pages is spread by its keys, and one key of many pages by Spark's splitting of skewed joins; counts are summed on each task.
     """
     url = F.col(url_col).cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     piece = pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))])
-    seen_in = pa.struct([("key", pa.int64()), ("main", pa.int64())])
+    seen_in = pa.struct([("key", pa.int64()), ("main", pa.int64()), ("asked", pa.bool_())])
     want = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("row", pa.binary()), ("main", pa.int64()), ("candidates", pa.list_(seen_in)), ("pieces", pa.list_(piece))])
 
     def parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,33 +467,31 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 # Rows are told apart by all they hold: equal rows have equal results.
                 row.append(blake2b(repr((page, url_, html_)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 main.append(main_key(root))
-                found.append(candidates(root))
                 around.append(pieces(root))
-            keys = pa.StructArray.from_arrays([pa.array([k for c in found for k in part(c)], pa.int64()) for part in (dict.keys, dict.values)], fields=list(seen_in))
+                asks, seen_for = {k for _, keys in around[-1] for k in keys}, candidates(root)
+                # A key that a piece asks for, but that is too deep in the page to be counted there, has no main text.
+                found.append([*((k, m, k in asks) for k, m in seen_for.items()), *((k, None, True) for k in asks.difference(seen_for))])
+            keys = pa.StructArray.from_arrays([pa.array([c[i] for x in found for c in x], seen_in.field(i).type) for i in range(3)], fields=list(seen_in))
             texts = pa.StructArray.from_arrays([pa.array([p[i] for x in around for p in x], piece.field(i).type) for i in (0, 1)], fields=list(piece))
             lists = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), v) for x, v in ((found, keys), (around, texts))]
             arrays = [pa.array(x, f.type) for x, f in zip((*columns[:3], row, main), want)]
             yield pa.RecordBatch.from_arrays([*arrays, *(x.cast(f.type) for x, f in zip(lists, list(want)[5:]))], schema=want)
 
-    schema = "page_id long, url string, host string, row binary, main long, candidates array<struct<key: long, main: long>>, pieces array<struct<text: string, keys: array<long>>>"
+    schema = "page_id long, url string, host string, row binary, main long, candidates array<struct<key: long, main: long, asked: boolean>>, pieces array<struct<text: string, keys: array<long>>>"
     parsed = materialize(rows.mapInArrow(parse_rows, schema), "pages")
 
-    seen = parsed.select("host", F.explode("candidates").alias("c")).select("host", "c.key", "c.main").distinct()
-    counted = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    mains = parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_main"))
+    in_host = F.octet_length("host")
+    seen = parsed.select("host", F.explode("candidates").alias("c")).select("host", "c.*").groupBy("host", "key", "main").agg(F.max("asked").alias("asked"))
+    counted = seen.groupBy("host", "key").agg(F.count("main").alias("n"), F.max("asked").alias("asked")).filter(F.col("asked") & (F.col("n") >= max(1, min_pages)))
+    mains = materialize(parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_main")), "mains")
     enough = (F.col("key").bitwiseAND(1) == 0) | (F.col("n") >= F.col("n_main") * MAIN_SHARE)
-    template = materialize(counted.join(mains, "host").filter(enough).select("host", "key"), "template")
+    template = materialize(counted.join(for_join(mains, in_host + 8), "host").filter(enough).select("host", "key"), "template")
     inside = F.array_distinct(F.flatten("pieces.keys"))
     asked = parsed.filter(F.size(inside) > 0).select("row", "host", F.explode(inside).alias("key"))
-    if template.count() <= MAX_BROADCAST_KEYS:
-        hit = asked.join(F.broadcast(template), ["host", "key"], "left_semi")
-    else:
-        salted_template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = asked.distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-        hit = salted.join(salted_template, ["host", "key", "salt"], "left_semi")
-    # As a table its size is known, so that a small one is broadcast and no page is shuffled.
+    hit = asked.join(for_join(template, in_host + 8), ["host", "key"], "left_semi")
     gone = materialize(hit.groupBy("row").agg(F.collect_set("key").alias("gone")), "gone")
     stays = lambda p: ~F.arrays_overlap(p["keys"], F.coalesce("gone", F.array().cast("array<long>")))
-    cut = parsed.join(gone, "row", "left").select("page_id", "url", F.filter("pieces", stays).alias("pieces"))
+    # A small one is broadcast, so that no page is shuffled.
+    cut = parsed.join(for_join(gone, 16 + 8 * F.size("gone")), "row", "left").select("page_id", "url", F.filter("pieces", stays).alias("pieces"))
     text = F.array_join("pieces.text", "\n")
     return cut.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -680,6 +680,71 @@ def test_html_template_inside_the_article(spark):
     assert [out[i] for i in range(30, 36)] == ["Top\nBody", "First part\nSecond part, longer", "Body", "Body", "Body", "Body"]
 
 
+def brute_extract(rows):
+    """The text of each page, with the template of its host counted in dictionaries."""
+    trees = [(url.split("/")[2], html_text.tree_of(page)) for _, url, page in rows]
+    mains, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for host, root in trees:
+        mains[host].add(html_text.main_key(root))
+        for key, main in html_text.candidates(root).items():
+            seen[host, key].add(main)
+    gone = {k for k, v in seen.items() if len(v) >= html_text.MIN_PAGES and (not k[1] & 1 or len(v) >= len(mains[k[0]]) * html_text.MAIN_SHARE)}
+    return {i: html_text.main_text(root, frozenset(k for h, k in gone if h == host)) for (i, _, _), (host, root) in zip(rows, trees)}
+
+
+def host_rows():
+    """Pages of three hosts of which one has most: of plain blocks or articles, with blocks that recur, and menus that do."""
+    rng = random.Random(4)
+    some = lambda what, n: "".join(f"<div>{what} {rng.randrange(6)}</div>" for _ in range(rng.randrange(n)))
+    page = lambda i: f"<nav>Menu</nav><div>Links of all pages</div>{some('Outside', 3)}<article>{some('Inside', 4)}<p>Story {i} goes on</p></article>"
+    plain = lambda i: f"{some('Top', 3)}<div>{some('Box', 4)}<p>Story {rng.choice((i, i % 4))}</p></div>{some('End', 3)}"
+    return [(i, f"https://{'big' if i % 4 else f'h{i % 8}'}.org/{i}", (page if i % 3 else plain)(i)) for i in range(120)]
+
+
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_html_joins_send_nothing_large_to_the_driver(spark, monkeypatch, limit):
+    # Before, tables beyond the limit were repeated 64 times and broadcast all the same, as their files are small.
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", limit, raising=False)
+    monkeypatch.setattr(html_text, "MAX_BROADCAST_KEYS", limit, raising=False)
+    materialize, plans = html_text.materialize, {}
+
+    def noted(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name, *rest)
+
+    monkeypatch.setattr(html_text, "materialize", noted)
+    rows = host_rows()
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    plans["result"] = out._jdf.queryExecution().executedPlan().toString()
+    want = brute_extract(rows)
+    assert {k: r.text for k, r in by_id(out, "page_id").items()} == want
+    assert want != {i: html_text.main_text(html_text.tree_of(page), frozenset()) for i, _, page in rows}  # something goes
+    joins = {name: ("SortMergeJoin" in plan, "Broadcast" in plan) for name, plan in plans.items() if "Join" in plan}
+    assert joins == dict.fromkeys(("template", "gone", "result"), (limit == 0, limit > 0))
+
+
+def test_html_template_has_only_subtrees_around_pieces(spark, monkeypatch):
+    materialize, tables = html_text.materialize, {}
+    monkeypatch.setattr(html_text, "materialize", lambda df, name, *rest: tables.setdefault(name, materialize(df, name, *rest)))
+    page = lambda i, more: f"<nav>Menu</nav><div>Outside {i % 2}</div>{more}<article><p>Story {i}</p></article>"
+    rows = [(i, f"https://h.org/{i}", page(i, "")) for i in range(8)] + [(8, "https://h.org/8", "<div>Outside 1</div><p>plain")]
+    out = {k: r.text for k, r in by_id(html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id").items()}
+    assert out == brute_extract(rows) and out[8] == "plain" and out[1] == "Story 1"
+    # One page of plain blocks asks for one of the blocks outside the articles.
+    assert tables["template"].count() == 1 and tables["gone"].count() == 1
+
+
+def test_html_deep_pages_ask_for_keys_that_they_dont_count(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "MAX_NESTED", 3)
+    box = "<ul><li><a>all links of the box</a></li></ul>"
+    rows = [(i, f"https://h.org/{i}", f"<div><div><div>Top<article>Story {i}{box}</article></div></div></div>") for i in range(5)]
+    rows += [(10 + i, f"https://h.org/{10 + i}", f"{box}<article>Story {i} {i}</article>") for i in range(5)]
+    own = html_text.tree_of(rows[0][2])
+    assert {k for _, keys in html_text.pieces(own) for k in keys} - set(html_text.candidates(own))
+    out = {k: r.text for k, r in by_id(html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id").items()}
+    assert out == brute_extract(rows) and out[1] == "Story 1"
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", "", None
